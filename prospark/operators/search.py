@@ -1,3 +1,186 @@
-"""placeholder"""
-def join_lead_embedding(leads, embeddings):
+"""Lead search: nearest vectors, hybrid ranking and lookalikes."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from prospark import rules
+from prospark.functions.skew import first_per_key
+from prospark.functions.vectors import cosine_distance, hyperplane_buckets, nearest_in_block
+from prospark.operators.scope import LeadFilter, filter_leads, scope_tenant
+
+SEARCH_COLUMNS = [
+    "lead_id", "company_name", "domain", "industry", "company_summary", "icp_score", "confidence_score",
+    "geography", "status",
+]
+
+
+def join_lead_embedding(leads: DataFrame, embeddings: DataFrame) -> DataFrame:
     return leads.join(embeddings, "lead_id")
+
+
+def _nearest(leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float], n: int) -> DataFrame:
+    """(lead_id, distance) of the `n` nearest leads; only keys and vectors take part."""
+    distance = cosine_distance(query_vec)
+    rows = join_lead_embedding(leads.select("lead_id"), embeddings.filter(F.col("embedding").isNotNull()))
+    return rows.select("lead_id", distance("embedding").alias("distance")).orderBy("distance", "lead_id").limit(n)
+
+
+def similarity(distance: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.round(1.0 - distance, 4))
+
+
+def semantic_topk(
+    leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float], k: int = 20, org: int | None = None
+) -> DataFrame:
+    """The `k` leads nearest to a query vector, closest first."""
+    k = min(max(1, k), 100)
+    visible = scope_tenant(leads, org, shared=True)
+    top = _nearest(visible, embeddings, query_vec, k)  # at most 100 rows, safe to broadcast
+    return (
+        visible.join(F.broadcast(top), "lead_id")
+        .orderBy("distance", "lead_id")
+        .select(*SEARCH_COLUMNS, similarity(F.col("distance")).alias("similarity"))
+    )
+
+
+def query_terms(text: str) -> list[str]:
+    return [t.lower() for t in text.split() if len(t) > 2]
+
+
+def keyword_share(text: str) -> Column:
+    """Share of the search terms found in a lead's name, industry, summary and value proposition."""
+    terms = query_terms(text)
+    if not terms:
+        return F.lit(0.0)
+    names = ["company_name", "industry", "company_summary", "value_proposition"]
+    hay = F.lower(F.concat_ws(" ", *[F.coalesce(n, F.lit("")) for n in names]))
+    hits = reduce(lambda a, b: a + b, [F.contains(hay, F.lit(t)).cast("int") for t in terms])
+    return F.least(F.lit(1.0), hits / F.lit(float(len(terms))))
+
+
+def keyword_score(leads: DataFrame, text: str) -> DataFrame:
+    return leads.select("lead_id", keyword_share(text).alias("keyword_score"))
+
+
+def hybrid_search(
+    leads: DataFrame,
+    embeddings: DataFrame,
+    text: str,
+    query_vec: Sequence[float],
+    filters: LeadFilter = LeadFilter(),
+    k: int = 25,
+    weights: tuple[float, float, float] = rules.SEARCH_WEIGHTS,
+) -> DataFrame:
+    """Filtered leads, the 2k nearest of them re-ranked by similarity, fit and keywords.
+
+    Only the 2k nearest take part in the re-rank; that is the defined behaviour,
+    so a strong keyword match outside them does not appear.
+    """
+    k = min(max(1, k), 100)
+    passing = filter_leads(leads, filters)
+    near = _nearest(passing, embeddings, query_vec, 2 * k)  # at most 200 rows, safe to broadcast
+    sim = F.greatest(F.lit(0.0), 1.0 - F.col("distance"))
+    by_vector, by_fit, by_text = weights
+    score = by_vector * sim + by_fit * (F.col("icp_score") / 100.0) + by_text * keyword_share(text)
+    return (
+        passing.join(F.broadcast(near), "lead_id")
+        .withColumn("score", F.round(score, 4))
+        .orderBy(F.desc("score"), "distance", "lead_id")
+        .limit(k)
+        .select(*rules.LIST_COLUMNS, "score", similarity(F.col("distance")).alias("similarity"))
+    )
+
+
+def _topk_by_bucket(
+    queries: DataFrame, embeddings: DataFrame, k: int, skip_self: bool, bucket_of, block_rows: int
+) -> DataFrame:
+    """The `k` nearest of each query among the corpus vectors that share a bucket with it.
+
+    A bucket of any size is cut into blocks of about `block_rows` vectors, on
+    both sides, and each pair of blocks is one task that gives back at most `k`
+    rows per query. No pair of vectors is ever a row, and no task holds more
+    than two blocks.
+    """
+
+    def placed(df: DataFrame, vec: str) -> DataFrame:
+        return df.filter(F.col(vec).isNotNull()).select("*", F.posexplode(bucket_of(F.col(vec))).alias("t", "code"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        # One row per bucket that occurs; the number of buckets is set by the parameters.
+        return df.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    q, c = placed(queries, "vector"), placed(embeddings, "embedding")
+    sizes = F.broadcast(blocks(q, "q_blocks").join(blocks(c, "c_blocks"), ["t", "code"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    keys = ["t", "code", "q_block", "c_block"]
+    left = q.join(sizes, ["t", "code"]).select(
+        *keys[:2], own("query_id", "q_blocks").alias("q_block"), every("c_blocks").alias("c_block"), "query_id", "vector"
+    )
+    right = c.join(sizes, ["t", "code"]).select(
+        *keys[:2], every("q_blocks").alias("q_block"), own("lead_id", "c_blocks").alias("c_block"), "lead_id", "embedding"
+    )
+    near = (
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
+        .applyInPandas(nearest_in_block(k, skip_self), "query_id bigint, lead_id bigint, distance double")
+    )
+    near = near.groupBy("query_id", "lead_id").agg(F.min("distance").alias("distance"))
+    top = first_per_key(near, ["query_id"], [F.asc("distance"), F.asc("lead_id")], k)
+    return top.withColumn("similarity", similarity(F.col("distance")))
+
+
+def semantic_topk_batch(queries: DataFrame, embeddings: DataFrame, k: int = 20, block_rows: int = 4096) -> DataFrame:
+    """Exact `semantic_topk` for a table of queries (query_id, vector)."""
+    one = lambda v: F.array(F.lit(0))
+    return _topk_by_bucket(queries, embeddings, k, False, one, block_rows)
+
+
+def lookalikes(embeddings: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+    """The `k` nearest other leads of every lead, exact.
+
+    Exact answers compare every lead with every block, which grows with the
+    square of the corpus; `ann_candidates` with the corpus as its own query
+    table is the sub-quadratic way.
+    """
+    queries = embeddings.select(F.col("lead_id").alias("query_id"), F.col("embedding").alias("vector"))
+    one = lambda v: F.array(F.lit(0))
+    return _topk_by_bucket(queries, embeddings, k, True, one, block_rows)
+
+
+def ann_candidates(
+    embeddings: DataFrame,
+    queries: DataFrame,
+    k: int,
+    dim: int,
+    bits: int = 6,
+    tables: int = 16,
+    skip_self: bool = False,
+    block_rows: int = 4096,
+) -> DataFrame:
+    """Approximate nearest leads: exact distances, but only within shared hash buckets."""
+    return _topk_by_bucket(queries, embeddings, k, skip_self, hyperplane_buckets(dim, bits, tables), block_rows)
+
+
+def embed_with(plan: DataFrame, fn, text_col: str = "content", batch_rows: int = 256) -> DataFrame:
+    """Vectors for the rows of a refresh plan that need one.
+
+    `fn` maps a list of texts to a list of vectors; it runs inside the tasks, one
+    call per batch. Rows marked "reuse" are left out.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[start : start + batch_rows]
+                out = part[["lead_id", "content_hash"]].copy()
+                out["embedding"] = [list(map(float, v)) for v in fn(list(part[text_col]))]
+                yield out
+
+    due = plan.filter(F.col("action") != "reuse").select("lead_id", "content_hash", text_col)
+    return due.mapInPandas(run, "lead_id bigint, content_hash string, embedding array<float>")
