@@ -111,7 +111,7 @@ def lead_dossier(
         numbered = ordinal(df.withColumn("item", item), ["lead_id"], order, bucket, "position")
         return (
             numbered.groupBy("lead_id", F.floor((F.col("position") - 1) / part_size).alias("part"))
-            .agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
+            .agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
             .select(
                 "lead_id",
                 F.lit(name).alias("section"),

@@ -63,7 +63,7 @@ def centroids(e):
     """Query table: the mean vector of each label."""
     cells = e.table("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))  # one entry per dimension
+    ordered = F.sort_array(F.collect_list(F.struct("i", "x")))  # one entry per dimension
     return means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
         F.transform(ordered, lambda s: s["x"]).alias("vector")
     )
