@@ -66,8 +66,12 @@ def clean_query(query: Column) -> Column:
         _unquote_plus(F.regexp_extract(p, r"(?s)^([^=]*)=(.*)$", 2)).alias("v"),
     )
     kept = F.filter(F.transform(pairs, cut), lambda x: ~F.lower(x["k"]).isin(rules.TRACKING_PARAMS))
-    names = F.array_distinct(F.transform(kept, lambda x: x["k"]))
-    grouped = F.flatten(F.transform(names, lambda n: F.filter(kept, lambda x: x["k"] == n)))
+
+    def group(ps: Column) -> Column:
+        names = F.array_distinct(F.transform(ps, lambda x: x["k"]))
+        return F.flatten(F.transform(names, lambda n: F.filter(ps, lambda x: x["k"] == n)))
+
+    grouped = let(kept, group)
     coded = F.transform(grouped, lambda x: F.concat(_quote_plus(x["k"]), F.lit("="), _quote_plus(x["v"])))
     return F.when(query == "", "").otherwise(F.array_join(coded, "&"))
 

@@ -142,14 +142,14 @@ def _link_values(text: Column, prefix: str) -> Column:
 
 
 def emails(text: Column, links: bool = True) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rules.EMAIL_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit("(?U)" + rules.EMAIL_PATTERN), F.lit(0))
     if links:
         found = F.concat(found, _link_values(text, "mailto:"))
     return F.sort_array(F.array_distinct(F.transform(F.filter(found, valid_email), F.lower)))
 
 
 def phones(text: Column, links: bool = True) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(rules.PHONE_PATTERN), F.lit(0)), lambda s: F.trim(s))
+    found = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + rules.PHONE_PATTERN), F.lit(0)), lambda s: F.trim(s))
     digits = lambda p: F.length(F.regexp_replace(p, r"\D", ""))
     found = F.filter(found, lambda p: digits(p).between(7, 15) & ~p.rlike(rules.DATE_PATTERN))
     if links:
@@ -159,7 +159,7 @@ def phones(text: Column, links: bool = True) -> Column:
 
 
 def addresses(text: Column, links: bool = True) -> Column:
-    streets = F.transform(F.regexp_extract_all(text, F.lit(rules.STREET_PATTERN), F.lit(0)), lambda s: F.trim(s))
+    streets = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + rules.STREET_PATTERN), F.lit(0)), lambda s: F.trim(s))
     found = F.filter(streets, lambda a: F.length(a) > 12)
     if links:
         boxes = F.regexp_extract_all(text, F.lit(r"(?is)<address\b[^>]*>(.*?)</address\s*>"), F.lit(1))

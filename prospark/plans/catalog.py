@@ -1,6 +1,6 @@
 """All named queries: importing a plan module registers what it defines."""
 
-from prospark.plans import lifecycle, pages, search, tenants  # noqa: F401
+from prospark.plans import grounding, lifecycle, pages, search, tenants  # noqa: F401
 from prospark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
