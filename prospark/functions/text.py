@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from prospark import rules
 from prospark.functions.urls import let
 
-_MARK_RUN = r"(?U)[\s" + rules.QUOTE_PUNCTUATION[1:] + "+"
+# The characters that count as white space.
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+_BLANKS += "\u2028\u2029\u202f\u205f\u3000"
+_MARKS = rules.QUOTE_PUNCTUATION[1:-1]
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def plain_words(text: Column) -> Column:
     """Lower case, punctuation and white space reduced to single blanks."""
     spaced = F.regexp_replace(F.lower(text), rules.QUOTE_PUNCTUATION, " ")
-    return strip(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
 
 
 def mark_runs(text: Column) -> Column:
-    """All distinct runs of punctuation and blanks, one per line of the result.
+    """All distinct runs of punctuation and blanks that start with a mark, joined into one text.
 
     A quote without any word can only occur inside such a run.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit(_MARK_RUN), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)[{_MARKS}][\s{_MARKS}]*"), F.lit(0))
     return F.array_join(F.array_distinct(runs), "\x01")
 
 

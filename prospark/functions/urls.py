@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospark import rules
@@ -81,6 +81,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a costly column that is computed exactly once per row.
+
+    Behind the generator neither a later filter nor a later projection repeats it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def canonical(raw: Column) -> Column:
     """Normalized URL, or NULL for text that is not an http(s) URL."""
     lead = r"^([a-zA-Z][a-zA-Z0-9+.-]*):(?://)?"
@@ -115,7 +123,9 @@ def canonical(raw: Column) -> Column:
         return F.when(p["scheme"].isin(rules.ALLOWED_SCHEMES) & (p["host"] != ""), full)
 
     text = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"[\t\r\n]", "")
-    return let(let(text, cut), build)
+    # Most stored links are in normal form already and skip the rewrite.
+    normal = r"^https?://[a-z0-9._-]+(?:/|(?:/[^/?#;\s]+)+)$"
+    return F.when(raw.rlike(normal), raw).otherwise(let(let(text, cut), build))
 
 
 def _no_www(host: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,19 +338,13 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(F.size(words) >= 5, F.concat(F.lit("3:"), F.array_join(F.slice(words, 2, 3), " ")))
         .when(F.col("q.words") != "", F.concat(F.lit("1:"), F.substring(longest, 1, 3)))
         .when(F.col("q.bare") != "", F.concat(F.lit("0:"), F.substring(F.col("q.bare"), 1, 1)))
-        .otherwise(F.lit("any:"))
+        .otherwise(F.lit("*:"))
     )
     anchors = q.select("quote_id", F.xxhash64(key).alias("anchor"), F.substring(key, 1, 2).alias("kind"))
 
     page = searchable(docs)
     toks = F.split(F.col("words"), " ")
-
-    def triples_of(ts: Column) -> Column:
-        starts = F.when(F.size(ts) >= 3, F.sequence(F.lit(1), F.size(ts) - 2)).otherwise(F.array().cast("array<int>"))
-        joined = lambda i: F.concat_ws(" ", F.get(ts, i - 1), F.get(ts, i), F.get(ts, i + 1))
-        return F.transform(starts, lambda i: F.xxhash64(F.concat(F.lit("3:"), joined(i))))
-
-    triples = U.let(toks, triples_of)  # split once per page, not once per word
+    page = NGram(n=3, inputCol="toks", outputCol="triples").transform(page.withColumn("toks", toks))
     # Every piece of one to three letters inside the distinct words of the page.
     pieces = F.flatten(
         F.transform(
@@ -364,20 +359,19 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    short_keys = F.transform(F.array_distinct(pieces), lambda s: F.xxhash64(F.concat(F.lit("1:"), s)))
-    mark_keys = F.transform(
-        F.array_distinct(F.split(F.col("marks"), "")), lambda s: F.xxhash64(F.concat(F.lit("0:"), s))
-    )
-
-    def candidates(kind: str, keys: Column) -> DataFrame:
+    def candidates(kind: str, pieces: Column) -> DataFrame:
         side = anchors.filter(F.col("kind") == kind).select("quote_id", "anchor")
-        return page.select("page_id", F.explode(F.array_distinct(keys)).alias("anchor")).join(side, "anchor")
-
-    pairs = candidates("3:", triples)
-    pairs = pairs.unionByName(candidates("1:", short_keys)).unionByName(candidates("0:", mark_keys))
-    everywhere = F.array(F.xxhash64(F.lit("any:")))
-    pairs = pairs.unionByName(candidates("an", everywhere)).select("quote_id", "page_id").distinct()
-    checked = pairs.join(q, "quote_id").join(page, "page_id")
+        found = page.select("page_id", F.explode(pieces).alias("piece"))
+        return found.select("page_id", F.xxhash64(F.concat(F.lit(kind), "piece")).alias("anchor")).join(side, "anchor")
+
+    parts = [
+        candidates("3:", F.col("triples")),
+        candidates("1:", F.array_distinct(pieces)),
+        candidates("0:", F.array_distinct(F.split(F.col("marks"), ""))),
+        candidates("*:", F.array(F.lit(""))),
+    ]
+    pairs = reduce(lambda a, b: a.unionByName(b), parts).select("quote_id", "page_id").distinct()
+    checked = pairs.join(q, "quote_id").join(page.select("page_id", "words", "marks"), "page_id")
     whole = (
         F.when(F.col("q.bare") == "", True)
         .when(F.col("q.words") == "", F.contains("marks", F.col("q.bare")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospark import rules
+from prospark.functions.urls import let, once
 
 # The fields of a model answer. Numbers are read as text first, so
 # that a wrong number becomes a reason and not a lost row.
@@ -43,7 +44,7 @@ def _bad_share(x: Column) -> Column:
 def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataFrame, DataFrame]:
     """(valid answers as typed columns, refused answers with their reasons)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = raw.withColumn("a", F.from_json(json_col, ANSWER_SCHEMA, options))
+    parsed = once(raw, "a", F.from_json(json_col, ANSWER_SCHEMA, options))
     a = lambda n: F.col(f"a.{n}")
     broken = F.col("a").isNull() | a("_corrupt_record").isNotNull()
     score = a("icp_score")
@@ -67,7 +68,7 @@ def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataF
     ]
     found = F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))
     reasons = F.when(broken, F.array(F.lit("malformed json"))).otherwise(found)
-    judged = parsed.withColumn("reasons", reasons)
+    judged = once(parsed, "reasons", reasons)
 
     none = F.array().cast("array<string>")
     share = lambda x, default: F.coalesce(x.try_cast("double"), F.lit(default))
@@ -132,7 +133,10 @@ def _given(json: Column) -> Column:
 
 def campaign_profile(config_json: Column) -> Column:
     """Profile struct of a campaign configuration, with defaults for what it leaves empty."""
-    c = F.from_json(config_json, CONFIG_SCHEMA)
+    return let(F.from_json(config_json, CONFIG_SCHEMA), _with_defaults)
+
+
+def _with_defaults(c: Column) -> Column:
     d = rules.CAMPAIGN_DEFAULTS
     some = lambda x: F.coalesce(F.size(x), F.lit(0)) > 0
     or_default = lambda n, texts: F.when(some(c[n]), c[n]).otherwise(_texts(texts))
@@ -162,25 +166,20 @@ def resolve_icp(jobs: DataFrame, campaigns: DataFrame) -> DataFrame:
 
     jobs: job_id, campaign_id, icp_profile (JSON text). campaigns: campaign_id, icp_config.
     """
-    own = F.from_json("icp_profile", PROFILE_SCHEMA)
-    fixed = {
-        n: F.lit(v) if isinstance(v, int) else _texts(v) for n, v in rules.PROFILE_DEFAULTS.items()
-    }
-    rows = jobs.join(campaigns.select("campaign_id", "icp_config"), "campaign_id", "left")
-    has_own, has_campaign = _given(F.col("icp_profile")), _given(F.col("icp_config"))
-    rows = rows.withColumns(
-        {
-            "_own": own,
-            "_campaign": campaign_profile(F.col("icp_config")),
-            "source": F.when(has_own, "job").when(has_campaign, "campaign").otherwise("default"),
-        }
-    )
-    pick = lambda n: (
-        F.when(F.col("source") == "job", F.coalesce(F.col("_own")[n], fixed[n]))
-        .when(F.col("source") == "campaign", F.col("_campaign")[n])
-        .otherwise(fixed[n])
+    fixed = {n: F.lit(v) if isinstance(v, int) else _texts(v) for n, v in rules.PROFILE_DEFAULTS.items()}
+    # Campaign texts are parsed once per campaign, before they meet the jobs.
+    known = campaigns.filter(_given(F.col("icp_config"))).select(
+        "campaign_id", campaign_profile(F.col("icp_config")).alias("_campaign")
     )
-    return rows.select("job_id", "source", *[pick(n).alias(n) for n in PROFILE_FIELDS])
+    filled = lambda p: F.struct(*[F.coalesce(p[n], fixed[n]).alias(n) for n in PROFILE_FIELDS])
+    has_own = _given(F.col("icp_profile"))
+    rows = jobs.withColumn("_own", F.when(has_own, let(F.from_json("icp_profile", PROFILE_SCHEMA), filled)))
+    rows = rows.join(known, "campaign_id", "left")
+    default = F.struct(*[fixed[n].alias(n) for n in PROFILE_FIELDS])
+    source = F.when(F.col("_own").isNotNull(), "job").when(F.col("_campaign").isNotNull(), "campaign")
+    return rows.select(
+        "job_id", F.coalesce(source, F.lit("default")).alias("source"), F.coalesce("_own", "_campaign", default).alias("p")
+    ).select("job_id", "source", "p.*")
 
 
 def profile_json(cols: DataFrame) -> Column:

@@ -20,6 +20,8 @@ def build_session(app: str = "prospark", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PROSPARK_DRIVER_MEMORY", "12g"))
+        # Call-site capture costs several JVM round trips per column operation.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
