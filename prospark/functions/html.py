@@ -56,6 +56,7 @@ class _TextReader(_Reader):
         self.out: list[str] = []
         self.hidden_from: int | None = None
         self.links: list[tuple[int, str]] = []
+        self.marks: list[int] = []
 
     def _hides(self, tag, attrs) -> bool:
         if tag in _DROPPED or attrs.get("role", "").lower() in rules.DROPPED_ROLES:
@@ -85,7 +86,7 @@ class _TextReader(_Reader):
         elif tag == "a":
             self.links.append((len(self.out), attrs.get("href", "")))
         elif tag in _MARKS:
-            self.out.append(_MARKS[tag])
+            self.marks.append(len(self.out))
 
     def closed(self, tag):
         if self.hidden_from is not None:
@@ -98,8 +99,11 @@ class _TextReader(_Reader):
             del self.out[start:]
             if text:
                 self.out.append(f"[{text}]({href})" if href else text)
-        elif tag in _MARKS:
-            self.out.append(_MARKS[tag])
+        elif tag in _MARKS and self.marks:
+            start = self.marks.pop()
+            if "".join(self.out[start:]).strip():  # no marks around nothing
+                self.out.insert(start, _MARKS[tag])
+                self.out.append(_MARKS[tag])
         elif tag in _BLOCKS:
             self.out.append("\n" if tag in ("li", "tr", "dt", "dd") else "\n\n")
 
@@ -115,8 +119,7 @@ def page_copy(html: str | None) -> str:
     reader = _TextReader()
     reader.feed(html)
     reader.close()
-    text = re.sub(r"(\*\*|\*|`)\1", "", "".join(reader.out))  # emphasis around nothing
-    lines = [line.strip() for line in text.splitlines()]
+    lines = [line.strip() for line in "".join(reader.out).splitlines()]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,7 +343,8 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
     page = searchable(docs)
     toks = F.split(F.col("words"), " ")
-    page = NGram(n=3, inputCol="toks", outputCol="triples").transform(page.withColumn("toks", toks))
+    # Overlapping runs of three words, cut by one pass of a pattern.
+    triples = F.regexp_extract_all("words", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), F.lit(1))
     # Every piece of one to three letters inside the distinct words of the page.
     pieces = F.flatten(
         F.transform(
@@ -365,7 +365,7 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         return found.select("page_id", F.xxhash64(F.concat(F.lit(kind), "piece")).alias("anchor")).join(side, "anchor")
 
     parts = [
-        candidates("3:", F.col("triples")),
+        candidates("3:", triples),
         candidates("1:", F.array_distinct(pieces)),
         candidates("0:", F.array_distinct(F.split(F.col("marks"), ""))),
         candidates("*:", F.array(F.lit(""))),
