@@ -78,15 +78,16 @@ def is_allowed_move(before: Column, after: Column) -> Column:
     return F.concat_ws(">", before, after).isin(*moves)
 
 
-def transition_audit(events: DataFrame) -> DataFrame:
+def transition_audit(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Every status change of every job, marked allowed or not.
 
-    Repeats of one status are not changes. The previous status of a day's first
-    event comes from the job's last earlier day, so a job with very many events
-    is spread over its days.
+    Repeats of one status are not changes. The previous status of a bucket's
+    first event comes from the job's last earlier bucket, so a job with very
+    many events is spread over its buckets. A good bucket unit leaves a hot job
+    with about as many buckets as events per bucket.
     """
-    day = F.to_date("timestamp")
-    seen = lag_within(events, ["job_id"], ["timestamp", "event_id"], day, {"status": "previous_status"})
+    part = F.date_trunc(bucket, "timestamp")
+    seen = lag_within(events, ["job_id"], ["timestamp", "event_id"], part, {"status": "previous_status"})
     changed = F.col("previous_status").isNotNull() & (F.col("previous_status") != F.col("status"))
     return (
         seen.filter(changed)
@@ -108,21 +109,22 @@ def job_durations(events: DataFrame) -> DataFrame:
     return spans.withColumn("seconds", F.round(seconds / 1000000.0, 3))
 
 
-def politeness_gaps(log: DataFrame, min_gap: float = 1.0) -> DataFrame:
+def politeness_gaps(log: DataFrame, min_gap: float = 1.0, bucket: str = "hour") -> DataFrame:
     """Requests that followed the previous one to the same domain sooner than `min_gap` seconds."""
-    seen = lag_within(log, ["domain"], ["ts", "event_id"], F.to_date("ts"), {"ts": "previous_ts"})
+    part = F.date_trunc(bucket, "ts")
+    seen = lag_within(log, ["domain"], ["ts", "event_id"], part, {"ts": "previous_ts"})
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     gap = (micros("ts") - micros("previous_ts")) / 1000000.0
     return seen.withColumn("gap_seconds", F.round(gap, 6)).filter(F.col("gap_seconds") < min_gap)
 
 
-def domain_overlap(spans: DataFrame, bucket: Column | None = None) -> DataFrame:
+def domain_overlap(spans: DataFrame, bucket: str = "day") -> DataFrame:
     """Jobs that start while an earlier job of the same domain still runs.
 
     `spans` has job_id, domain, started_at and ended_at.
     """
-    bucket = F.date_trunc("month", F.col("started_at")) if bucket is None else bucket
-    seen = running_max_before(spans, ["domain"], ["started_at", "job_id"], bucket, "ended_at", "busy_until")
+    part = F.date_trunc(bucket, "started_at")
+    seen = running_max_before(spans, ["domain"], ["started_at", "job_id"], part, "ended_at", "busy_until")
     return seen.filter(F.col("busy_until") > F.col("started_at"))
 
 

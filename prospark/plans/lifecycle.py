@@ -51,7 +51,7 @@ def upsert_leads(e):
         "lead_id", "crawl_target_id", "organization_id", "campaign_id", "company_name", "industry", "geography",
         "icp_score", "confidence_score", "status", "created_at",
     ]
-    after = lc.upsert_leads(e.leads().select(*names), incoming_leads(e))
+    after = lc.upsert_leads(e.leads(texts=False).select(*names), incoming_leads(e))
     return after.withColumn("created_at", text_time("created_at"))
 
 
@@ -171,7 +171,7 @@ CHANGES_SQL = f""", ch AS (SELECT o_custkey AS lead_id,
     ),
 )
 def update_lead_status(e):
-    after, refused = lc.update_lead_status(e.leads(), _changes(e), org=3)
+    after, refused = lc.update_lead_status(e.leads(texts=False), _changes(e), org=3)
     none = F.lit(None).cast("string")
     return after.select(
         "lead_id", "status", "updated_at", F.lit("lead").alias("kind"), none.alias("reason")
@@ -228,7 +228,7 @@ def delete_campaigns_cascade(e):
     after = lc.delete_campaigns(
         {
             "campaigns": campaigns,
-            "leads": e.leads().select("lead_id", "campaign_id"),
+            "leads": e.leads(texts=False).select("lead_id", "campaign_id"),
             "jobs": e.jobs().select("job_id", "campaign_id"),
         },
         campaigns.filter(F.col("status") == "ARCHIVED"),
@@ -260,7 +260,7 @@ def delete_org_cascade(e):
         {
             "organizations": orgs,
             "campaigns": e.campaigns(),
-            "leads": e.leads(),
+            "leads": e.leads(texts=False),
             "jobs": e.jobs(),
             "crawl_targets": e.crawl_targets(),
             "usage": record_usage(usage, usage.limit(0)),

@@ -192,7 +192,13 @@ def contact_addresses(e):
     return pg.contacts(texts(e), "addresses")
 
 
-@query("social_profiles")
+@query(
+    "social_profiles",
+    """SELECT page_id, 'linkedin' AS platform, 'https://www.linkedin.com/company/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+        AS profile_url FROM pages
+    UNION ALL SELECT page_id, 'twitter', regexp_extract(url, '^[a-z]+:', 0) || '//x.com/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+        FROM pages""",
+)
 def social_profiles(e):
     """Pages extended by a profile link built from their host."""
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)

@@ -107,7 +107,16 @@ def letter_counts(texts: list[str]) -> list[list[float]]:
     return [[t.count(c) / max(1, len(t)) for c in "aeionrst"] for t in texts]
 
 
-@query("embed_with")
+LETTERS = " || ',' || ".join(
+    f"printf('%.4f', CAST((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1) AS FLOAT)::DOUBLE)"
+    for c in "aeionrst"
+)
+
+
+@query(
+    "embed_with",
+    f"SELECT doc_id AS lead_id, sha256(text) AS content_hash, {LETTERS} AS vector FROM documents WHERE lang <> 'en'",
+)
 def embed_with(e):
     docs = e.table("documents").select(
         F.col("doc_id").alias("lead_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"),

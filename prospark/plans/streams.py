@@ -63,9 +63,8 @@ def stream_job_latest(e):
 @query("stream_transition_audit", over("events_status", TRANSITIONS_SQL))
 def stream_transition_audit(e):
     path = scratch_path(e.spark, "transitions")
-    stream = st.stream_transition_audit(event_stream(e))
-    st.run_to_table(stream, path)
-    return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
+    st.run_transition_audit(event_stream(e), path)
+    return st.read_transitions(e.spark, path).drop("timestamp")
 
 
 @query(

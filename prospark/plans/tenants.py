@@ -59,7 +59,7 @@ def scan_entities(e):
     over("leads", "SELECT lead_id, organization_id FROM leads WHERE organization_id = 3 OR organization_id IS NULL"),
 )
 def scope_tenant_shared(e):
-    return sc.scope_tenant(e.leads(), ORG, shared=True).select("lead_id", "organization_id")
+    return sc.scope_tenant(e.leads(texts=False), ORG, shared=True).select("lead_id", "organization_id")
 
 
 @query(
@@ -67,12 +67,12 @@ def scope_tenant_shared(e):
     over("leads", "SELECT lead_id, organization_id FROM leads WHERE organization_id = 3"),
 )
 def scope_tenant_strict(e):
-    return sc.scope_tenant(e.leads(), ORG, shared=False).select("lead_id", "organization_id")
+    return sc.scope_tenant(e.leads(texts=False), ORG, shared=False).select("lead_id", "organization_id")
 
 
 @query("filter_leads", over("leads", f"SELECT lead_id, icp_score, industry FROM leads WHERE {FILTER_SQL}"))
 def filter_leads(e):
-    return sc.filter_leads(e.leads(), FILTER).select("lead_id", "icp_score", "industry")
+    return sc.filter_leads(e.leads(texts=False), FILTER).select("lead_id", "icp_score", "industry")
 
 
 @query(
@@ -116,7 +116,7 @@ def list_leads(e):
     ),
 )
 def leads_total(e):
-    return ld.leads_total(e.leads(), FILTER)
+    return ld.leads_total(e.leads(texts=False), FILTER)
 
 
 @query(
@@ -239,7 +239,7 @@ def usage_rollup(e):
 )
 def lookup_by_id(e):
     job = sc.lookup(e.jobs(), "job_id", [5, 77, 901, 4000], ORG)
-    lead = sc.lookup(e.leads(), "lead_id", [3, 10, 20, 101], ORG)
+    lead = sc.lookup(e.leads(texts=False), "lead_id", [3, 10, 20, 101], ORG)
     return job.select(F.lit("job").alias("kind"), F.col("job_id").alias("id"), "status").unionByName(
         lead.select(F.lit("lead").alias("kind"), F.col("lead_id").alias("id"), "status")
     )
@@ -255,7 +255,7 @@ def lookup_by_id(e):
 def join_lead_embedding(e):
     from prospark.operators.search import join_lead_embedding as join
 
-    return join(e.leads(), e.lead_embeddings()).select("lead_id", "industry", F.size("embedding").cast("bigint").alias("dimension"))
+    return join(e.leads(texts=False), e.lead_embeddings()).select("lead_id", "industry", F.size("embedding").cast("bigint").alias("dimension"))
 
 
 @query(
@@ -281,7 +281,7 @@ def join_pages_target(e):
     ),
 )
 def join_audit_lead(e):
-    rows = an.join_audit_lead(e.audits(), e.leads())
+    rows = an.join_audit_lead(e.audits(), e.leads(texts=False))
     return rows.select("audit_id", "lead_id", "organization_id", "input_tokens", "output_tokens")
 
 
@@ -294,7 +294,7 @@ def join_audit_lead(e):
     ),
 )
 def join_campaign_leads_outer(e):
-    rows = an.join_campaign_leads_outer(e.campaigns(), e.leads())
+    rows = an.join_campaign_leads_outer(e.campaigns(), e.leads(texts=False))
     return rows.groupBy("campaign_id").agg(
         F.count("lead_id").alias("leads"), F.coalesce(F.sum("icp_score"), F.lit(0)).alias("score_sum")
     )
@@ -368,7 +368,7 @@ OVERVIEW_SQL = over(
 @query("org_overview", OVERVIEW_SQL)
 def org_overview(e):
     return an.org_overview(
-        e.organizations(), e.leads(), e.crawl_targets(), e.crawled_pages(), e.jobs(), e.audits()
+        e.organizations(), e.leads(texts=False), e.crawl_targets(), e.crawled_pages(), e.jobs(), e.audits()
     )
 
 
@@ -381,7 +381,7 @@ def org_overview(e):
     ),
 )
 def count_qualified(e):
-    return an.count_qualified(e.leads())
+    return an.count_qualified(e.leads(texts=False))
 
 
 @query(
@@ -393,7 +393,7 @@ def count_qualified(e):
     ),
 )
 def qualification_rate(e):
-    return an.qualification_rate(e.leads())
+    return an.qualification_rate(e.leads(texts=False))
 
 
 @query(
@@ -434,7 +434,7 @@ def job_success_rate(e):
     ),
 )
 def ai_cost(e):
-    return an.token_cost(e.audits(), e.leads())
+    return an.token_cost(e.audits(), e.leads(texts=False))
 
 
 CAMPAIGN_SQL = """SELECT c.organization_id, c.campaign_id, c.name, c.status, strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
@@ -454,7 +454,7 @@ CAMPAIGN_SQL = """SELECT c.organization_id, c.campaign_id, c.name, c.status, str
     ),
 )
 def campaign_stats(e):
-    return an.campaign_stats(e.campaigns(), e.leads())
+    return an.campaign_stats(e.campaigns(), e.leads(texts=False))
 
 
 @query(
@@ -466,7 +466,7 @@ def campaign_stats(e):
     ),
 )
 def campaign_list(e):
-    rows = an.campaign_counts(e.campaigns(), e.leads()).orderBy(F.desc("created_at"), "campaign_id")
+    rows = an.campaign_counts(e.campaigns(), e.leads(texts=False)).orderBy(F.desc("created_at"), "campaign_id")
     return rows.select(
         "organization_id", "campaign_id", "name", "status", text_time("created_at"), "total_leads", "qualified_leads"
     )
@@ -482,14 +482,14 @@ def campaign_list(e):
 )
 def campaign_detail(e):
     one = sc.lookup(e.campaigns(), "campaign_id", [0], 15, shared=False)
-    return an.campaign_counts(one, e.leads()).select(
+    return an.campaign_counts(one, e.leads(texts=False)).select(
         "organization_id", "campaign_id", "name", "total_leads", "qualified_leads"
     )
 
 
 @query("campaign_qual_rate", over("campaigns leads", f"SELECT campaign_id, qualified_pct FROM ({CAMPAIGN_SQL})"))
 def campaign_qual_rate(e):
-    return an.campaign_counts(e.campaigns(), e.leads()).select("campaign_id", "qualified_pct")
+    return an.campaign_counts(e.campaigns(), e.leads(texts=False)).select("campaign_id", "qualified_pct")
 
 
 @query(
@@ -501,7 +501,7 @@ def campaign_qual_rate(e):
     ),
 )
 def industry_top10(e):
-    return an.industry_top(sc.scope_tenant(e.leads(), ORG, shared=False))
+    return an.industry_top(sc.scope_tenant(e.leads(texts=False), ORG, shared=False))
 
 
 @query(
@@ -514,7 +514,7 @@ def industry_top10(e):
     ),
 )
 def top_industries_per_org(e):
-    return an.industry_top(e.leads(), n=5, per_org=True)
+    return an.industry_top(e.leads(texts=False), n=5, per_org=True)
 
 
 @query(
@@ -526,7 +526,7 @@ def top_industries_per_org(e):
     ),
 )
 def status_histogram(e):
-    return an.status_histogram(e.leads())
+    return an.status_histogram(e.leads(texts=False))
 
 
 @query(
@@ -556,7 +556,7 @@ def quota_report(e):
     ),
 )
 def lead_kpis(e):
-    return ld.lead_kpis(e.leads(), FILTER)
+    return ld.lead_kpis(e.leads(texts=False), FILTER)
 
 
 @query(
@@ -568,7 +568,7 @@ def lead_kpis(e):
     ),
 )
 def fit_histogram(e):
-    return ld.fit_histogram(e.leads())
+    return ld.fit_histogram(e.leads(texts=False))
 
 
 @query(

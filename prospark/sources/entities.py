@@ -95,31 +95,34 @@ class Entities:
         )
         return own.unionByName(guest)
 
-    def leads(self) -> DataFrame:
+    def leads(self, texts: bool = True) -> DataFrame:
+        """Leads; without `texts` the summary and value proposition, and the joins for them, are left out."""
         key = F.col("c_custkey")
         c, n = self.table("customer"), self.table("nation")
-        p, d = self.table("part"), self.table("documents")
-        return (
-            c.join(n, c.c_nationkey == n.n_nationkey, "left")
-            .join(p, c.c_custkey == p.p_partkey, "left")
-            .join(d, c.c_custkey == d.doc_id, "left")
-            .select(
-                key.alias("lead_id"),
-                key.alias("crawl_target_id"),
-                F.when(key % 10 != 0, F.col("c_nationkey").cast("bigint")).alias("organization_id"),
-                F.when(key % 7 != 0, key % 40).alias("campaign_id"),
-                F.col("c_name").alias("company_name"),
-                F.concat(F.lit("c"), key.cast("string"), F.lit(".example.com")).alias("domain"),
-                F.col("c_mktsegment").alias("industry"),
-                F.col("n_name").alias("geography"),
-                _pick(key % 4, ["1-10", "11-50", "51-200", "Unknown"]).alias("estimated_company_size"),
+        rows = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+        long = []
+        if texts:
+            p, d = self.table("part"), self.table("documents")
+            rows = rows.join(p, c.c_custkey == p.p_partkey, "left").join(d, c.c_custkey == d.doc_id, "left")
+            long = [
                 F.coalesce("p_name", F.lit("")).alias("value_proposition"),
                 F.coalesce("text", F.lit("")).alias("company_summary"),
-                _whole(F.greatest("c_acctbal", F.lit(0.0)) / 100, "int").alias("icp_score"),
-                ((key % 101) / F.lit(100.0)).alias("confidence_score"),
-                _pick(key % 5, ["NEW", "REVIEW", "QUALIFIED", "CONTACTED", "REJECTED"]).alias("status"),
-                _after(_moment(EPOCH), key, "mins").alias("created_at"),
-            )
+            ]
+        return rows.select(
+            key.alias("lead_id"),
+            key.alias("crawl_target_id"),
+            F.when(key % 10 != 0, F.col("c_nationkey").cast("bigint")).alias("organization_id"),
+            F.when(key % 7 != 0, key % 40).alias("campaign_id"),
+            F.col("c_name").alias("company_name"),
+            F.concat(F.lit("c"), key.cast("string"), F.lit(".example.com")).alias("domain"),
+            F.col("c_mktsegment").alias("industry"),
+            F.col("n_name").alias("geography"),
+            _pick(key % 4, ["1-10", "11-50", "51-200", "Unknown"]).alias("estimated_company_size"),
+            *long,
+            _whole(F.greatest("c_acctbal", F.lit(0.0)) / 100, "int").alias("icp_score"),
+            ((key % 101) / F.lit(100.0)).alias("confidence_score"),
+            _pick(key % 5, ["NEW", "REVIEW", "QUALIFIED", "CONTACTED", "REJECTED"]).alias("status"),
+            _after(_moment(EPOCH), key, "mins").alias("created_at"),
         )
 
     def lead_embeddings(self) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prospark import rules
 from prospark.functions.skew import first_per_key
-from prospark.operators.jobs import normalize_events
+from prospark.operators.jobs import normalize_events, transition_audit
 
 EVENT_SCHEMA = (
     "event_id bigint, job_id bigint, organization_id bigint, event_type string, progress int, data string, "
@@ -119,8 +119,8 @@ def stream_transition_audit(events: DataFrame, watermark: str = "1 hour", keep:
 
     The state of a job is its last status only. With `keep` (such as "7 days")
     a job without events for that long is forgotten; without it jobs are kept.
-    Events of one micro-batch are ordered by time, so the batch size set on the
-    source also bounds what one task orders.
+    The events of a job within one micro-batch are ordered in one task; where a
+    job may be very busy, `run_transition_audit` gives the same rows.
     """
     moves = set(rules.JOB_MOVES)
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
@@ -151,38 +151,78 @@ def stream_transition_audit(events: DataFrame, watermark: str = "1 hour", keep:
     )
 
 
-def active_jobs_of(latest: DataFrame, limit: int = rules.MAX_ACTIVE_JOBS) -> DataFrame:
-    """Running jobs per organization against the limit, from the latest state of each job."""
-    busy = F.count_if(F.col("status").isin(rules.ACTIVE_STATES)).alias("active_jobs")
-    return latest.groupBy("organization_id").agg(busy).withColumn("exceeded", F.col("active_jobs") >= limit)
+# A full copy of the kept state every so many batches bounds how far back a batch reads.
+STATE_SPAN = 20
+
+
+def read_state(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
+    """State of every job as it was before `batch`: the newest row per job since the last full copy."""
+    if batch == 0:
+        return spark.createDataFrame([], schema)
+    start = (batch - 1) // STATE_SPAN * STATE_SPAN
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    rows = rows.filter((F.col("batch") >= start) & (F.col("batch") < batch))
+    return first_per_key(rows, ["job_id"], [F.desc("batch")]).drop("batch")
+
+
+def write_state(updates: DataFrame, before: DataFrame, path: str, batch: int) -> None:
+    """Stores the jobs changed in `batch`, or all jobs when a full copy is due.
+
+    The folder belongs to the batch, so a batch that runs again replaces its own rows.
+    """
+    if batch and batch % STATE_SPAN == 0:
+        updates = updates.unionByName(before.join(updates.select("job_id"), "job_id", "left_anti"))
+    updates.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def run_transition_audit(events: DataFrame, path: str, bucket: str = "hour") -> None:
+    """The transition audit for streams in which one job may hold much of the traffic.
+
+    Same rows as `stream_transition_audit`, but each micro-batch runs the batch
+    audit, which spreads a hot job over many tasks. The last status of each job
+    in the batch comes in as an event ahead of all others.
+    """
+    schema = "job_id bigint, event_id bigint, timestamp timestamp, status string"
+
+    def write(df: DataFrame, batch: int) -> None:
+        rows = df.select("job_id", "event_id", "timestamp", "status")
+        before = read_state(df.sparkSession, f"{path}/state", schema, batch)
+        ahead = before.join(rows.select("job_id").distinct(), "job_id", "left_semi").withColumn(
+            "timestamp", F.lit("1000-01-01 00:00:00").cast("timestamp")
+        )
+        audit = transition_audit(rows.unionByName(ahead.select(*rows.columns)), bucket)
+        audit.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        last = rows.groupBy("job_id").agg(F.max(F.struct("timestamp", "event_id", "status")).alias("e"))
+        updates = last.select("job_id", "e.event_id", "e.timestamp", "e.status")
+        write_state(updates, before.select(*updates.columns), f"{path}/state", batch)
+
+    run_batches(normalize_events(events), path, write, mode="append")
+
+
+def read_transitions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{TRANSITION_SCHEMA}, batch bigint").parquet(f"{path}/rows").drop("batch")
 
 
 def stream_active_jobs(events: DataFrame, path: str) -> None:
-    """Keeps the latest state of each job at `path` and, after each batch, the counts per organization.
+    """Keeps the latest state of each job and adds, per batch, the change in running jobs per organization.
 
-    Counts are +1 or -1 deltas of the jobs that changed in the batch, so a batch
-    costs what changed and not the whole job table.
+    The change is +1 or -1 per job that changed in the batch, so a batch costs
+    what changed and not the whole job table.
     """
-    latest = stream_job_latest(events)
     schema = "job_id bigint, organization_id bigint, active int"
 
     def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
         active = F.col("status").isin(rules.ACTIVE_STATES).cast("int")
         now = df.select("job_id", "organization_id", active.alias("active"))
-        if batch == 0:
-            before = spark.createDataFrame([], schema)
-        else:
-            older = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/jobs").filter(F.col("batch") < batch)
-            before = first_per_key(older, ["job_id"], [F.desc("batch")]).drop("batch")
+        before = read_state(df.sparkSession, f"{path}/state", schema, batch)
         was = before.select("job_id", F.col("active").alias("was"))
         delta = now.join(was, "job_id", "left").withColumn("delta", F.col("active") - F.coalesce("was", F.lit(0)))
         delta.groupBy("organization_id").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(
             f"{path}/counts/batch={batch}"
         )
-        now.write.mode("overwrite").parquet(f"{path}/jobs/batch={batch}")
+        write_state(now, before.select(*now.columns), f"{path}/state", batch)
 
-    run_batches(latest, path, write)
+    run_batches(stream_job_latest(events), path, write)
 
 
 def read_active_jobs(spark: SparkSession, path: str, limit: int = rules.MAX_ACTIVE_JOBS) -> DataFrame:
