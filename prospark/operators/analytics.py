@@ -165,7 +165,7 @@ def status_histogram(leads: DataFrame) -> DataFrame:
     return _keyed(leads).groupBy("organization_id", "status").agg(F.count("lead_id").alias("leads"))
 
 
-def _sum_usage(rows: DataFrame) -> DataFrame:
+def sum_usage(rows: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in rules.USAGE_COUNTERS]
     cost = F.round(F.sum("estimated_ai_cost"), 4).alias("estimated_ai_cost")
     return rows.groupBy("organization_id", "date").agg(*sums, cost)
@@ -173,7 +173,7 @@ def _sum_usage(rows: DataFrame) -> DataFrame:
 
 def record_usage(existing: DataFrame, deltas: DataFrame) -> DataFrame:
     """New daily table: old rows plus increments, one row per tenant and day."""
-    return _sum_usage(existing.unionByName(deltas))
+    return sum_usage(existing.unionByName(deltas))
 
 
 def usage_timeline(usage: DataFrame, as_of: str, days: int = rules.USAGE_DAYS) -> DataFrame:
@@ -204,7 +204,7 @@ def usage_deltas(jobs: DataFrame) -> DataFrame:
 
 
 def usage_rollup(jobs: DataFrame) -> DataFrame:
-    return _sum_usage(usage_deltas(jobs))
+    return sum_usage(usage_deltas(jobs))
 
 
 def quota_report(

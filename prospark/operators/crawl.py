@@ -129,7 +129,7 @@ def crawl_plan(
             fresh = fresh.join(seen, again & (fresh["body_chars"] > dup_chars), "left_anti")
         chosen = first_per_key(fresh, ["domain"], order).withColumn("step", F.lit(step))
         chosen = cut_lineage(chosen.select("domain", "step", "url", "depth", "found_at", "priority", "content_hash", "body_chars"))
-        kept = chosen if kept is None else cut_lineage(kept.unionByName(chosen))
+        kept = chosen if kept is None else kept.unionByName(chosen)
         opened = (
             chosen.filter(F.col("depth") < max_depth)
             .join(links, F.col("url") == F.col("src_url"))

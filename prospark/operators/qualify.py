@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +184,3 @@ def profile_json(cols: DataFrame) -> Column:
     """Profile columns as the JSON text a model reads."""
     names = {"negative_signals": "negative_disqualifiers", "min_icp_threshold": "qualification_threshold"}
     return F.to_json(F.struct(*[F.col(n).alias(names.get(n, n)) for n in PROFILE_FIELDS]), {"pretty": "true"})
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

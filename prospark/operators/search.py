@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prospark import rules
 from prospark.functions.skew import first_per_key
 from prospark.functions.vectors import cosine_distance, hyperplane_buckets, nearest_in_block
+from prospark.operators.leads import rank_relational
 from prospark.operators.scope import LeadFilter, filter_leads, scope_tenant
 
 SEARCH_COLUMNS = [
@@ -79,9 +80,13 @@ def hybrid_search(
     """Filtered leads, the 2k nearest of them re-ranked by similarity, fit and keywords.
 
     Only the 2k nearest take part in the re-rank; that is the defined behaviour,
-    so a strong keyword match outside them does not appear.
+    so a strong keyword match outside them does not appear. Without any text the
+    leads are ranked by fit and age instead, and have no score.
     """
     k = min(max(1, k), 100)
+    if not text.strip():
+        none = F.lit(None).cast("double")
+        return rank_relational(leads, filters, k).withColumns({"score": none, "similarity": none})
     passing = filter_leads(leads, filters)
     near = _nearest(passing, embeddings, query_vec, 2 * k)  # at most 200 rows, safe to broadcast
     sim = F.greatest(F.lit(0.0), 1.0 - F.col("distance"))

@@ -175,7 +175,7 @@ AS_OF = "2024-02-10"
     ),
 )
 def filter_recent_usage(e):
-    daily = an._sum_usage(e.usage_events())
+    daily = an.sum_usage(e.usage_events())
     rows = sc.recent_usage(daily, AS_OF)
     return rows.select("organization_id", F.col("date").cast("string").alias("date"), "crawls", "jobs_failed")
 
@@ -190,7 +190,7 @@ def filter_recent_usage(e):
     ),
 )
 def usage_timeline(e):
-    rows = an.usage_timeline(an._sum_usage(e.usage_events()), AS_OF)
+    rows = an.usage_timeline(an.sum_usage(e.usage_events()), AS_OF)
     return rows.withColumn("date", F.col("date").cast("string"))
 
 
@@ -202,7 +202,7 @@ USAGE_COLS = """organization_id, CAST(date AS VARCHAR) AS date, crawls, pages_cr
 def record_usage(e):
     rows = e.usage_events()
     cut = F.lit("2024-01-15").cast("date")
-    existing = an._sum_usage(rows.filter(F.col("date") < cut))
+    existing = an.sum_usage(rows.filter(F.col("date") < cut))
     return an.record_usage(existing, rows.filter(F.col("date") >= cut)).withColumn("date", F.col("date").cast("string"))
 
 
@@ -543,7 +543,7 @@ def status_histogram(e):
     ),
 )
 def quota_report(e):
-    return an.quota_report(e.organizations(), e.jobs(), an._sum_usage(e.usage_events()), AS_OF)
+    return an.quota_report(e.organizations(), e.jobs(), an.sum_usage(e.usage_events()), AS_OF)
 
 
 @query(

@@ -189,3 +189,9 @@ def test_embed_with(spark):
     plan = spark.createDataFrame([(1, "h1", "aa", "insert"), (2, "h2", "b", "reuse"), (3, "h3", "ccc", "update")], "lead_id long, content_hash string, content string, action string")
     got = {r.lead_id: r.embedding for r in se.embed_with(plan, lambda ts: [[len(t), 1] for t in ts]).collect()}
     assert got == {1: [2.0, 1.0], 3: [3.0, 1.0]}
+
+
+def test_hybrid_without_text_ranks_by_fit(spark):
+    vectors_df = spark.createDataFrame([(1, [1.0, 0.0])], "lead_id long, embedding array<float>")
+    rows = se.hybrid_search(leads(spark), vectors_df, "  ", [1.0, 0.0], k=2).collect()
+    assert [r.lead_id for r in rows] == [1, 3] and rows[0].score is None
