@@ -78,10 +78,9 @@ def build_context(
     (section, part) they are the whole text. Page text is held to `max_chars`;
     the URL list names every selected page and so comes in parts of bounded size.
     """
-    ids = dedupe_pages(pages).select("page_id")
-    chosen = pages.join(ids, "page_id", "left_semi")
-    one = F.lit("0")
-    sizes = chosen.select("target_id", "page_id", "depth", "url", F.length(_block_text(one, chosen)).alias("size"))
+    # Blocks are measured where the page is read; only sizes and keys are shuffled.
+    sizes = dedupe_pages(pages, carry={"size": F.length(_block_text(F.lit("0"), pages))})
+    sizes = sizes.select("target_id", "page_id", "depth", "url", "size")
 
     # The page number is part of the block, so its length is first taken with a
     # one-digit number, which can only be too small; the few blocks left are
@@ -95,8 +94,8 @@ def build_context(
     before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     fitting = numbered.withColumn("kept", _kept_chars(before, F.col("size"), max_chars, min_tail)).filter("kept IS NOT NULL")
 
-    texts = fitting.select("page_id", "idx", "kept", "size").join(chosen, "page_id")
-    block = _block_text(F.col("idx"), chosen)
+    texts = fitting.select("page_id", "idx", "kept", "size").join(pages, "page_id")
+    block = _block_text(F.col("idx"), pages)
     shown = F.when(
         F.col("kept") < F.col("size"),
         F.concat(F.substring(block, F.lit(1), F.col("kept").cast("int")), F.lit("\n...[truncated for length]")),

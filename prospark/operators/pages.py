@@ -199,15 +199,18 @@ def duplicate_groups(df: DataFrame, key: str, col: str = "content") -> DataFrame
     )
 
 
-def dedupe_pages(pages: DataFrame, min_len: int = 5, only_longer_than: int | None = None) -> DataFrame:
+def dedupe_pages(
+    pages: DataFrame, min_len: int = 5, only_longer_than: int | None = None, carry: dict[str, Column] | None = None
+) -> DataFrame:
     """First page per content hash within a target, by depth and id.
 
     `min_len` drops pages with shorter (stripped) text. With `only_longer_than`
     only bodies above that length count as duplicates and none is dropped for
-    being short. The text itself is reduced to hash and length before the shuffle.
+    being short. The text itself is reduced to hash and length before the
+    shuffle; `carry` names further values to take along.
     """
     body = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
-    slim = pages.select("page_id", "target_id", "depth", "url", F.sha2("content", 256).alias("content_hash"), F.length(body).alias("body_chars"))
+    slim = pages.select("page_id", "target_id", "depth", "url", F.sha2("content", 256).alias("content_hash"), F.length(body).alias("body_chars"), *[c.alias(n) for n, c in (carry or {}).items()])
     order = [F.asc("depth"), F.asc("page_id")]
     if only_longer_than is None:
         slim = slim.filter(F.col("body_chars") >= min_len)
