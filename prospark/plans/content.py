@@ -25,8 +25,8 @@ def page_text(e):
 @query(
     "page_metadata",
     """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language,
-    trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'),
-        '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages""",
+    trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'),
+        '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g')) AS title FROM pages""",
 )
 def page_metadata(e):
     return ht.page_metadata(e.table("pages")).select("page_id", "language", "title")

@@ -31,10 +31,12 @@ def ground_signals_url(e):
     "ground_signals_quote",
     over(
         "signals doc_pages",
-        f""", m AS (SELECT signal_id, {NORM.format('s.evidence')} AS q, {PAGE} AS page, {URL_REASON} AS url_reason
+        f""", m AS (SELECT signal_id, {NORM.format('s.evidence')} AS q, {PAGE} AS page, {URL_REASON} AS url_reason,
+            lower(trim(s.evidence)) AS bare, lower(title || ' ' || content || ' {{}}') AS raw
             FROM signals s LEFT JOIN doc_pages p ON p.target_id = s.target_id AND p.url = s.source_url),
         w AS (SELECT *, string_split(q, ' ') AS words FROM m)
-        SELECT signal_id, coalesce(url_reason, CASE WHEN q = '' THEN 'quote not on page' WHEN contains(page, q) OR len(list_filter(list_transform(
+        SELECT signal_id, coalesce(url_reason, CASE WHEN q = '' AND (bare = '' OR NOT contains(raw, bare))
+            THEN 'quote not on page' WHEN contains(page, q) OR len(list_filter(list_transform(
             range(1, greatest(len(words) - 2, 1)), lambda i: array_to_string(words[i:i + 3], ' ')),
             lambda s: length(s) >= 20 AND contains(page, s))) > 0 THEN NULL ELSE 'quote not on page' END) AS reason FROM w""",
     ),
@@ -123,7 +125,7 @@ def ground_facts(e):
     over(
         "doc_pages",
         f"""SELECT page_id AS qual_id, CASE WHEN trim(substr(content, 1, 40)) <> '' THEN 'A' ELSE 'Unknown' END AS good,
-        'Unknown' AS no_quote, 'Unknown' AS no_page, 'D' AS free, CAST(0.0 AS DOUBLE) AS confidence, NULL AS url FROM doc_pages""",
+        'Unknown' AS no_quote, 'Unknown' AS no_page, 'D' AS free, CAST(0.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS url FROM doc_pages""",
     ),
 )
 def ground_attributes(e):
