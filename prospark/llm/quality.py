@@ -37,9 +37,9 @@ class Rule:
 RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule(2, "symbols", "100 * n_symbols > 40 * n_words"),
+    Rule(2, "symbols", "100 * n_symbols > 25 * n_words"),
     Rule(3, "shouting", "100 * n_upper > 60 * (word_chars - n_symbols)"),
-    Rule(4, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(4, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
 )
 
