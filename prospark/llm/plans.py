@@ -1,6 +1,6 @@
 """All named queries of the subpackage: importing a query module registers what it defines."""
 
-from prospark.llm import op02_licenses, op03_passages, op09_quality, op10_contamination  # noqa: F401
+from prospark.llm import op02_licenses, op03_passages, op07_neardup, op09_quality, op10_contamination  # noqa: F401
 from prospark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
