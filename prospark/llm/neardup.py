@@ -9,9 +9,10 @@ Documents with equal sets are one class, named by its smallest doc_id, before an
 is paired with the smallest one, its leader, only: pairs grow with the bucket and not with its square. A pair is decided
 on the two whole sets, and the decision also gives the symmetric difference D(x) of a class x and its leader. Two
 classes of one bucket that are not both linked to the leader can be linked only if D(x) and D(y) share at least
-(|D(x)| + |D(y)| - t) / 2 elements, t = 15/185 of both sizes; elements that the leader lacks come first, and a join of
-the necessary prefixes with length and position bounds finds all such pairs, which D(x) and D(y) then decide exactly.
-So no link between different texts that share a bucket is lost and no group is paired with itself.
+(|D(x)| + |D(y)| - t) / 2 elements, t = 15/185 of both sizes; with the rarest elements first, a join of the necessary
+prefixes with length and position bounds finds all such pairs, which D(x) and D(y) then decide exactly. Classes that
+leaders' links have joined already are not paired. So no component misses a link between texts that share a bucket,
+and no group is paired with itself.
 
 Components are computed over classes; members get the component of their class.
 
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prospark.llm.components import components
 from prospark.llm.words import WHITE, Words, mix, pair_names, slabs, window_fits, window_names
@@ -156,21 +158,24 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.array([None if r is None else r.view(np.int64) for r in rows], pa.list_(pa.int64()))
 
 
-def _between_classes(verdicts: DataFrame, percent: int) -> DataFrame:
-    """Links of classes with a common leader that are not both linked to it."""
+def _between_classes(verdicts: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Links of classes with a common leader that its own links have not joined into one component."""
     t = (100 - percent) / (100 + percent)
-    groups = verdicts.where("added IS NOT NULL")
-    open_ = groups.groupBy("a").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("n")).where("NOT all_linked AND n > 1").select("a")
-    rows = groups.join(open_, "a").select("a", "b", "n_b", "linked", F.concat("added", "lost").alias("d"))
-    rows = rows.withColumn("size", F.size("d"))
-    each = rows.select("a", "b", F.col("n_b").alias("n"), "linked", "size", F.posexplode("d").alias("k", "e"))
+    rows = verdicts.where("added IS NOT NULL").select("a", "b", "n_b", F.concat("added", "lost").alias("d"))
+    rows = rows.join(joined, rows["b"] == joined["node"], "left").select("a", "b", "n_b", "d", F.coalesce("component", "b").alias("c"))
+    apart = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("a")
+    rows = rows.join(apart, "a").withColumn("size", F.size("d"))
+    each = rows.select("a", "b", F.col("n_b").alias("n"), "c", "size", F.explode("d").alias("e"))
+    rare = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("a", "b").orderBy("often", "e")
+    each = each.join(rare, ["a", "e"]).withColumn("k", F.row_number().over(order) - 1).drop("often")
     x, y = each.alias("x"), each.where("k < size - ceil(0.45 * size) + 1").alias("y")
     need = f"ceil((x.size + y.size - {t!r} * (x.n + y.n)) / 2 - 1e-6)"
     pairs = (
         y.join(
             x,
             F.expr(
-                f"""x.a = y.a AND x.e = y.e AND (y.size < x.size OR (y.size = x.size AND y.b < x.b)) AND NOT (x.linked AND y.linked)
+                f"""x.a = y.a AND x.e = y.e AND x.c <> y.c AND (y.size < x.size OR (y.size = x.size AND y.b < x.b))
                 AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
                 AND y.k <= y.size - {need} AND x.k <= x.size - {need}"""
             ),
@@ -180,12 +185,12 @@ def _between_classes(verdicts: DataFrame, percent: int) -> DataFrame:
     )
     sets = rows.select("a", "b", "n_b", "d")
     pairs = pairs.join(sets, ["a", "b"]).join(sets.select("a", F.col("b").alias("c"), F.col("n_b").alias("n_c"), F.col("d").alias("f")), ["a", "c"])
-    apart = F.size("d") + F.size("f") - 2 * F.size(F.array_intersect("d", "f"))
-    return pairs.where(100 * (F.col("n_b") + F.col("n_c") - apart) >= percent * (F.col("n_b") + F.col("n_c") + apart)).select(F.col("b").alias("a"), F.col("c").alias("b"))
+    differ = F.size("d") + F.size("f") - 2 * F.size(F.array_intersect("d", "f"))
+    return pairs.where(100 * (F.col("n_b") + F.col("n_c") - differ) >= percent * (F.col("n_b") + F.col("n_c") + differ)).select(F.col("b").alias("a"), F.col("c").alias("b"))
 
 
-def links(docs: DataFrame, found: DataFrame, classes: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
-    """(a, b): links between classes that share a bucket, through leaders and between their other classes."""
+def verdicts_of(docs: DataFrame, classes: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
+    """Each class of each bucket against the bucket's leader, decided on whole sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -195,8 +200,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, width: int = 3,
         .join(texts.withColumnsRenamed({"id": "lead", "text": "lead_text"}), "lead")
         .select("lead", "rep", "lead_text", "rep_text", "many")
     )
-    verdicts = cut_lineage(with_texts.mapInArrow(_decide(width, percent), _VERDICT))
-    return verdicts.where("linked").select("a", "b").union(_between_classes(verdicts, percent))
+    return cut_lineage(with_texts.mapInArrow(_decide(width, percent), _VERDICT))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
@@ -208,7 +212,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text_col
         classes.select("hi", "lo", "rep"), ["hi", "lo"], "left"
     ).withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))
     same_id = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    joined = components(links(docs, found, classes, width, percent, text_col).union(same_id))
+    verdicts = verdicts_of(docs, classes, width, percent, text_col)
+    joined = components(verdicts.where("linked").select("a", "b").union(same_id))
+    more = _between_classes(verdicts, joined, percent)
+    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     result = members.join(joined, members["rep"] == joined["node"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
