@@ -1,15 +1,15 @@
 """Near-duplicate documents by min-max hashing.
 
 The set of a document holds the names of its distinct `width`-word shingles. Under each of 63 permutations both the
-smallest and the largest value are kept, which makes 126 signature values of 63 hash evaluations; 25 bands of 5 values
-name the buckets. A pair with Jaccard similarity 0.85 shares a bucket with probability 1 - (1 - 0.85**5)**25, all but
-4 in ten million.
+smallest and the largest value are kept, which makes 126 signature values of 63 hash evaluations; bands of them name
+the buckets. The bands are as long as they can be for less than one pair in a million of the wanted similarity to miss
+all common buckets: 25 bands of 5 values at 0.85, 31 of 4 at 0.8.
 
 Documents with equal sets are one class, named by its smallest doc_id, before anything is paired. In a bucket each class
 is paired with the smallest one, its leader, only: pairs grow with the bucket and not with its square. A pair is decided
 on the two whole sets, and the decision also gives the symmetric difference D(x) of a class x and its leader. Two
 classes of one bucket that are not both linked to the leader can be linked only if D(x) and D(y) share at least
-(|D(x)| + |D(y)| - t) / 2 elements, t = 15/185 of both sizes; with the rarest elements first, a join of the necessary
+(|D(x)| + |D(y)| - t) / 2 elements, t = (1-s)/(1+s) of both sizes; with the rarest elements first, a join of the necessary
 prefixes with length and position bounds finds all such pairs, which D(x) and D(y) then decide exactly. Classes that
 leaders' links have joined already are not paired. So no component misses a link between texts that share a bucket,
 and no group is paired with itself.
@@ -35,7 +35,7 @@ from prospark.llm.components import components
 from prospark.llm.words import WHITE, Words, mix, pair_names, slabs, window_fits, window_names
 from prospark.session import cut_lineage
 
-PERMUTATIONS, BANDS, ROWS = 63, 25, 5
+PERMUTATIONS = 63
 _FACTOR = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
@@ -64,23 +64,33 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else kept, first
 
 
-def bands_of(names: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bucket names (documents x bands) of non-empty sets that begin at `first`."""
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair of this similarity less than once in a million."""
+    for rows in range(2 * PERMUTATIONS, 0, -1):
+        bands = 2 * PERMUTATIONS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= 1e-6:
+            return bands, rows
+    raise ValueError(f"no banding finds a similarity of {percent} %")
+
+
+def bands_of(names: np.ndarray, first: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """Bucket names (documents x bands) of non-empty sets that begin at `first`, from `width` values each."""
     low = np.empty((2 * PERMUTATIONS, len(first)), dtype=np.uint64)
     value = np.empty_like(names)
     for i in range(PERMUTATIONS):
         np.multiply(names ^ _SHIFT[i], _FACTOR[i], out=value)
         low[i] = np.minimum.reduceat(value, first)
         low[PERMUTATIONS + i] = np.maximum.reduceat(value, first)
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
-    out = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(first), axis=1)
-    for r in range(ROWS):
+    rows = low[: bands * width].reshape(bands, width, -1)
+    out = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(first), axis=1)
+    for r in range(width):
         out = pair_names(out, rows[:, r])
     return out.T
 
 
-def signatures(docs: DataFrame, width: int = 3, text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, hi, lo, bands): size, 128-bit name and bucket names of every document's set."""
+    n_bands, rows_of_band = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +99,14 @@ def signatures(docs: DataFrame, width: int = 3, text_col: str = "text") -> DataF
                 n = np.diff(first)
                 some = n > 0
                 hi, lo = np.zeros(words.docs, dtype=np.uint64), np.zeros(words.docs, dtype=np.uint64)
-                bands = np.zeros((0, BANDS), dtype=np.uint64)
+                bands = np.zeros((0, n_bands), dtype=np.uint64)
                 if some.any():
                     at = first[:-1][some]
                     hi[some] = np.add.reduceat(mix(names), at)
                     lo[some] = np.add.reduceat(mix(names ^ np.uint64(0x243F6A8885A308D3)), at)
-                    bands = bands_of(names, at)
+                    bands = bands_of(names, at, n_bands, rows_of_band)
                 where = np.zeros(words.docs + 1, dtype=np.int32)
-                np.cumsum(some * BANDS, out=where[1:])
+                np.cumsum(some * n_bands, out=where[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, words.docs),
@@ -205,7 +215,7 @@ def verdicts_of(docs: DataFrame, classes: DataFrame, width: int = 3, percent: in
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`."""
-    found = cut_lineage(signatures(docs, width, text_col))
+    found = cut_lineage(signatures(docs, width, percent, text_col))
     sets = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(sets.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     members = found.select("doc_id", "n_shingles", "hi", "lo").join(
