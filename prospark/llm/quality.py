@@ -88,8 +88,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     starts = F.sort_array(F.transform(twice(F.col("s"), lambda x: x["g"]), lambda x: x["i"]))
     rows = rows.select("doc", "t", "w", "lines", starts.alias("s"))
     without = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
-    return rows.select(
-        "doc",
+    measures = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         without(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -98,6 +97,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("s"), 5), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # A generator of one row: a filter on a measurement stays above it, else it would be rewritten into a filter on the
+    # text with every step above inlined several times.
+    return rows.select("doc", F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
