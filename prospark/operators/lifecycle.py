@@ -19,55 +19,75 @@ LEAD_REPLACED = [
 ]
 
 
+def _placed(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """`incoming` with `_place`: "own" if its tenant has a row of this key, "shared" if only no tenant has one, or "new".
+
+    Rows of other tenants are never a match; a request of no tenant sees shared rows alone, which are its own.
+    """
+    org = "organization_id"
+    rows = existing.groupBy(key, org).agg(F.lit(True).alias("_own"))
+    own = rows.select(F.col(key).alias("_k"), F.col(org).alias("_o"), "_own")
+    shared = rows.filter(F.col(org).isNull()).select(F.col(key).alias("_s"))
+    out = incoming.join(own, (F.col(key) == F.col("_k")) & F.col(org).eqNullSafe(F.col("_o")), "left")
+    out = out.join(shared, F.col(key) == F.col("_s"), "left")
+    place = F.when(F.col("_own"), "own").when(F.col("_s").isNotNull(), "shared").otherwise("new")
+    return out.withColumn("_place", place).select(*incoming.columns, "_place")
+
+
+def _per_row(placed: DataFrame, key: str, first) -> DataFrame:
+    """Of the requests that meet in one stored row, the one whose tenant is `first`; `_to` is the row's tenant."""
+    hits = placed.filter("_place <> 'new'").withColumn("_to", F.when(F.col("_place") == "own", F.col("organization_id")))
+    chosen = hits.groupBy(F.col(key).alias("_k"), F.col("_to").alias("_t")).agg(first("organization_id").alias("_o"))
+    same = (F.col(key) == F.col("_k")) & F.col("_to").eqNullSafe(F.col("_t")) & F.col("organization_id").eqNullSafe(F.col("_o"))
+    return hits.join(chosen, same, "left_semi")
+
+
 def upsert_leads(existing: DataFrame, incoming: DataFrame, key: str = "crawl_target_id") -> DataFrame:
     """New targets become NEW leads; known ones take the fresh qualification fields.
 
-    `incoming` holds one row per key. Id, status, tenant, campaign and creation
-    time of a known lead stay as they are.
+    `incoming` holds one row per (key, tenant). It matches the tenant's own lead, else the shared one, and never
+    another tenant's. Where several tenants' answers meet in a shared lead, the one of the largest tenant id stays.
+    Id, status, tenant, campaign and creation time of a known lead stay as they are.
     """
-    old, new = existing.alias("o"), incoming.alias("n")
-    known, fresh = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
-    out = []
-    for name in existing.columns:
-        has_new = name in incoming.columns
-        if name == key:
-            value = F.coalesce(f"o.{key}", f"n.{key}")
-        elif name == "status":
-            value = F.when(known, F.col("o.status")).otherwise("NEW")
-        elif name in LEAD_REPLACED and has_new:
-            value = F.when(fresh, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}"))
-        elif has_new:
-            value = F.when(known, F.col(f"o.{name}")).otherwise(F.col(f"n.{name}"))
-        else:
-            value = F.col(f"o.{name}")
-        out.append(value.alias(name))
-    return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*out)
+    placed = _placed(existing, incoming, key)
+    hits = _per_row(placed, key, F.max)
+    fresh = [c for c in LEAD_REPLACED if c in incoming.columns and c in existing.columns]
+    new = hits.select(F.col(key).alias("_k"), F.col("_to").alias("_t"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fresh])
+    kept = existing.join(new, (F.col(key) == F.col("_k")) & F.col("organization_id").eqNullSafe(F.col("_t")), "left").select(
+        *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in existing.columns]
+    )
+    value = lambda c: F.lit("NEW") if c == "status" else F.col(c) if c in incoming.columns else F.lit(None)
+    added = placed.filter("_place = 'new'").select(*[value(c).cast(existing.schema[c].dataType).alias(c) for c in existing.columns])
+    return kept.unionByName(added)
 
 
 def upsert_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Crawl targets after a batch of crawl requests, one request per normalized URL.
+    """Crawl targets after a batch of crawl requests, one request per (tenant, normalized URL).
 
-    A known target goes back to in_progress, takes the tenant only if it had
-    none, and takes the campaign if the request names one. A target of another
-    tenant is not a match: the request adds its own row.
+    A request matches the tenant's own target, else the shared one. The matched target goes back to in_progress and
+    takes the campaign if the request names one; a shared target goes to the smallest tenant that asks for it. All
+    other requests add a row of their tenant.
     """
-    o, n = existing.alias("o"), incoming.alias("n")
-    visible = (
-        F.col("n.organization_id").isNull()
-        | F.col("o.organization_id").isNull()
-        | (F.col("o.organization_id") == F.col("n.organization_id"))
+    key = "normalized_url"
+    placed = _placed(existing, incoming, key)
+    hits = _per_row(placed, key, F.min)
+    won = hits.select(F.col(key).alias("_k"), F.col("_to").alias("_t"), F.col("organization_id").alias("_o"), F.col("campaign_id").alias("_c"), F.lit(True).alias("_hit"))
+    hit = F.coalesce("_hit", F.lit(False))
+    kept = existing.join(won, (F.col(key) == F.col("_k")) & F.col("organization_id").eqNullSafe(F.col("_t")), "left").select(
+        "url",
+        key,
+        "domain",
+        F.when(hit, "in_progress").otherwise(F.col("status")).alias("status"),
+        F.when(~hit, F.col("error_message")).alias("error_message"),
+        F.coalesce("organization_id", "_o").alias("organization_id"),
+        F.coalesce("_c", "campaign_id").alias("campaign_id"),
     )
-    on = (F.col("o.normalized_url") == F.col("n.normalized_url")) & visible
-    hit = F.col("n.normalized_url").isNotNull()
-    return o.join(n, on, "full_outer").select(
-        F.coalesce("o.url", "n.url").alias("url"),
-        F.coalesce("o.normalized_url", "n.normalized_url").alias("normalized_url"),
-        F.coalesce("o.domain", "n.domain").alias("domain"),
-        F.when(hit, "in_progress").otherwise(F.col("o.status")).alias("status"),
-        F.when(~hit, F.col("o.error_message")).alias("error_message"),
-        F.coalesce("o.organization_id", "n.organization_id").alias("organization_id"),
-        F.coalesce("n.campaign_id", "o.campaign_id").alias("campaign_id"),
+    taken = hits.select(F.col(key).alias("_k"), F.col("organization_id").alias("_o"))
+    same = (F.col(key) == F.col("_k")) & F.col("organization_id").eqNullSafe(F.col("_o"))
+    added = placed.filter("_place <> 'own'").join(taken, same, "left_anti").select(
+        "url", key, "domain", F.lit("in_progress").alias("status"), F.lit(None).cast("string").alias("error_message"), "organization_id", "campaign_id"
     )
+    return kept.unionByName(added)
 
 
 def replace_signals(old: DataFrame, new: DataFrame, lead_ids: DataFrame) -> DataFrame:
@@ -89,28 +109,26 @@ def embedding_refresh_plan(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
 def update_lead_status(leads: DataFrame, changes: DataFrame, org: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(leads after the status changes, changes that were refused with a reason).
 
-    `changes` holds one row per lead: lead_id, new_status, changed_at.
+    `changes`: lead_id, new_status, changed_at. The newest valid change of a lead counts. Leads without one keep their
+    `updated_at`, or have none.
     """
-    wanted = changes.select("lead_id", F.upper("new_status").alias("_to"), F.col("changed_at").alias("_at"))
-    valid = F.col("_to").isin(rules.LEAD_STATES)
-    inside = F.lit(True) if org is None else (
-        (F.col("organization_id") == org) | F.col("organization_id").isNull()
-    )
-    apply_it = F.coalesce(valid & inside, F.lit(False))
+    to = F.upper("new_status")
+    valid = F.coalesce(to.isin(rules.LEAD_STATES), F.lit(False))
+    newest = F.max(F.struct("changed_at", to.alias("to"))).alias("_new")
+    wanted = changes.filter(valid).groupBy("lead_id").agg(newest)
+    inside = F.lit(True) if org is None else (F.col("organization_id") == org) | F.col("organization_id").isNull()
+    apply_it = F.coalesce(F.col("_new").isNotNull() & inside, F.lit(False))
+    before = F.col("updated_at") if "updated_at" in leads.columns else F.lit(None)
     after = (
         leads.join(wanted, "lead_id", "left")
-        .withColumn("status", F.when(apply_it, F.col("_to")).otherwise(F.col("status")))
-        .withColumn("updated_at", F.when(apply_it, F.col("_at")))
-        .drop("_to", "_at")
+        .withColumn("updated_at", F.when(apply_it, F.col("_new.changed_at")).otherwise(before))
+        .withColumn("status", F.when(apply_it, F.col("_new.to")).otherwise(F.col("status")))
+        .drop("_new")
     )
     seen = scope_tenant(leads, org, shared=True).select("lead_id", F.lit(True).alias("_seen"))
     refused = (
         changes.join(seen, "lead_id", "left")
-        .withColumn(
-            "reason",
-            F.when(~F.coalesce(F.upper("new_status").isin(rules.LEAD_STATES), F.lit(False)), "invalid status")
-            .when(F.col("_seen").isNull(), "not found"),
-        )
+        .withColumn("reason", F.when(~valid, "invalid status").when(F.col("_seen").isNull(), "not found"))
         .filter(F.col("reason").isNotNull())
         .drop("_seen")
     )

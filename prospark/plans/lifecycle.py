@@ -13,14 +13,32 @@ from prospark.plans.tenants import text_time
 STATUSES = "['new', 'Qualified', 'CONTACTED', 'archived', 'review']"
 
 
+LEAD_NAMES = [
+    "lead_id", "crawl_target_id", "organization_id", "campaign_id", "company_name", "industry", "geography",
+    "icp_score", "confidence_score", "status", "created_at",
+]
+
+
+def known_leads(e):
+    """The leads, and a shared lead beside every tenth one that a tenant owns."""
+    leads = e.leads(texts=False).select(*LEAD_NAMES)
+    shared = leads.filter((F.col("crawl_target_id") % 10 == 0) & F.col("organization_id").isNotNull()).withColumns(
+        {"lead_id": F.col("lead_id") + 2000000, "organization_id": F.lit(None).cast("bigint"), "company_name": F.lit("Shared")}
+    )
+    return leads.unionByName(shared)
+
+
 def incoming_leads(e):
-    """Fresh qualifications: one per part, some of targets that are not leads yet."""
-    return e.table("part").select(
-        F.col("p_partkey").alias("crawl_target_id"),
-        (F.col("p_partkey") + 1000000).alias("lead_id"),
-        F.lit(7).cast("bigint").alias("organization_id"),
+    """Fresh qualifications, one or two per part: of tenant 7 or none, and of tenants all over the place."""
+    key = F.col("p_partkey")
+    owners = F.array(F.when(key % 5 != 0, F.lit(7)).cast("bigint"), (key % 25).cast("bigint"))
+    rows = e.table("part").select("*", F.explode(F.array_distinct(owners)).alias("organization_id"))
+    return rows.select(
+        key.alias("crawl_target_id"),
+        (key + 1000000).alias("lead_id"),
+        "organization_id",
         F.lit(5).cast("bigint").alias("campaign_id"),
-        F.concat(F.lit("Fresh "), "p_name").alias("company_name"),
+        F.concat(F.lit("Fresh "), F.coalesce(F.col("organization_id").cast("string"), F.lit("-")), F.lit(" "), "p_name").alias("company_name"),
         F.col("p_type").alias("industry"),
         F.col("p_brand").alias("geography"),
         F.col("p_size").alias("icp_score"),
@@ -33,70 +51,78 @@ def incoming_leads(e):
     "upsert_leads",
     over(
         "leads",
-        """SELECT coalesce(l.lead_id, p_partkey + 1000000) AS lead_id, coalesce(l.crawl_target_id, p_partkey) AS crawl_target_id,
-        CASE WHEN l.lead_id IS NULL THEN 7 ELSE l.organization_id END AS organization_id,
-        CASE WHEN l.lead_id IS NULL THEN 5 ELSE l.campaign_id END AS campaign_id,
-        CASE WHEN p_partkey IS NULL THEN company_name ELSE 'Fresh ' || p_name END AS company_name,
-        CASE WHEN p_partkey IS NULL THEN industry ELSE p_type END AS industry,
-        CASE WHEN p_partkey IS NULL THEN geography ELSE p_brand END AS geography,
-        CASE WHEN p_partkey IS NULL THEN icp_score ELSE p_size END AS icp_score,
-        CASE WHEN p_partkey IS NULL THEN confidence_score ELSE round(p_size / 100.0::DOUBLE, 2) END AS confidence_score,
-        coalesce(l.status, 'NEW') AS status,
-        strftime(coalesce(l.created_at, TIMESTAMP '2024-06-01'), '%Y-%m-%d %H:%M:%S') AS created_at
-        FROM leads l FULL OUTER JOIN part p ON l.crawl_target_id = p.p_partkey""",
-    ),
+        """, ex AS (SELECT lead_id, crawl_target_id, organization_id, campaign_id, company_name, industry, geography, icp_score,
+             confidence_score, status, created_at FROM leads
+           UNION ALL SELECT lead_id + 2000000, crawl_target_id, NULL, campaign_id, 'Shared', industry, geography, icp_score,
+             confidence_score, status, created_at FROM leads WHERE crawl_target_id % 10 = 0 AND organization_id IS NOT NULL),
+        inc AS (SELECT DISTINCT p_partkey, org, p_name, p_type, p_brand, p_size FROM (
+             SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN 7 END AS org FROM part
+             UNION ALL SELECT *, p_partkey % 25 FROM part)),
+        seen AS (SELECT inc.*, lead_id, row_number() OVER (PARTITION BY p_partkey, org ORDER BY organization_id IS NULL) AS k
+             FROM inc LEFT JOIN ex ON crawl_target_id = p_partkey AND (organization_id IS NULL OR organization_id = org)),
+        hit AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY org DESC NULLS LAST) AS last FROM seen
+             WHERE k = 1 AND lead_id IS NOT NULL)
+        SELECT ex.lead_id, crawl_target_id, organization_id, campaign_id,
+             CASE WHEN last = 1 THEN 'Fresh ' || coalesce(CAST(org AS VARCHAR), '-') || ' ' || p_name ELSE company_name END AS company_name,
+             CASE WHEN last = 1 THEN p_type ELSE industry END AS industry, CASE WHEN last = 1 THEN p_brand ELSE geography END AS geography,
+             CASE WHEN last = 1 THEN p_size ELSE icp_score END AS icp_score,
+             CASE WHEN last = 1 THEN round(p_size / 100.0::DOUBLE, 2) ELSE confidence_score END AS confidence_score, status,
+             strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+        FROM ex LEFT JOIN hit ON ex.lead_id = hit.lead_id AND last = 1
+        UNION ALL SELECT p_partkey + 1000000, p_partkey, org, 5, 'Fresh ' || coalesce(CAST(org AS VARCHAR), '-') || ' ' || p_name, p_type, p_brand,
+             p_size, round(p_size / 100.0::DOUBLE, 2), 'NEW', '2024-06-01 00:00:00' FROM seen WHERE lead_id IS NULL""",
+    ).replace("\n,", ","),
 )
 def upsert_leads(e):
-    names = [
-        "lead_id", "crawl_target_id", "organization_id", "campaign_id", "company_name", "industry", "geography",
-        "icp_score", "confidence_score", "status", "created_at",
-    ]
-    after = lc.upsert_leads(e.leads(texts=False).select(*names), incoming_leads(e))
-    return after.withColumn("created_at", text_time("created_at"))
+    return lc.upsert_leads(known_leads(e), incoming_leads(e)).withColumn("created_at", text_time("created_at"))
+
+
+def crawl_requests(e):
+    """(existing targets, requests): own and shared targets of one URL, and requests of three tenants or none for each."""
+    url = F.concat(F.lit("https://"), "target_id", F.lit("/"))
+    size = F.length("target_id").cast("bigint")
+    sites = e.crawled_pages().select("target_id").distinct()
+    base = sites.select(url.alias("url"), url.alias("normalized_url"), F.col("target_id").alias("domain"), size.alias("size"))
+    owners = F.array(F.when(F.col("size") % 3 != 0, F.col("size")), F.when(F.col("size") % 2 == 0, F.lit(3).cast("bigint")))
+    existing = base.withColumn("organization_id", F.explode(F.array_distinct(owners))).select(
+        "url", "normalized_url", "domain", F.lit("failed").alias("status"), F.lit("timeout").alias("error_message"), "organization_id", F.lit(1).alias("campaign_id")
+    )
+    askers = F.array(F.col("size"), F.lit(4).cast("bigint"), F.when(F.col("size") % 4 != 0, F.lit(5).cast("bigint")))
+    incoming = base.filter(F.col("size") % 7 != 0).withColumn("organization_id", F.explode(F.array_distinct(askers))).select(
+        "url", "normalized_url", "domain", "organization_id", F.when(F.col("organization_id") != 5, F.lit(9)).alias("campaign_id")
+    )
+    return existing, incoming
+
+
+TARGETS_SQL = """, b AS (SELECT DISTINCT 'https://' || target_id || '/' AS nu, target_id AS domain, length(target_id) AS size FROM crawled_pages),
+        ex AS (SELECT DISTINCT nu, domain, CASE WHEN size % 3 <> 0 THEN size END AS org FROM b
+             UNION SELECT nu, domain, CASE WHEN size % 2 = 0 THEN 3 END FROM b),
+        inc AS (SELECT nu, domain, org, CASE WHEN org <> 5 THEN 9 END AS camp FROM (SELECT nu, domain, size AS org FROM b WHERE size % 7 <> 0
+             UNION SELECT nu, domain, 4 FROM b WHERE size % 7 <> 0
+             UNION SELECT nu, domain, CASE WHEN size % 4 <> 0 THEN 5 END FROM b WHERE size % 7 <> 0))"""
 
 
 @query(
     "upsert_targets",
     over(
         "crawled_pages",
-        """, ex AS (SELECT DISTINCT 'https://' || target_id || '/' AS nu, target_id AS domain,
-             CASE WHEN length(target_id) % 3 <> 0 THEN length(target_id) END AS org FROM crawled_pages WHERE url LIKE 'https:%'),
-        inc AS (SELECT DISTINCT 'https://' || target_id || '/' AS nu, target_id AS domain, length(target_id) % 4 + 18 AS org,
-             9 AS camp FROM crawled_pages WHERE url LIKE '%?%')
-        SELECT coalesce(ex.nu, inc.nu) AS normalized_url, coalesce(ex.domain, inc.domain) AS domain,
-             CASE WHEN inc.nu IS NOT NULL THEN 'in_progress' ELSE 'failed' END AS status,
-             CASE WHEN inc.nu IS NULL THEN 'timeout' END AS error_message,
-             coalesce(ex.org, inc.org) AS organization_id, coalesce(inc.camp, 1) AS campaign_id
-        FROM ex FULL OUTER JOIN inc ON ex.nu = inc.nu AND (ex.org IS NULL OR ex.org = inc.org)""",
+        TARGETS_SQL
+        + """, own AS (SELECT inc.nu, inc.org, camp FROM inc JOIN ex ON inc.nu = ex.nu AND inc.org IS NOT DISTINCT FROM ex.org),
+        rest AS (SELECT inc.* FROM inc ANTI JOIN own ON inc.nu = own.nu AND inc.org IS NOT DISTINCT FROM own.org),
+        taker AS (SELECT nu, org, camp FROM (SELECT nu, org, camp FROM own WHERE org IS NULL
+             UNION ALL SELECT rest.nu, rest.org, camp FROM rest JOIN ex ON ex.nu = rest.nu AND ex.org IS NULL)
+             QUALIFY row_number() OVER (PARTITION BY nu ORDER BY org NULLS LAST) = 1),
+        upd AS (SELECT nu, org AS at, org, camp FROM own WHERE org IS NOT NULL UNION ALL SELECT nu, NULL, org, camp FROM taker)
+        SELECT ex.nu AS normalized_url, domain, CASE WHEN upd.nu IS NULL THEN 'failed' ELSE 'in_progress' END AS status,
+             CASE WHEN upd.nu IS NULL THEN 'timeout' END AS error_message, coalesce(ex.org, upd.org) AS organization_id,
+             coalesce(camp, 1) AS campaign_id
+        FROM ex LEFT JOIN upd ON ex.nu = upd.nu AND ex.org IS NOT DISTINCT FROM upd.at
+        UNION ALL SELECT nu, domain, 'in_progress', NULL, org, camp FROM rest
+             ANTI JOIN taker ON rest.nu = taker.nu AND rest.org IS NOT DISTINCT FROM taker.org""",
     ).replace("\n,", ","),
 )
 def upsert_targets(e):
-    url = F.concat(F.lit("https://"), "target_id", F.lit("/")).alias("url")
-    size = F.length("target_id").cast("bigint")
-    pages = e.crawled_pages()
-    existing = (
-        pages.filter(F.col("url").startswith("https:")).select(
-            url,
-            url.alias("normalized_url"),
-            F.col("target_id").alias("domain"),
-            F.lit("failed").alias("status"),
-            F.lit("timeout").alias("error_message"),
-            F.when(size % 3 != 0, size).alias("organization_id"),
-            F.lit(1).alias("campaign_id"),
-        )
-        .distinct()
-    )
-    incoming = (
-        pages.filter(F.col("url").contains("?")).select(
-            url,
-            url.alias("normalized_url"),
-            F.col("target_id").alias("domain"),
-            (size % 4 + 18).alias("organization_id"),
-            F.lit(9).alias("campaign_id"),
-        )
-        .distinct()
-    )
-    return lc.upsert_targets(existing, incoming).drop("url")
+    return lc.upsert_targets(*crawl_requests(e)).drop("url")
 
 
 @query(
@@ -137,21 +163,18 @@ def embedding_refresh_plan(e):
 
 
 def _changes(e):
-    key = F.col("o_custkey")
-    newest = F.max_by(F.col("o_orderkey"), F.struct("o_orderdate", "o_orderkey"))
+    """Every order asks for a status of its customer's lead; several per lead, some of them invalid."""
     names = F.array(*[F.lit(x) for x in ["new", "Qualified", "CONTACTED", "archived", "review"]])
-    return (
-        e.table("orders").groupBy(key.alias("lead_id")).agg(newest.alias("k"))
-        .select(
-            "lead_id",
-            F.element_at(names, (F.col("k") % 5 + 1).cast("int")).alias("new_status"),
-            F.lit("2024-07-01 00:00:00").alias("changed_at"),
-        )
-    )
+    return e.table("orders").select(
+        F.col("o_custkey").alias("lead_id"),
+        F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("new_status"),
+        text_time("o_orderdate").alias("changed_at"),
+    )
 
 
-CHANGES_SQL = f""", ch AS (SELECT o_custkey AS lead_id,
-    {STATUSES}[arg_max(o_orderkey, row(o_orderdate, o_orderkey)) % 5 + 1] AS new_status FROM orders GROUP BY o_custkey)"""
+CHANGES_SQL = f""", ch AS (SELECT o_custkey AS lead_id, {STATUSES}[o_orderkey % 5 + 1] AS new_status,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS changed_at FROM orders),
+    newest AS (SELECT lead_id, max(row(changed_at, upper(new_status))) AS r FROM ch WHERE new_status <> 'archived' GROUP BY lead_id)"""
 
 
 @query(
@@ -159,19 +182,19 @@ CHANGES_SQL = f""", ch AS (SELECT o_custkey AS lead_id,
     over(
         "leads",
         CHANGES_SQL
-        + """ SELECT l.lead_id, CASE WHEN ok THEN upper(new_status) ELSE status END AS status,
-        CASE WHEN ok THEN '2024-07-01 00:00:00' END AS updated_at, 'lead' AS kind, NULL AS reason FROM (
-            SELECT leads.*, ch.new_status, coalesce(new_status <> 'archived'
-                AND (organization_id = 3 OR organization_id IS NULL), false) AS ok
-            FROM leads LEFT JOIN ch USING (lead_id)) l
-        UNION ALL SELECT lead_id, new_status, '2024-07-01 00:00:00', 'refused',
+        + """ SELECT lead_id, CASE WHEN ok THEN r[2] ELSE status END AS status,
+        CASE WHEN ok THEN r[1] WHEN lead_id % 2 = 0 THEN '1990-02-02 00:00:00' END AS updated_at, 'lead' AS kind, NULL AS reason FROM (
+            SELECT leads.*, r, r IS NOT NULL AND (organization_id IS NOT DISTINCT FROM 3 OR organization_id IS NULL) AS ok
+            FROM leads LEFT JOIN newest USING (lead_id))
+        UNION ALL SELECT lead_id, new_status, changed_at, 'refused',
             CASE WHEN new_status = 'archived' THEN 'invalid status' ELSE 'not found' END FROM ch
             WHERE new_status = 'archived' OR lead_id NOT IN (SELECT lead_id FROM leads
                 WHERE organization_id = 3 OR organization_id IS NULL)""",
     ),
 )
 def update_lead_status(e):
-    after, refused = lc.update_lead_status(e.leads(texts=False), _changes(e), org=3)
+    leads = e.leads(texts=False).withColumn("updated_at", F.when(F.col("lead_id") % 2 == 0, F.lit("1990-02-02 00:00:00")))
+    after, refused = lc.update_lead_status(leads, _changes(e), org=3)
     none = F.lit(None).cast("string")
     return after.select(
         "lead_id", "status", "updated_at", F.lit("lead").alias("kind"), none.alias("reason")
