@@ -19,6 +19,7 @@ not read.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -85,7 +86,9 @@ class Encoder:
         """(ids of all texts one after another, ids of each text), end ids included."""
         mark = len(self.at)
         cut = [t.split(" ") if "  " not in t else None for t in texts]
-        wanted = {p for c in cut if c is not None for p in c[1:]}
+        wanted: set[str] = set()
+        for c in cut:
+            wanted.update(c[1:] if c is not None else ())
         wanted.discard("")
         new = [p for p in wanted if p not in self.known]
         self._learn(new)
@@ -98,7 +101,7 @@ class Encoder:
         for i, c in enumerate(cut):
             units.append(head + i)
             if c is not None:
-                units += [known[p] for p in c[1:]]
+                units.extend(map(known.__getitem__, c[1:]))
             units.append(end)
             sizes.append(2 if c is None else len(c) + 1)
         unit = np.array(units, dtype=np.int64)
@@ -116,6 +119,12 @@ class Encoder:
         return ids, per_text
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_json: str, end_id: int | None) -> Encoder:
+    """One encoder per Python worker: later tasks of a worker find its pieces."""
+    return Encoder(tokenizer_json, end_id)
+
+
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     return np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes
@@ -145,17 +154,17 @@ _BLOCKS = "part int, block int, at long, n_ids int, width int, planes array<bina
 _NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
 
 
-def _write_blocks(tokenizer_json, end_id: int | None, planes: str, level: int):
+def _write_blocks(tokenizer_json, end_id: int | None, planes: str, level: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_json.value, end_id)
+        encoder = _encoder(tokenizer_json.value, end_id)
         part, block, at, n_doc = TaskContext.get().partitionId(), 0, 0, 0
         ids, docs, counts = np.zeros(0, dtype=np.uint32), [], []
 
         def cut(full: bool) -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, counts, block, at, n_doc
             done, i, left = 0, 0, counts
-            while len(ids) - done >= BLOCK_IDS or (not full and done < len(ids)):
-                n = min(BLOCK_IDS, len(ids) - done)
+            while len(ids) - done >= block_ids or (not full and done < len(ids)):
+                n = min(block_ids, len(ids) - done)
                 own, take, first = [], [], n_doc + i
                 room = n
                 while room:
@@ -195,7 +204,16 @@ def _write_blocks(tokenizer_json, end_id: int | None, planes: str, level: int):
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = 0, planes: str = "byte", level: int = 3, part_bytes: int = 16 << 20) -> None:
+def write_ids(
+    docs: DataFrame,
+    path: str,
+    tokenizer_file: str,
+    end_id: int | None = 0,
+    planes: str = "byte",
+    level: int = 3,
+    block_ids: int = BLOCK_IDS,
+    part_bytes: int = 16 << 20,
+) -> None:
     """Encodes all texts and writes blocks and chunk index below `path`, in ascending doc_id order."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -203,7 +221,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = partitions_for(rows, text_bytes(rows), part_bytes)
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = rows.mapInArrow(_write_blocks(tokenizer_json, end_id, planes, level), _BLOCKS)
+    blocks = rows.mapInArrow(_write_blocks(tokenizer_json, end_id, planes, level, block_ids), _BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     kept = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     sizes = F.aggregate(F.transform("planes", F.octet_length), F.lit(0), lambda a, b: a + b)
@@ -259,15 +277,22 @@ def _times_x(matrix: list[int], vector: int) -> int:
     return out
 
 
+@functools.cache
+def _zeros(power: int) -> list[int]:
+    """The matrix that carries a checksum over 2**power zero bits."""
+    if power == 0:
+        return [0xEDB88320] + [1 << i for i in range(31)]  # fixed value: the CRC-32 polynomial
+    half = _zeros(power - 1)
+    return [_times_x(half, column) for column in half]
+
+
 def joined_crc(first: int, second: int, second_bytes: int) -> int:
     """Checksum of two byte strings one after another, from theirs: the first is carried over the second's zeros."""
-    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit: fixed value, the CRC-32 polynomial
-    bits = 8 * second_bytes
-    while bits:
-        if bits & 1:
-            first = _times_x(step, first)
-        step = [_times_x(step, column) for column in step]
-        bits >>= 1
+    bits, power = 8 * second_bytes, 0
+    while bits >> power:
+        if bits >> power & 1:
+            first = _times_x(_zeros(power), first)
+        power += 1
     return first ^ second
 
 
@@ -292,6 +317,5 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
         F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("pieces"),
     )
-    one = docs.where(F.size("pieces") == 1).select("part", "doc_id", "at", "n_tokens", F.col("pieces")[0]["crc"].alias("ids_crc32"))
-    more = docs.where(F.size("pieces") > 1).select("part", "doc_id", "at", "n_tokens", "pieces").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return one.union(more).join(starts, "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = docs.select("part", "doc_id", "at", "n_tokens", "pieces").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
