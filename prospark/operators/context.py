@@ -37,7 +37,7 @@ def prompt_budget(
     return kept.filter(F.col("kept_chars").isNotNull()).withColumn("is_cut", F.col("kept_chars") < F.col(size))
 
 
-def _block_text(idx: Column, pages: DataFrame) -> Column:
+def _block_text(idx: Column, pages: DataFrame, structured_chars: int | None) -> Column:
     have = lambda n: n in pages.columns
     line = lambda label, value, shown: F.when(shown, F.concat(F.lit(f"{label}: "), value, F.lit("\n"))).otherwise("")
     listed = lambda n: F.array_join(n, ", ")
@@ -56,7 +56,8 @@ def _block_text(idx: Column, pages: DataFrame) -> Column:
         parts.append(line("Social Profiles", F.to_json("social_links"), filled("social_links")))
     if have("json_ld"):
         shown = F.coalesce("json_ld", F.lit("[]")) != "[]"
-        parts.append(line("Structured Data", F.substring("json_ld", 1, 500), shown))
+        data = F.col("json_ld") if structured_chars is None else F.substring("json_ld", 1, structured_chars)
+        parts.append(line("Structured Data", data, shown))
     body = strip(F.coalesce("content", F.lit("")))
     parts.append(F.concat(F.lit("\nPAGE CONTENT (MARKDOWN):\n"), body, F.lit("\n\n")))
     return F.concat(*parts)
@@ -70,16 +71,17 @@ def build_context(
     min_tail: int = rules.PROMPT_MIN_TAIL,
     salts: int = 16,
     urls_per_part: int = 1000,
+    structured_chars: int | None = None,
 ) -> DataFrame:
     """Model input of each target as ordered sections (target_id, section, part, text).
 
     targets: target_id, domain, url. profiles: target_id, icp_json. Sections are
     1 target, 2 profile, 3 allowed URLs and 4 pages; put together in the order
-    (section, part) they are the whole text. Page text is held to `max_chars`;
-    the URL list names every selected page and so comes in parts of bounded size.
+    (section, part) they are the whole text. Page text is held to `max_chars`, and
+    each page's structured data to `structured_chars` if that is given; the URL list names every selected page and so comes in parts of bounded size.
     """
     # Blocks are measured where the page is read; only sizes and keys are shuffled.
-    sizes = dedupe_pages(pages, carry={"size": F.length(_block_text(F.lit("0"), pages))})
+    sizes = dedupe_pages(pages, carry={"size": F.length(_block_text(F.lit("0"), pages, structured_chars))})
     sizes = sizes.select("target_id", "page_id", "depth", "url", "size")
 
     # The page number is part of the block, so its length is first taken with a
@@ -95,7 +97,7 @@ def build_context(
     fitting = numbered.withColumn("kept", _kept_chars(before, F.col("size"), max_chars, min_tail)).filter("kept IS NOT NULL")
 
     texts = fitting.select("page_id", "idx", "kept", "size").join(pages, "page_id")
-    block = _block_text(F.col("idx"), pages)
+    block = _block_text(F.col("idx"), pages, structured_chars)
     shown = F.when(
         F.col("kept") < F.col("size"),
         F.concat(F.substring(block, F.lit(1), F.col("kept").cast("int")), F.lit("\n...[truncated for length]")),

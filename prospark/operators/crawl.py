@@ -93,7 +93,7 @@ def crawl_plan(
     pages: DataFrame,
     edges: DataFrame,
     max_pages: int = rules.CRAWL_MAX_PAGES,
-    max_depth: int = rules.CRAWL_MAX_DEPTH,
+    max_depth: int | None = rules.CRAWL_MAX_DEPTH,
     dup_chars: int = 50,
 ) -> DataFrame:
     """Which stored pages a crawl of each domain would keep, in order.
@@ -131,7 +131,7 @@ def crawl_plan(
         chosen = cut_lineage(chosen.select("domain", "step", "url", "depth", "found_at", "priority", "content_hash", "body_chars"))
         kept = chosen if kept is None else kept.unionByName(chosen)
         opened = (
-            chosen.filter(F.col("depth") < max_depth)
+            (chosen if max_depth is None else chosen.filter(F.col("depth") < max_depth))
             .join(links, F.col("url") == F.col("src_url"))
             .select("domain", F.col("dst_url").alias("url"), (F.col("depth") + 1).alias("depth"), F.lit(step).alias("found_at"))
             .join(queue.select("domain", "url"), ["domain", "url"], "left_anti")

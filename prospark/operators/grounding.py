@@ -69,11 +69,16 @@ def match_urls(claims: DataFrame, pages: DataFrame, key: str) -> DataFrame:
 
 
 def match_quotes(claims: DataFrame, pages: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """Adds quote_ok to claims that carry a page_id; a claim without a page has no quote."""
-    quoted = claims.withColumn("_quote", quote_parts(F.col(evidence)))
-    joined = quoted.join(searchable(pages), "page_id", "left")
+    """Adds quote_ok to claims that carry a page_id; a claim without a page has no quote.
+
+    Only pages that a claim cites are brought into the searchable form, and claims without a page meet no page.
+    """
+    cited = claims.filter(F.col("page_id").isNotNull())
+    texts = searchable(pages.join(cited.select("page_id").distinct(), "page_id", "left_semi"))
+    joined = cited.withColumn("_quote", quote_parts(F.col(evidence))).join(texts, "page_id", "left")
     ok = F.coalesce(quote_found(F.col("_quote"), F.col("words"), F.col("marks")), F.lit(False))
-    return joined.withColumn("quote_ok", ok).drop("_quote", "words", "marks")
+    bare = claims.filter(F.col("page_id").isNull()).withColumn("quote_ok", F.lit(False))
+    return joined.withColumn("quote_ok", ok).drop("_quote", "words", "marks").unionByName(bare)
 
 
 def ground_signals(signals: DataFrame, pages: DataFrame, key: str = "signal_id", check_quote: bool = True) -> DataFrame:
@@ -183,7 +188,7 @@ def found_words(needles: DataFrame, pages: DataFrame, salts: int = 16) -> DataFr
     and the short needle list is repeated for each. The text of a page ends with
     its metadata object, so no needle can run from one page into the next.
     """
-    spread = pages.select(
+    spread = pages.join(needles.select("target_id").distinct(), "target_id", "left_semi").select(
         "target_id", F.pmod(F.xxhash64("page_id"), F.lit(salts)).alias("salt"), _target_text(pages).alias("text")
     )
     every = needles.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))

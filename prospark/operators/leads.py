@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prospark import rules
 from prospark.functions.skew import ordinal
-from prospark.operators.scope import LeadFilter, filter_leads
+from prospark.operators.scope import LeadFilter, at_least_one, filter_leads
 
 
 def list_leads(
@@ -18,25 +18,31 @@ def list_leads(
     page: int = 1,
     page_size: int = 25,
 ) -> DataFrame:
-    """One page of the lead list; equal sort keys are ordered by lead id."""
-    page, size = max(1, page), min(max(1, page_size), 100)
-    name = sort_by if sort_by in rules.SORT_COLUMNS else "created_at"
-    key = F.desc(name) if sort_order.lower() == "desc" else F.asc(name)
-    rows = filter_leads(leads, filters).orderBy(key, "lead_id").offset((page - 1) * size).limit(size)
+    """One page of the lead list; equal sort keys are ordered by lead id.
+
+    A page far down brings all rows before it together in one task.
+    """
+    at_least_one(page=page, page_size=page_size)
+    if sort_by not in rules.SORT_COLUMNS:
+        raise ValueError(f"leads can't be sorted by {sort_by!r}")
+    if sort_order.lower() not in ("asc", "desc"):
+        raise ValueError(f"sort order {sort_order!r} is neither asc nor desc")
+    key = F.desc(sort_by) if sort_order.lower() == "desc" else F.asc(sort_by)
+    rows = filter_leads(leads, filters).orderBy(key, "lead_id").offset((page - 1) * page_size).limit(page_size)
     return rows.select(*rules.LIST_COLUMNS)
 
 
 def leads_total(leads: DataFrame, filters: LeadFilter = LeadFilter(), page_size: int = 25) -> DataFrame:
-    size = min(max(1, page_size), 100)
+    at_least_one(page_size=page_size)
     return (
         filter_leads(leads, filters)
         .agg(F.count("lead_id").alias("total"))
-        .withColumn("pages", F.ceil(F.col("total") / size).cast("bigint"))
+        .withColumn("pages", F.ceil(F.col("total") / page_size).cast("bigint"))
     )
 
 
 def rank_relational(leads: DataFrame, filters: LeadFilter = LeadFilter(), k: int = 25) -> DataFrame:
-    k = min(max(1, k), 100)
+    at_least_one(k=k)
     return (
         filter_leads(leads, filters)
         .orderBy(F.desc("icp_score"), F.desc("created_at"), "lead_id")
@@ -45,14 +51,13 @@ def rank_relational(leads: DataFrame, filters: LeadFilter = LeadFilter(), k: int
     )
 
 
-def export_leads(leads: DataFrame, filters: LeadFilter = LeadFilter(), limit: int = rules.EXPORT_LIMIT) -> DataFrame:
-    """The best `limit` leads with the nine export columns, best first."""
-    return (
-        filter_leads(leads, filters)
-        .orderBy(F.desc("icp_score"), F.desc("created_at"), "lead_id")
-        .limit(limit)
-        .select(*rules.EXPORT_COLUMNS)
-    )
+def export_leads(leads: DataFrame, filters: LeadFilter = LeadFilter(), limit: int | None = None) -> DataFrame:
+    """All passing leads, or the best `limit` of them, with the nine export columns, best first."""
+    rows = filter_leads(leads, filters).orderBy(F.desc("icp_score"), F.desc("created_at"), "lead_id")
+    if limit is not None:
+        at_least_one(limit=limit)
+        rows = rows.limit(limit)
+    return rows.select(*rules.EXPORT_COLUMNS)
 
 
 def export_json(exported: DataFrame) -> DataFrame:

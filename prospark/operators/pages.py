@@ -26,7 +26,7 @@ def url_domains(pages: DataFrame) -> DataFrame:
     return pages.groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-def url_priority(pages: DataFrame, n: int = 6) -> DataFrame:
+def url_priority(pages: DataFrame, n: int) -> DataFrame:
     """The `n` most important pages of each domain."""
     rows = pages.select("page_id", "url", U.domain(F.col("url")).alias("domain"), U.priority(F.col("url")).alias("priority"))
     return first_per_key(rows, ["domain"], [F.desc("priority"), F.asc("url"), F.asc("page_id")], n)
@@ -54,22 +54,23 @@ def social_platform(url: Column) -> Column:
     return out
 
 
-def page_links(pages: DataFrame) -> DataFrame:
+def page_links(pages: DataFrame, site: Column | None = None) -> DataFrame:
     """Every usable link of every page: (page_id, src_url, position, dst_url, platform, kind).
 
     `kind` is internal, external, social, or skipped for pages of the same site
-    that are not crawlable. The html column stays inside this projection.
+    that are not crawlable. `site` is the domain that a crawl started from; without it a page's own host is its site.
+    The html column stays inside this projection.
     """
     skip = "^(?:" + "|".join(rules.SKIPPED_HREFS) + ")"
     usable = F.filter(hrefs(F.col("html")), lambda h: (h != "") & ~h.rlike(skip))
     targets = F.transform(usable, lambda h: U.canonical(U.resolve(F.col("url"), h)))
     # Resolved inside the exploded array, so a later filter does not compute it again.
     links = (
-        pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(targets).alias("position", "dst_url"))
+        pages.select("page_id", F.col("url").alias("src_url"), (U.domain(F.col("url")) if site is None else site).alias("_site"), F.posexplode(targets).alias("position", "dst_url"))
         .filter(F.col("dst_url").isNotNull())
         .withColumn("platform", social_platform(F.col("dst_url")))
     )
-    inside = U.same_domain(F.col("dst_url"), U.domain(F.col("src_url")))
+    inside = U.same_domain(F.col("dst_url"), F.col("_site"))
     kind = (
         F.when(F.col("platform").isNotNull(), "social")
         .when(inside & U.crawlable(F.col("dst_url")), "internal")
@@ -79,10 +80,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.select("page_id", "src_url", "position", "dst_url", "platform", kind.alias("kind"))
 
 
-def link_graph(pages: DataFrame) -> DataFrame:
+def link_graph(pages: DataFrame, site: Column | None = None) -> DataFrame:
     """Distinct edges (page_id, src_url, dst_url, kind); social links are external edges too."""
     return (
-        page_links(pages)
+        page_links(pages, site)
         .filter(F.col("kind") != "skipped")
         .select("page_id", "src_url", "dst_url", F.when(F.col("kind") == "internal", "internal").otherwise("external").alias("kind"))
         .distinct()
@@ -212,14 +213,15 @@ def dedupe_pages(
     body = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
     slim = pages.select("page_id", "target_id", "depth", "url", F.sha2("content", 256).alias("content_hash"), F.length(body).alias("body_chars"), *[c.alias(n) for n, c in (carry or {}).items()])
     order = [F.asc("depth"), F.asc("page_id")]
+    # One pass: a page that can't be a duplicate has a key of its own.
+    counts = F.col("content_hash").isNotNull()
     if only_longer_than is None:
         slim = slim.filter(F.col("body_chars") >= min_len)
-        known = slim.filter(F.col("content_hash").isNotNull())
-        return first_per_key(known, ["target_id", "content_hash"], order).unionByName(
-            slim.filter(F.col("content_hash").isNull())
-        )
-    long = first_per_key(slim.filter(F.col("body_chars") > only_longer_than), ["target_id", "content_hash"], order)
-    return long.unionByName(slim.filter(F.col("body_chars") <= only_longer_than))
+    else:
+        counts &= F.col("body_chars") > only_longer_than
+    alone = F.concat(F.lit("page:"), F.col("page_id").cast("string"))
+    slim = slim.withColumn("_same", F.when(counts, F.col("content_hash")).otherwise(alone))
+    return first_per_key(slim, ["target_id", "_same"], order).drop("_same")
 
 
 def token_estimate(contexts: DataFrame, by: str = "target_id", col: str = "content") -> DataFrame:

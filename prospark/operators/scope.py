@@ -70,3 +70,9 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
 def recent_usage(usage: DataFrame, as_of: str, days: int = rules.USAGE_DAYS) -> DataFrame:
     """Rows dated from `as_of` minus `days`, first and last day included."""
     return usage.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days))
+
+
+def at_least_one(**values: int) -> None:
+    for name, value in values.items():
+        if value < 1:
+            raise ValueError(f"{name} is {value}, it must be 1 or more")

@@ -12,7 +12,7 @@ from prospark import rules
 from prospark.functions.skew import first_per_key
 from prospark.functions.vectors import cosine_distance, hyperplane_buckets, nearest_in_block
 from prospark.operators.leads import rank_relational
-from prospark.operators.scope import LeadFilter, filter_leads, scope_tenant
+from prospark.operators.scope import LeadFilter, at_least_one, filter_leads, scope_tenant
 
 SEARCH_COLUMNS = [
     "lead_id", "company_name", "domain", "industry", "company_summary", "icp_score", "confidence_score",
@@ -24,11 +24,16 @@ def join_lead_embedding(leads: DataFrame, embeddings: DataFrame) -> DataFrame:
     return leads.join(embeddings, "lead_id")
 
 
-def _nearest(leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float], n: int) -> DataFrame:
-    """(lead_id, distance) of the `n` nearest leads; only keys and vectors take part."""
+def _nearest(leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float], n: int | None) -> DataFrame:
+    """(lead_id, distance) of the `n` nearest leads, or of all.
+
+    Distances are taken where the vectors are read; only keys and distances are joined. A zero vector has no distance
+    and is left out.
+    """
     distance = cosine_distance(query_vec)
-    rows = join_lead_embedding(leads.select("lead_id"), embeddings.filter(F.col("embedding").isNotNull()))
-    return rows.select("lead_id", distance("embedding").alias("distance")).orderBy("distance", "lead_id").limit(n)
+    near = embeddings.filter(F.col("embedding").isNotNull()).select("lead_id", distance("embedding").alias("distance"))
+    rows = near.filter(~F.isnan("distance")).join(leads.select("lead_id"), "lead_id", "left_semi")
+    return rows if n is None else rows.orderBy("distance", "lead_id").limit(n)
 
 
 def similarity(distance: Column) -> Column:
@@ -39,11 +44,11 @@ def semantic_topk(
     leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float], k: int = 20, org: int | None = None
 ) -> DataFrame:
     """The `k` leads nearest to a query vector, closest first."""
-    k = min(max(1, k), 100)
+    at_least_one(k=k)
     visible = scope_tenant(leads, org, shared=True)
-    top = _nearest(visible, embeddings, query_vec, k)  # at most 100 rows, safe to broadcast
+    top = _nearest(visible, embeddings, query_vec, k)
     return (
-        visible.join(F.broadcast(top), "lead_id")
+        visible.join(top, "lead_id")
         .orderBy("distance", "lead_id")
         .select(*SEARCH_COLUMNS, similarity(F.col("distance")).alias("similarity"))
     )
@@ -76,24 +81,24 @@ def hybrid_search(
     filters: LeadFilter = LeadFilter(),
     k: int = 25,
     weights: tuple[float, float, float] = rules.SEARCH_WEIGHTS,
+    pool: int | None = None,
 ) -> DataFrame:
-    """Filtered leads, the 2k nearest of them re-ranked by similarity, fit and keywords.
+    """The `k` best filtered leads by similarity, fit and keywords.
 
-    Only the 2k nearest take part in the re-rank; that is the defined behaviour,
-    so a strong keyword match outside them does not appear. Without any text the
-    leads are ranked by fit and age instead, and have no score.
+    All passing leads are ranked, or the `pool` nearest of them if a number is given. Without any text the leads are
+    ranked by fit and age instead, and have no score.
     """
-    k = min(max(1, k), 100)
+    at_least_one(k=k, pool=1 if pool is None else pool)
     if not text.strip():
         none = F.lit(None).cast("double")
         return rank_relational(leads, filters, k).withColumns({"score": none, "similarity": none})
     passing = filter_leads(leads, filters)
-    near = _nearest(passing, embeddings, query_vec, 2 * k)  # at most 200 rows, safe to broadcast
+    near = _nearest(passing, embeddings, query_vec, pool)
     sim = F.greatest(F.lit(0.0), 1.0 - F.col("distance"))
     by_vector, by_fit, by_text = weights
     score = by_vector * sim + by_fit * (F.col("icp_score") / 100.0) + by_text * keyword_share(text)
     return (
-        passing.join(F.broadcast(near), "lead_id")
+        passing.join(near, "lead_id")
         .withColumn("score", F.round(score, 4))
         .orderBy(F.desc("score"), "distance", "lead_id")
         .limit(k)
@@ -140,8 +145,30 @@ def _topk_by_bucket(
     return top.withColumn("similarity", similarity(F.col("distance")))
 
 
+#: Query vectors of at most so many numbers are sent to every task.
+SENT_NUMBERS = 4_000_000
+
+
 def semantic_topk_batch(queries: DataFrame, embeddings: DataFrame, k: int = 20, block_rows: int = 4096) -> DataFrame:
-    """Exact `semantic_topk` for a table of queries (query_id, vector)."""
+    """Exact `semantic_topk` for a table of queries (query_id, vector).
+
+    The query table is measured first. One of at most SENT_NUMBERS numbers goes to the corpus, which is scanned where
+    it is read with a top k per batch; a larger one is compared block by block.
+    """
+    at_least_one(k=k)
+    given = queries.filter(F.col("vector").isNotNull())
+    if (given.agg(F.sum(F.size("vector"))).head()[0] or 0) <= SENT_NUMBERS:
+        search = nearest_in_block(k, False)
+        sent = given.select("query_id", "vector").toPandas()  # bounded by the check above
+
+        def scan(batches):
+            for corpus in batches:
+                yield search(sent, corpus)
+
+        rows = embeddings.filter(F.col("embedding").isNotNull()).select("lead_id", "embedding")
+        near = rows.mapInPandas(scan, "query_id bigint, lead_id bigint, distance double")
+        top = first_per_key(near, ["query_id"], [F.asc("distance"), F.asc("lead_id")], k)
+        return top.withColumn("similarity", similarity(F.col("distance")))
     one = lambda v: F.array(F.lit(0))
     return _topk_by_bucket(queries, embeddings, k, False, one, block_rows)
 

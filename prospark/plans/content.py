@@ -186,7 +186,7 @@ CONTEXT_SQL = r""", d AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g'
     ),
 )
 def build_context(e):
-    return cx.build_context(_context_targets(e), e.doc_pages())
+    return cx.build_context(_context_targets(e), e.doc_pages(), structured_chars=500)
 
 
 def answers(e):

@@ -77,7 +77,7 @@ def crawlable_urls(e):
     FROM varied QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority DESC, url, page_id) <= 6""",
 )
 def url_priority(e):
-    return pg.url_priority(varied(e))
+    return pg.url_priority(varied(e), 6)
 
 
 @query(
@@ -102,12 +102,20 @@ def url_safety(e):
 HREFS_SQL = f"""hr AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root,
         unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
     lk AS (SELECT DISTINCT page_id, url AS src_url, CASE WHEN href = '/' THEN root || '/' ELSE root || rtrim(href, '/') END AS dst_url,
-        'internal' AS kind FROM hr WHERE starts_with(href, '/') AND NOT regexp_matches(lower(href), '{DENY}'))"""
+        'internal' AS kind FROM hr WHERE starts_with(href, '/') AND NOT regexp_matches(lower(href), '{DENY}')
+      UNION SELECT page_id, url, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^(m|www|blog|shop|news)\\.', '')
+        || '/top', 'internal' FROM pages)"""
+
+
+def linked(e):
+    """(pages with one more link to the top of their site, the site): sites are hosts without a common first label."""
+    site = F.regexp_replace(U.domain(F.col("url")), r"^(m|www|blog|shop|news)\.", "")
+    return e.table("pages").withColumn("html", F.concat("html", F.lit('<a href="https://'), site, F.lit('/top">Top</a>'))), site
 
 
 @query("link_graph", f"WITH {HREFS_SQL} SELECT * FROM lk")
 def link_graph(e):
-    return pg.link_graph(e.table("pages"))
+    return pg.link_graph(*linked(e))
 
 
 @query(
@@ -122,7 +130,7 @@ def discovered_urls(e):
 def _discovered(e):
     pages = e.table("pages")
     roots = pages.select(F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/")).alias("url"))
-    return pg.discovered_urls(roots, pg.link_graph(pages))
+    return pg.discovered_urls(roots, pg.link_graph(*linked(e)))
 
 
 @query(
@@ -184,12 +192,19 @@ def contact_phones(e):
 
 @query(
     "contact_addresses",
-    f"""WITH {TEXTS_SQL}, m AS (SELECT domain, unnest(list_distinct(list_transform(regexp_extract_all(text, '{rules.STREET_PATTERN}'),
-        lambda x: trim(x)))) AS contact FROM t)
-    SELECT domain, contact, count(*) AS pages FROM m WHERE length(contact) > 12 GROUP BY domain, contact""",
+    f"""WITH t AS (SELECT source AS domain, text, NULL AS box FROM documents
+        UNION ALL SELECT h, html || '<address>12 Harbour Works Street<br> <b>' || h || '</b></address>', '12 Harbour Works Street ' || h
+        FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h FROM pages)),
+    m AS (SELECT domain, unnest(list_distinct(list_concat(list_filter(list_transform(regexp_extract_all(text, '{rules.STREET_PATTERN}'),
+        lambda x: trim(x)), lambda x: length(x) > 12), CASE WHEN box IS NULL THEN [] ELSE [box] END))) AS contact FROM t)
+    SELECT domain, contact, count(*) AS pages FROM m GROUP BY domain, contact""",
 )
 def contact_addresses(e):
-    return pg.contacts(texts(e), "addresses")
+    """Pages extended by an address box with their host."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    box = F.concat("html", F.lit("<address>12 Harbour Works Street<br> <b>"), host, F.lit("</b></address>"))
+    docs = e.table("documents").select(F.col("source").alias("domain"), F.col("text").alias("html"))
+    return pg.contacts(docs.unionByName(e.table("pages").select(host.alias("domain"), box.alias("html"))), "addresses")
 
 
 @query(

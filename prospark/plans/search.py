@@ -28,11 +28,11 @@ def first_vector(e) -> list[float]:
         "leads lead_embeddings",
         f"""SELECT lead_id, company_name, domain, industry, company_summary, icp_score, confidence_score, geography,
         status, {SIM} AS similarity FROM (SELECT leads.*, {DIST} AS distance FROM leads JOIN lead_embeddings USING (lead_id)
-        WHERE organization_id = 3 OR organization_id IS NULL ORDER BY distance, lead_id LIMIT 20)""",
+        WHERE organization_id = 3 OR organization_id IS NULL ORDER BY distance, lead_id LIMIT 150)""",
     ),
 )
 def semantic_topk(e):
-    return se.semantic_topk(e.leads(), e.lead_embeddings(), first_vector(e), 20, org=3)
+    return se.semantic_topk(e.leads(), e.lead_embeddings(), first_vector(e), 150, org=3)
 
 
 @query("keyword_score", over("leads", f"SELECT lead_id, {KEYWORD} AS keyword_score FROM leads"))
@@ -48,13 +48,13 @@ def keyword_score(e):
             SELECT *, round(0.6::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - distance)
                 + 0.25::DOUBLE * (icp_score / 100.0::DOUBLE) + 0.15::DOUBLE * {KEYWORD}, 4) AS score
             FROM (SELECT leads.*, {DIST} AS distance FROM leads JOIN lead_embeddings USING (lead_id)
-                WHERE icp_score >= 10 ORDER BY distance, lead_id LIMIT 50)
-            ORDER BY score DESC, distance, lead_id LIMIT 25)""",
+                WHERE icp_score >= 10 ORDER BY distance, lead_id LIMIT 300)
+            ORDER BY score DESC, distance, lead_id LIMIT 150)""",
     ),
 )
 def hybrid_search(e):
     rows = se.hybrid_search(
-        e.leads(), e.lead_embeddings(), TEXT, first_vector(e), LeadFilter(min_icp_score=10), k=25
+        e.leads(), e.lead_embeddings(), TEXT, first_vector(e), LeadFilter(min_icp_score=10), k=150, pool=300
     )
     return rows.select("lead_id", "score", "similarity", "icp_score", "company_name")
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from prospark import rules
 from prospark.operators import analytics as an
 from prospark.operators import leads as ld
 from prospark.operators import scope as sc
@@ -123,11 +124,11 @@ def leads_total(e):
     "rank_relational",
     over(
         "leads",
-        f"{LIST_SQL} FROM leads WHERE {FILTER_SQL} ORDER BY icp_score DESC, leads.created_at DESC, lead_id LIMIT 25",
+        f"{LIST_SQL} FROM leads WHERE {FILTER_SQL} ORDER BY icp_score DESC, leads.created_at DESC, lead_id LIMIT 150",
     ),
 )
 def rank_relational(e):
-    return ld.rank_relational(e.leads(), FILTER).withColumn("created_at", text_time("created_at"))
+    return ld.rank_relational(e.leads(), FILTER, k=150).withColumn("created_at", text_time("created_at"))
 
 
 EXPORT_SQL = """SELECT company_name, domain, industry, geography, icp_score, confidence_score, status,
@@ -137,7 +138,7 @@ EXPORT_SQL = """SELECT company_name, domain, industry, geography, icp_score, con
 
 @query("export_leads_csv", over("leads", EXPORT_SQL))
 def export_leads_csv(e):
-    return ld.export_leads(e.leads(), LeadFilter(min_icp_score=10))
+    return ld.export_leads(e.leads(), LeadFilter(min_icp_score=10), rules.EXPORT_LIMIT)
 
 
 @query(
@@ -152,7 +153,7 @@ def export_leads_csv(e):
     ),
 )
 def export_leads_json(e):
-    return ld.export_json(ld.export_leads(e.leads(), LeadFilter(min_icp_score=10)))
+    return ld.export_json(ld.export_leads(e.leads(), LeadFilter(min_icp_score=10), rules.EXPORT_LIMIT))
 
 
 @query(

@@ -33,8 +33,8 @@ def build_session(app: str = "prospark", cores: str = "*", shuffle_partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the setting is missing (tests, a laptop) a new temporary folder
-    takes its place.
+    A session on one machine may leave the setting out and gets a new temporary
+    folder; on a cluster executors could not see one another's files there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="prospark-")
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prospark import rules
@@ -70,7 +71,7 @@ def run_upserts(stream: DataFrame, path: str) -> None:
 
 def read_upserts(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
     """Latest row of each key of a table written by `run_upserts`."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
     return first_per_key(rows, keys, [F.desc("batch")]).drop("batch")
 
 

@@ -137,10 +137,16 @@ def test_csv_export(spark, tmp_path):
     assert rows[1][7] == 'says "hi"\nthere' and rows[2][7] == " padded "
 
 
-def test_list_clamps(spark):
+def test_list_arguments(spark):
     df = leads(spark)
-    assert ld.list_leads(df, page=0, page_size=0).count() == 1
-    assert [r.lead_id for r in ld.list_leads(df, sort_by="drop table", sort_order="asc").collect()] == [1, 2, 3]
+    for wrong in ({"page": 0}, {"page_size": 0}, {"sort_by": "drop table"}, {"sort_order": "up"}):
+        with pytest.raises(ValueError):
+            ld.list_leads(df, **wrong)
+    for call in (lambda: ld.rank_relational(df, k=0), lambda: ld.leads_total(df, page_size=0), lambda: ld.export_leads(df, limit=0)):
+        with pytest.raises(ValueError):
+            call()
+    assert ld.list_leads(df, page_size=1000).count() == 3 and ld.leads_total(df, page_size=1000).head().pages == 1
+    assert [r.lead_id for r in ld.list_leads(df, sort_by="icp_score", sort_order="asc").collect()] == [2, 3, 1]
     assert filter_leads(df, LeadFilter(search="   ", industry=" mach ", status=" new ")).count() == 3
     assert filter_leads(df, LeadFilter(organization_id=9)).count() == 3
     assert ld.leads_total(df.limit(0)).head().pages == 0
@@ -195,3 +201,12 @@ def test_hybrid_without_text_ranks_by_fit(spark):
     vectors_df = spark.createDataFrame([(1, [1.0, 0.0])], "lead_id long, embedding array<float>")
     rows = se.hybrid_search(leads(spark), vectors_df, "  ", [1.0, 0.0], k=2).collect()
     assert [r.lead_id for r in rows] == [1, 3] and rows[0].score is None
+    with pytest.raises(ValueError):
+        se.hybrid_search(leads(spark), vectors_df, "x", [1.0, 0.0], k=0)
+
+
+def test_hybrid_pool(spark):
+    """All passing leads are ranked unless a pool is named; a zero vector has no distance."""
+    vectors_df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "lead_id long, embedding array<float>")
+    found = lambda **more: [r.lead_id for r in se.hybrid_search(leads(spark), vectors_df, "there", [1.0, 0.0], weights=(0.1, 0.0, 0.9), k=5, **more).collect()]
+    assert found() == [1, 2] and found(pool=1) == [2]
