@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prospark import rules
 from prospark.functions.skew import first_per_key, lag_within, running_max_before
-from prospark.operators.scope import active_jobs
+from prospark.operators.scope import active_jobs, recent_usage
 
 
 def latest_active_job(jobs: DataFrame) -> DataFrame:
@@ -54,6 +54,66 @@ def submissions(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def gated_submissions(
+    requests: DataFrame, jobs: DataFrame, usage: DataFrame, as_of: str, max_jobs: int = rules.MAX_ACTIVE_JOBS, max_crawls: int = rules.MAX_MONTHLY_CRAWLS
+) -> DataFrame:
+    """`submissions` of requests that name an organization_id, held against its limits in the order they come.
+
+    A request is refused, whatever it would do, once its tenant has `max_jobs` active jobs, those that earlier requests
+    of the batch created included, or `max_crawls` crawls in the 30 days before `as_of`. Refused requests have the
+    action "rejected" and a reason. Requests of no tenant have no limits.
+    """
+    org, when = "organization_id", F.struct("requested_at", "request_id")
+    planned = submissions(requests, jobs)
+    running = active_jobs(jobs).groupBy(org).agg(F.count(F.lit(1)).alias("_running"))
+    crawls = recent_usage(usage, as_of).groupBy(org).agg(F.sum("crawls").alias("_crawls"))
+    # The first max_jobs creations of a tenant decide when it is full; no tenant is ordered further than that.
+    opening = first_per_key(planned.filter("action = 'create' AND organization_id IS NOT NULL"), [org], [F.asc("requested_at"), F.asc("request_id")], max_jobs)
+    opening = opening.groupBy(org).agg(F.sort_array(F.collect_list(when)).alias("_opening"))
+    rows = planned.join(running, org, "left").join(crawls, org, "left").join(opening, org, "left")
+    room = F.lit(max_jobs) - F.coalesce("_running", F.lit(0))
+    full = (room <= 0) | F.coalesce(F.get("_opening", room.cast("int") - 1) < when, F.lit(False))
+    reason = F.when(full, "active job limit").when(F.coalesce("_crawls", F.lit(0)) >= max_crawls, "monthly crawl quota")
+    rows = rows.withColumn("reason", F.when(F.col(org).isNotNull(), reason))
+    refused = F.col("reason").isNotNull()
+    return (
+        rows.withColumn("action", F.when(refused, "rejected").otherwise(F.col("action")))
+        .withColumn("active_job_id", F.when(~refused, F.col("active_job_id")))
+        .drop("_running", "_crawls", "_opening")
+    )
+
+
+def apply_moves(jobs: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs after the requested moves, refused moves with a reason).
+
+    jobs: job_id, status, started_at, completed_at and more. moves: move_id, job_id, new_status, moved_at. A job takes
+    its moves one after another by (moved_at, move_id); a move the job's state then does not allow is refused and
+    changes nothing. The first start and the end of a job are stamped. The moves of one job are one array.
+    """
+    order = F.sort_array(F.collect_list(F.struct("moved_at", "move_id", F.upper("new_status").alias("to"))))
+    wanted = moves.filter(F.col("job_id").isNotNull()).groupBy("job_id").agg(order.alias("_moves"))
+    rows = jobs.join(wanted, "job_id", "left")
+    start = F.struct("status", "started_at", "completed_at", F.array().cast("array<bigint>").alias("refused"))
+
+    def step(now: Column, move: Column) -> Column:
+        ok = F.coalesce(is_allowed_move(now["status"], move["to"]), F.lit(False))
+        first = ok & (move["to"] == "RUNNING") & now["started_at"].isNull()
+        return F.struct(
+            F.when(ok, move["to"]).otherwise(now["status"]).alias("status"),
+            F.when(first, move["moved_at"]).otherwise(now["started_at"]).alias("started_at"),
+            F.when(ok & move["to"].isin(rules.FINAL_STATES), move["moved_at"]).otherwise(now["completed_at"]).alias("completed_at"),
+            F.when(ok, now["refused"]).otherwise(F.concat(now["refused"], F.array(move["move_id"].cast("bigint")))).alias("refused"),
+        )
+
+    none = F.array().cast(rows.schema["_moves"].dataType)
+    rows = rows.withColumn("_end", F.aggregate(F.coalesce("_moves", none), start, step))
+    stamped = ["status", "started_at", "completed_at"]
+    after = rows.select(*[F.col(f"_end.{c}").alias(c) if c in stamped else F.col(c) for c in jobs.columns])
+    barred = rows.select(F.explode("_end.refused").alias("move_id"), F.lit("move not allowed").alias("reason"))
+    unknown = moves.join(jobs.select("job_id"), "job_id", "left_anti").select(F.col("move_id").cast("bigint").alias("move_id"), F.lit("not found").alias("reason"))
+    return after, barred.unionByName(unknown)
+
+
 def event_status(event_type: Column, stated: Column | None = None) -> Column:
     pairs = [F.lit(x) for pair in rules.EVENT_STATUS.items() for x in pair]
     inferred = F.coalesce(F.element_at(F.create_map(*pairs), event_type), F.lit("RUNNING"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospark import rules
+from prospark.functions.urls import safety
 from prospark.operators.scope import scope_tenant
 
 LEAD_REPLACED = [
@@ -90,6 +91,13 @@ def upsert_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def admit_targets(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets after the safe requests, unsafe requests with the reason); an unsafe URL is never stored."""
+    judged = requests.withColumn("reason", safety(F.col("normalized_url")))
+    safe = F.coalesce(F.col("reason") == "safe", F.lit(False))
+    return upsert_targets(existing, judged.filter(safe).drop("reason")), judged.filter(~safe)
+
+
 def replace_signals(old: DataFrame, new: DataFrame, lead_ids: DataFrame) -> DataFrame:
     """All signals of the given leads are dropped and the new ones take their place."""
     return old.join(lead_ids.select("lead_id"), "lead_id", "left_anti").unionByName(new)

@@ -39,6 +39,21 @@ def _bad_share(x: Column) -> Column:
     return x.isNotNull() & ~F.coalesce(x.try_cast("double").between(0.0, 1.0), F.lit(False))
 
 
+_TEXT_FIELDS = r"\b(?:signal|evidence|sentiment|status): (?!STRING)"
+
+
+def _wrong_types(json_col: str) -> list[tuple[Column, str]]:
+    """Fields whose JSON type is not the one of the answer format; a number or object is no text, null is no list."""
+    tree = F.try_parse_json(json_col)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant"))
+    off = lambda name, pattern: F.coalesce(~kind(name).rlike(pattern), F.lit(False))
+    checks = [(off(n, "^(?:STRING|VOID)$"), f"wrong type {n}") for n in REQUIRED_TEXTS]  # null counts as missing
+    checks += [(off(n, "^ARRAY<(?:STRING|VOID)>$"), f"wrong type {n}") for n in TEXT_LISTS]
+    checks += [(off(n, "^OBJECT<"), f"wrong type {n}") for n in ("contact_signals", "grounded_attributes")]
+    signals = F.coalesce(kind("signals").rlike(_TEXT_FIELDS), F.lit(False)) | off("signals", "^ARRAY<(?:OBJECT<.*|VOID)>$")
+    return [*checks, (signals, "wrong type signals")]
+
+
 def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataFrame, DataFrame]:
     """(valid answers as typed columns, refused answers with their reasons)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -51,6 +66,8 @@ def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataF
     share_ok = F.coalesce(a("confidence_score").try_cast("double").between(0.0, 1.0), F.lit(False))
     part_bad = lambda s: s["signal"].isNull() | s["evidence"].isNull() | _bad_share(s["confidence"])
     checks = [(a(n).isNull(), f"missing {n}") for n in REQUIRED_TEXTS]
+    checks += _wrong_types(json_col)
+    checks += [(F.coalesce(F.exists(a(n), lambda x: x.isNull()), F.lit(False)), f"null in {n}") for n in TEXT_LISTS]
     checks += [
         (score.isNull(), "missing icp_score"),
         (score.isNotNull() & ~score_ok, "icp_score not in 0..100"),

@@ -190,7 +190,7 @@ def build_context(e):
 
 
 def answers(e):
-    """Model answers as JSON text: good ones, and ones with a wrong number, a gap or a broken end."""
+    """Model answers as JSON text: good ones, and ones with a wrong number or type, a gap, a null list or a broken end."""
     key = F.col("c_custkey")
     one = F.struct(
         F.col("c_name").alias("company_name"),
@@ -207,6 +207,10 @@ def answers(e):
         F.lit("Because").alias("qualification_reasoning"),
     )
     text = F.to_json(one)
+    text = F.when(key % 31 == 0, F.replace(text, F.lit('"Sells things"'), F.lit('7'))).otherwise(text)
+    text = F.when(key % 37 == 0, F.replace(text, F.lit('["A"]'), F.lit('null'))).otherwise(text)
+    text = F.when(key % 41 == 0, F.replace(text, F.lit('"All"'), F.lit('{"who":"All"}'))).otherwise(text)
+    text = F.when(key % 43 == 0, F.replace(text, F.lit('["A"]'), F.lit('["A",null]'))).otherwise(text)
     broken = F.substring(text, F.lit(1), F.length(text) - 5)
     return e.table("customer").select(key.alias("lead_id"), F.when(key % 29 == 0, broken).otherwise(text).alias("answer"))
 
@@ -218,6 +222,9 @@ def answers(e):
     SELECT lead_id, CASE WHEN reason IS NULL THEN s END AS icp_score, CASE WHEN reason IS NULL THEN f END AS confidence_score,
         CASE WHEN reason IS NULL THEN c_mktsegment END AS industry, reason FROM (SELECT *, CASE WHEN k % 29 = 0 THEN 'malformed json'
         ELSE nullif(concat_ws('; ', CASE WHEN k % 17 = 0 THEN 'missing industry' END,
+            CASE WHEN k % 31 = 0 THEN 'wrong type company_summary' END, CASE WHEN k % 41 = 0 THEN 'wrong type target_audience' END,
+            CASE WHEN k % 37 = 0 THEN 'wrong type products_or_services' END,
+            CASE WHEN k % 43 = 0 AND k % 37 <> 0 THEN 'null in products_or_services' END,
             CASE WHEN s < 0 OR s > 100 THEN 'icp_score not in 0..100' END,
             CASE WHEN f > 1 THEN 'confidence_score not in 0..1' END), '') END AS reason FROM c)""",
 )

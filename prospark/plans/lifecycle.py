@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prospark.operators import analytics as an
 from prospark.operators import jobs as jb
 from prospark.operators import lifecycle as lc
 from prospark.plans.entity_sql import over
@@ -125,6 +126,30 @@ def upsert_targets(e):
     return lc.upsert_targets(*crawl_requests(e)).drop("url")
 
 
+@query(
+    "admit_targets",
+    over(
+        "crawled_pages",
+        """, b AS (SELECT DISTINCT target_id AS host, length(target_id) AS size FROM crawled_pages),
+        r AS (SELECT host, size, 'https://' || CASE size % 4 WHEN 0 THEN host || '.internal' WHEN 1 THEN '10.1.2.' || size ELSE host END || '/' AS nu,
+             CASE size % 4 WHEN 0 THEN 'local hostname' WHEN 1 THEN 'private or reserved address' END AS reason FROM b)
+        SELECT DISTINCT nu AS normalized_url, CAST(2 AS BIGINT) AS organization_id, coalesce(reason, 'in_progress') AS outcome FROM r""",
+    ).replace("\n,", ","),
+)
+def admit_targets(e):
+    size = F.length("target_id")
+    host = F.when(size % 4 == 0, F.concat("target_id", F.lit(".internal"))).when(size % 4 == 1, F.concat(F.lit("10.1.2."), size.cast("string"))).otherwise(F.col("target_id"))
+    url = F.concat(F.lit("https://"), host, F.lit("/"))
+    requests = e.crawled_pages().select(
+        url.alias("url"), url.alias("normalized_url"), host.alias("domain"), F.lit(2).cast("bigint").alias("organization_id"), F.lit(9).alias("campaign_id")
+    ).distinct()
+    existing, _ = crawl_requests(e)
+    after, refused = lc.admit_targets(existing.limit(0), requests)
+    return after.select("normalized_url", "organization_id", F.col("status").alias("outcome")).unionByName(
+        refused.select("normalized_url", "organization_id", F.col("reason").alias("outcome"))
+    )
+
+
 @query(
     "replace_signals",
     over(
@@ -335,6 +360,74 @@ def idempotent_submissions(e):
     return jb.submissions(requests, e.jobs()).select("request_id", "idempotency_key", "action", "active_job_id")
 
 
+@query(
+    "gated_submissions",
+    over(
+        "jobs usage_daily",
+        """, req AS (SELECT event_id AS request_id, user_id % 25 AS org, 'crawl:' || user_id * 12 AS key, ts, event_type = 'error' AS force FROM events),
+        few AS (SELECT * FROM jobs WHERE job_id % 97 = 0),
+        act AS (SELECT idempotency_key AS key, job_id FROM few WHERE status IN ('QUEUED', 'RUNNING')
+            QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at DESC, job_id DESC) = 1),
+        planned AS (SELECT req.*, job_id, CASE WHEN force THEN 'create' WHEN job_id IS NOT NULL THEN 'reuse_active'
+                 WHEN row_number() OVER (PARTITION BY req.key ORDER BY ts, request_id) = 1 THEN 'create' ELSE 'reuse_batch' END AS action
+            FROM req LEFT JOIN act ON req.key = act.key),
+        counted AS (SELECT *, count(*) FILTER (action = 'create') OVER (PARTITION BY org ORDER BY ts, request_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM planned),
+        running AS (SELECT organization_id AS org, count(*) AS n FROM few WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
+        recent AS (SELECT organization_id AS org, sum(crawls) AS c FROM usage_daily WHERE date >= DATE '2024-02-10' - 30 GROUP BY 1)
+        SELECT request_id, CASE WHEN r IS NULL THEN action ELSE 'rejected' END AS action, r AS reason,
+            CASE WHEN r IS NULL AND action = 'reuse_active' THEN job_id END AS active_job_id
+        FROM (SELECT *, CASE WHEN coalesce(n, 0) + made >= 12 THEN 'active job limit' WHEN coalesce(c, 0) >= 100 THEN 'monthly crawl quota' END AS r
+            FROM counted LEFT JOIN running USING (org) LEFT JOIN recent USING (org))""",
+    ).replace("\n,", ","),
+)
+def gated_submissions(e):
+    requests = e.table("events").select(
+        F.col("event_id").alias("request_id"),
+        (F.col("user_id") % 25).alias("organization_id"),
+        jb.submission_key(F.lit("crawl"), F.lit(None), (F.col("user_id") * 12).cast("string")).alias("idempotency_key"),
+        F.col("ts").alias("requested_at"),
+        (F.col("event_type") == "error").alias("force"),
+    )
+    few = e.jobs().filter(F.col("job_id") % 97 == 0)  # most tenants stay below their limit at first
+    rows = jb.gated_submissions(requests, few, an.sum_usage(e.usage_events()), "2024-02-10", max_jobs=12)
+    return rows.select("request_id", "action", "reason", "active_job_id")
+
+
+@query(
+    "apply_moves",
+    f"""WITH RECURSIVE m AS (SELECT event_id, user_id * 7 AS job_id, ['running', 'COMPLETED', 'CANCELLED', 'FAILED', 'QUEUED'][event_id % 5 + 1] AS raw,
+        ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    j AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM orders),
+    s AS (SELECT job_id, CAST(0 AS BIGINT) AS k, status, CAST(NULL AS TIMESTAMP) AS started, CAST(NULL AS TIMESTAMP) AS ended, CAST(NULL AS BIGINT) AS refused FROM j
+      UNION ALL
+      SELECT s.job_id, m.k, CASE WHEN ok THEN upper(raw) ELSE s.status END, CASE WHEN ok AND upper(raw) = 'RUNNING' AND started IS NULL THEN ts ELSE started END,
+        CASE WHEN ok AND upper(raw) IN ('COMPLETED', 'FAILED', 'CANCELLED') THEN ts ELSE ended END, CASE WHEN NOT ok THEN event_id END
+      FROM s JOIN m ON m.job_id = s.job_id AND m.k = s.k + 1, LATERAL (SELECT s.status || '>' || upper(raw) IN {{MOVES}} AS ok))
+    SELECT job_id AS id, status AS outcome, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended, '%Y-%m-%d %H:%M:%S') AS completed_at
+        FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k DESC) = 1
+    UNION ALL SELECT refused, 'move not allowed', NULL, NULL FROM s WHERE refused IS NOT NULL
+    UNION ALL SELECT event_id, 'not found', NULL, NULL FROM m WHERE job_id NOT IN (SELECT job_id FROM j)""".replace(
+        "{MOVES}", "('QUEUED>RUNNING', 'QUEUED>CANCELLED', 'RUNNING>COMPLETED', 'RUNNING>FAILED', 'RUNNING>CANCELLED')"
+    ),
+)
+def apply_moves(e):
+    """Jobs in two states and moves of all kinds, several per job and some of unknown jobs."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("timestamp_ntz")
+    jobs = e.table("orders").select(
+        key.alias("job_id"), F.when(key % 3 == 0, "RUNNING").otherwise("QUEUED").alias("status"), none.alias("started_at"), none.alias("completed_at")
+    )
+    kinds = F.array(*[F.lit(x) for x in ["running", "COMPLETED", "CANCELLED", "FAILED", "QUEUED"]])
+    moves = e.table("events").select(
+        F.col("event_id").alias("move_id"), (F.col("user_id") * 7).alias("job_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("new_status"), F.col("ts").alias("moved_at")
+    )
+    after, refused = jb.apply_moves(jobs, moves)
+    text = F.lit(None).cast("string")
+    return after.select(
+        F.col("job_id").alias("id"), F.col("status").alias("outcome"), text_time("started_at").alias("started_at"), text_time("completed_at").alias("completed_at")
+    ).unionByName(refused.select(F.col("move_id").alias("id"), F.col("reason").alias("outcome"), text.alias("started_at"), text.alias("completed_at")))
+
+
 @query(
     "job_event_tail",
     over(
