@@ -344,7 +344,7 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         .when(F.col("q.bare") != "", F.concat(F.lit("0:"), F.substring(F.col("q.bare"), 1, 1)))
         .otherwise(F.lit("*:"))
     )
-    anchors = q.select("quote_id", F.xxhash64(key).alias("anchor"), F.substring(key, 1, 2).alias("kind"))
+    anchors = q.select("quote_id", F.xxhash64(key).alias("anchor"))
 
     page = searchable(docs)
     toks = F.split(F.col("words"), " ")
@@ -364,18 +364,16 @@ def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    def candidates(kind: str, pieces: Column) -> DataFrame:
-        side = anchors.filter(F.col("kind") == kind).select("quote_id", "anchor")
-        found = page.select("page_id", F.explode(pieces).alias("piece"))
-        return found.select("page_id", F.xxhash64(F.concat(F.lit(kind), "piece")).alias("anchor")).join(side, "anchor")
-
-    parts = [
-        candidates("3:", triples),
-        candidates("1:", F.array_distinct(pieces)),
-        candidates("0:", F.array_distinct(F.split(F.col("marks"), ""))),
-        candidates("*:", F.array(F.lit(""))),
-    ]
-    pairs = reduce(lambda a, b: a.unionByName(b), parts).select("quote_id", "page_id").distinct()
+    of_kind = lambda kind, keys: F.transform(keys, lambda x: F.concat(F.lit(kind), x))
+    # All keys of a page in one pass over its searchable form.
+    keys = F.concat(
+        of_kind("3:", triples),
+        of_kind("1:", F.array_distinct(pieces)),
+        of_kind("0:", F.array_distinct(F.split(F.col("marks"), ""))),
+        F.array(F.lit("*:")),
+    )
+    found = page.select("page_id", F.explode(keys).alias("key")).select("page_id", F.xxhash64("key").alias("anchor"))
+    pairs = found.join(anchors, "anchor").select("quote_id", "page_id").distinct()
     checked = pairs.join(q, "quote_id").join(page.select("page_id", "words", "marks"), "page_id")
     whole = (
         F.when(F.col("q.bare") == "", True)

@@ -21,6 +21,18 @@ def event_stream(e):
     return project_job_events(raw)
 
 
+def split_stream(e, files: int = 5):
+    """The events written again in time order as several files, one per micro-batch, so that state counts."""
+    folder = scratch_path(e.spark, "split")
+    rows = e.table("events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(seconds), F.max(seconds)).head()
+    slot = F.floor((seconds - low) * files / (high - low + 1))
+    for k in range(files):
+        rows.filter(slot == k).coalesce(1).write.mode("append").parquet(folder)
+    return project_job_events(st.read_events(e.spark, folder, TABLES["events"], files_per_batch=1))
+
+
 @query(
     "stream_source_events",
     over("job_events", """SELECT event_id, job_id, organization_id, event_type, progress FROM job_events"""),
@@ -54,7 +66,7 @@ def stream_event_normalize(e):
 )
 def stream_job_latest(e):
     path = scratch_path(e.spark, "latest")
-    stream = st.stream_job_latest(event_stream(e))
+    stream = st.stream_job_latest(split_stream(e))
     st.run_upserts(stream, path)
     rows = st.read_upserts(e.spark, path, stream.schema, ["job_id"])
     return rows.select("job_id", "event_id", "event_type", "status", "progress", "is_final")
@@ -62,9 +74,11 @@ def stream_job_latest(e):
 
 @query("stream_transition_audit", over("events_status", TRANSITIONS_SQL))
 def stream_transition_audit(e):
+    """The stateful operator over several micro-batches."""
     path = scratch_path(e.spark, "transitions")
-    st.run_transition_audit(event_stream(e), path)
-    return st.read_transitions(e.spark, path).drop("timestamp")
+    stream = st.stream_transition_audit(split_stream(e))
+    st.run_to_table(stream, path)
+    return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
 
 
 @query(
@@ -80,7 +94,7 @@ def stream_transition_audit(e):
 )
 def stream_daily_usage(e):
     path = scratch_path(e.spark, "usage")
-    stream = st.stream_daily_usage(event_stream(e))
+    stream = st.stream_daily_usage(split_stream(e))
     st.run_upserts(stream, path)
     rows = st.read_upserts(e.spark, path, stream.schema, ["organization_id", "date"])
     return rows.withColumn("date", F.col("date").cast("string"))
@@ -97,7 +111,7 @@ def stream_daily_usage(e):
 )
 def stream_active_jobs(e):
     path = scratch_path(e.spark, "active")
-    st.stream_active_jobs(event_stream(e), path)
+    st.stream_active_jobs(split_stream(e), path)
     return st.read_active_jobs(e.spark, path)
 
 
@@ -108,7 +122,7 @@ def stream_active_jobs(e):
 def stream_submit_dedupe(e):
     """Submission keys within the whole month of events, which one watermark span covers."""
     path = scratch_path(e.spark, "submits")
-    requests = event_stream(e).select(
+    requests = split_stream(e).select(
         F.concat(F.lit("crawl:"), F.col("job_id").cast("string")).alias("idempotency_key"),
         F.col("timestamp").alias("requested_at"),
     )

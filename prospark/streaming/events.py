@@ -166,36 +166,49 @@ def read_state(spark: SparkSession, path: str, schema: str, batch: int) -> DataF
     return first_per_key(rows, ["job_id"], [F.desc("batch")]).drop("batch")
 
 
-def write_state(updates: DataFrame, before: DataFrame, path: str, batch: int) -> None:
+def write_state(updates: DataFrame, before: DataFrame, path: str, batch: int, done=None) -> None:
     """Stores the jobs changed in `batch`, or all jobs when a full copy is due.
 
-    The folder belongs to the batch, so a batch that runs again replaces its own rows.
+    The folder belongs to the batch, so a batch that runs again replaces its own rows. A full copy leaves out the jobs
+    for which `done` holds, so that finished jobs do not stay for ever.
     """
     if batch and batch % STATE_SPAN == 0:
         updates = updates.unionByName(before.join(updates.select("job_id"), "job_id", "left_anti"))
+        if done is not None:
+            updates = updates.filter(~F.coalesce(done, F.lit(False)))
     updates.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def run_transition_audit(events: DataFrame, path: str, bucket: str = "hour") -> None:
+def run_transition_audit(events: DataFrame, path: str, bucket: str = "hour", keep: str | None = None) -> None:
     """The transition audit for streams in which one job may hold much of the traffic.
 
     Same rows as `stream_transition_audit`, but each micro-batch runs the batch
     audit, which spreads a hot job over many tasks. The last status of each job
-    in the batch comes in as an event ahead of all others.
+    in the batch comes in as an event ahead of all others. With `keep` (such as
+    "7 days") a finished job is forgotten once the batch's newest event is that
+    much later. Across batches the order is that of arrival: an event that comes
+    after a later one of its job is audited as the newer.
     """
     schema = "job_id bigint, event_id bigint, timestamp timestamp, status string"
 
     def write(df: DataFrame, batch: int) -> None:
-        rows = df.select("job_id", "event_id", "timestamp", "status")
-        before = read_state(df.sparkSession, f"{path}/state", schema, batch)
-        ahead = before.join(rows.select("job_id").distinct(), "job_id", "left_semi").withColumn(
-            "timestamp", F.lit("1000-01-01 00:00:00").cast("timestamp")
-        )
-        audit = transition_audit(rows.unionByName(ahead.select(*rows.columns)), bucket)
-        audit.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        last = rows.groupBy("job_id").agg(F.max(F.struct("timestamp", "event_id", "status")).alias("e"))
-        updates = last.select("job_id", "e.event_id", "e.timestamp", "e.status")
-        write_state(updates, before.select(*updates.columns), f"{path}/state", batch)
+        rows = df.select("job_id", "event_id", "timestamp", "status").persist()
+        try:
+            before = read_state(df.sparkSession, f"{path}/state", schema, batch)
+            ahead = before.join(rows.select("job_id").distinct(), "job_id", "left_semi").withColumn(
+                "timestamp", F.lit("1000-01-01 00:00:00").cast("timestamp")
+            )
+            audit = transition_audit(rows.unionByName(ahead.select(*rows.columns)), bucket)
+            audit.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+            last = rows.groupBy("job_id").agg(F.max(F.struct("timestamp", "event_id", "status")).alias("e"))
+            updates = last.select("job_id", "e.event_id", "e.timestamp", "e.status")
+            done = None
+            if keep is not None:
+                newest = rows.agg(F.max("timestamp")).head()[0]
+                done = F.col("status").isin(rules.FINAL_STATES) & (F.col("timestamp") < F.lit(newest) - F.expr(f"INTERVAL {keep}"))
+            write_state(updates, before.select(*updates.columns), f"{path}/state", batch, done)
+        finally:
+            rows.unpersist()
 
     run_batches(normalize_events(events), path, write, mode="append")
 
@@ -214,14 +227,16 @@ def stream_active_jobs(events: DataFrame, path: str) -> None:
 
     def write(df: DataFrame, batch: int) -> None:
         active = F.col("status").isin(rules.ACTIVE_STATES).cast("int")
-        now = df.select("job_id", "organization_id", active.alias("active"))
+        now = df.select("job_id", "organization_id", active.alias("active")).persist()
         before = read_state(df.sparkSession, f"{path}/state", schema, batch)
         was = before.select("job_id", F.col("active").alias("was"))
         delta = now.join(was, "job_id", "left").withColumn("delta", F.col("active") - F.coalesce("was", F.lit(0)))
         delta.groupBy("organization_id").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(
             f"{path}/counts/batch={batch}"
         )
-        write_state(now, before.select(*now.columns), f"{path}/state", batch)
+        # A job that is over counts for nothing, and a job without state counts as that.
+        write_state(now, before.select(*now.columns), f"{path}/state", batch, F.col("active") == 0)
+        now.unpersist()
 
     run_batches(stream_job_latest(events), path, write)
 

@@ -1,5 +1,7 @@
 """Streams in several micro-batches against their batch twins."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,29 @@ def test_submit_dedupe(spark, event_dir, tmp_path):
     st.run_to_table(out, str(tmp_path))
     keys = [r[0] for r in spark.read.parquet(f"{tmp_path}/rows").select("idempotency_key").collect()]
     assert len(keys) == len(set(keys)) == twin(spark).select("job_id").distinct().count()
+
+
+def test_finished_jobs_leave_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "STATE_SPAN", 2)
+    days = [
+        [(1, 1, "job_created"), (2, 2, "job_created"), (3, 1, "job_completed")],
+        [(4, 2, "page_crawled"), (5, 3, "job_created")],
+        [(6, 2, "page_crawled")],
+        [(7, 4, "job_created"), (8, 4, "job_failed")],
+        [(9, 2, "job_completed")],
+    ]
+    for day, events in enumerate(days):
+        rows = [(i, j, 1, kind, 0, None, dt.datetime(2024, 1, 1 + 3 * day, 0, i)) for i, j, kind in events]
+        spark.createDataFrame(rows, st.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    st.run_transition_audit(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", keep="5 days")
+    state = {r.job_id: r.status for r in spark.read.parquet(f"{tmp_path}/out/state/batch=4").collect()}
+    # Job 1 ended long before the newest event; 4 ended lately, 2 just now, and 3 is not over.
+    assert state == {2: "COMPLETED", 3: "QUEUED", 4: "FAILED"}
+    assert st.read_transitions(spark, f"{tmp_path}/out").count() == 4
+
+
+def test_reading_upserts_leaves_the_schema_alone(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2)], "job_id long, v long")
+    df.write.parquet(f"{tmp_path}/rows/batch=0")
+    schema = df.schema
+    assert st.read_upserts(spark, str(tmp_path), schema, ["job_id"]).columns == ["job_id", "v"] == schema.names
