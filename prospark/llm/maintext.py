@@ -112,7 +112,7 @@ def example_pages(n: int = EXAMPLES, seed: int = 1) -> list[str]:
             tags.append(pick(f"<blockquote><p>{words(8, 30)}</p></blockquote>", f"<ul><li>{words(2, 15)}</li><li>{words(2, 15)}</li></ul>", f"<h2>{words(2, 6)}</h2><p>{words(9, 50)}</p>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<pre>{words(5, 20)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>"))
         rng.shuffle(tags)
         if rng.random() < 0.2:
-            tags.insert(int(rng.integers(len(tags) + 1)), junk(pick("ad", "notice", "share", "related", "form")))
+            tags.insert(int(rng.integers(len(tags) + 1)), junk(pick("ad", "notice", "share", "related", "form", "aside", "footer", "comments")))
         return "".join(tags)
 
     def junk(kind: str) -> str:
