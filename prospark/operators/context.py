@@ -43,23 +43,23 @@ def _block_text(idx: Column, pages: DataFrame, structured_chars: int | None) ->
     listed = lambda n: F.array_join(n, ", ")
     filled = lambda n: F.coalesce(F.size(n), F.lit(0)) > 0
     parts = [
-        F.concat(F.lit("=== CRAWLED PAGE "), idx, F.lit(" (ID: PAGE_"), idx, F.lit(") ===\nURL: "), "url", F.lit("\n")),
-        F.concat(F.lit("Title: "), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Untitled Page")), F.lit("\n")),
+        F.concat(F.lit("## Page "), idx, F.lit(" [page-"), idx, F.lit("]\nAddress: "), "url", F.lit("\n")),
+        F.concat(F.lit("Headline: "), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("(none)")), F.lit("\n")),
     ]
     if have("description"):
-        parts.append(line("Meta Description", F.col("description"), F.coalesce("description", F.lit("")) != ""))
+        parts.append(line("Summary line", F.col("description"), F.coalesce("description", F.lit("")) != ""))
     if have("emails"):
-        parts.append(line("Emails Found", listed("emails"), filled("emails")))
+        parts.append(line("Mail", listed("emails"), filled("emails")))
     if have("phones"):
-        parts.append(line("Phones Found", listed("phones"), filled("phones")))
+        parts.append(line("Phone", listed("phones"), filled("phones")))
     if have("social_links"):
-        parts.append(line("Social Profiles", F.to_json("social_links"), filled("social_links")))
+        parts.append(line("Profiles", F.to_json("social_links"), filled("social_links")))
     if have("json_ld"):
         shown = F.coalesce("json_ld", F.lit("[]")) != "[]"
         data = F.col("json_ld") if structured_chars is None else F.substring("json_ld", 1, structured_chars)
-        parts.append(line("Structured Data", data, shown))
+        parts.append(line("Markup facts", data, shown))
     body = strip(F.coalesce("content", F.lit("")))
-    parts.append(F.concat(F.lit("\nPAGE CONTENT (MARKDOWN):\n"), body, F.lit("\n\n")))
+    parts.append(F.concat(F.lit("\nText:\n"), body, F.lit("\n\n")))
     return F.concat(*parts)
 
 
@@ -100,7 +100,7 @@ def build_context(
     block = _block_text(F.col("idx"), pages, structured_chars)
     shown = F.when(
         F.col("kept") < F.col("size"),
-        F.concat(F.substring(block, F.lit(1), F.col("kept").cast("int")), F.lit("\n...[truncated for length]")),
+        F.concat(F.substring(block, F.lit(1), F.col("kept").cast("int")), F.lit("\n[cut here]")),
     ).otherwise(block)
     # Bounded by the budget: at most `max_chars` characters per target come together here.
     page_part = texts.groupBy("target_id").agg(
@@ -112,7 +112,7 @@ def build_context(
     first = F.lit(0).cast("bigint")
 
     head = targets.withColumn(
-        "text", F.concat(F.lit("=== TARGET WEBSITE ===\nDomain: "), "domain", F.lit("\nRoot URL: "), "url", F.lit("\n"))
+        "text", F.concat(F.lit("# Site\nHost: "), "domain", F.lit("\nStart: "), "url", F.lit("\n"))
     )
     listed = ordinal(
         sizes, ["target_id"], [F.col("depth"), F.col("page_id")], F.struct("depth", F.floor(F.col("page_id") / 10000)), "n"
@@ -124,7 +124,7 @@ def build_context(
     )
     parts = [section(head, 1, first), section(listed, 3, F.col("part")), section(page_part, 4, first)]
     if profiles is not None:
-        icp = profiles.withColumn("text", F.concat(F.lit("=== IDEAL CUSTOMER PROFILE (ICP) CRITERIA ===\n"), "icp_json"))
+        icp = profiles.withColumn("text", F.concat(F.lit("# Wanted customers\n"), "icp_json"))
         parts.append(section(icp, 2, first))
     out = parts[0]
     for p in parts[1:]:

@@ -160,7 +160,7 @@ def ground_attributes(quals: DataFrame, pages: DataFrame) -> DataFrame:
     due = F.col("status").isin("observed", "inferred") & (F.coalesce("source_url", F.lit("")) != "")
     bad = due & (F.col("url_reason").isNotNull() | ~F.col("quote_ok"))
     why = F.coalesce("url_reason", F.lit(NO_QUOTE))
-    text = F.concat(F.lit("Unverified claim rejected: evidence not substantiated by crawled content ("), why, F.lit(")"))
+    text = F.concat(F.lit("Claim set aside, no crawled page bears it out ("), why, F.lit(")"))
     new = F.struct(
         F.when(bad, "Unknown").otherwise(F.col("value")).alias("value"),
         F.when(bad, "unknown").otherwise(F.col("status")).alias("status"),

@@ -32,7 +32,7 @@ def _nearest(leads: DataFrame, embeddings: DataFrame, query_vec: Sequence[float]
     """
     distance = cosine_distance(query_vec)
     near = embeddings.filter(F.col("embedding").isNotNull()).select("lead_id", distance("embedding").alias("distance"))
-    rows = near.filter(~F.isnan("distance")).join(leads.select("lead_id"), "lead_id", "left_semi")
+    rows = near.filter(F.col("distance").isNotNull() & ~F.isnan("distance")).join(leads.select("lead_id"), "lead_id", "left_semi")
     return rows if n is None else rows.orderBy("distance", "lead_id").limit(n)
 
 

@@ -166,11 +166,11 @@ def _context_targets(e):
 CONTEXT_SQL = r""", d AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS body FROM doc_pages),
     k AS (SELECT * FROM d WHERE length(body) >= 5 QUALIFY row_number() OVER (PARTITION BY target_id, sha256(content) ORDER BY depth, page_id) = 1),
     i AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY depth, page_id) AS n FROM k),
-    b AS (SELECT *, '=== CRAWLED PAGE ' || n || ' (ID: PAGE_' || n || E') ===\nURL: ' || url || E'\nTitle: ' || title
-        || E'\n\nPAGE CONTENT (MARKDOWN):\n' || body || E'\n\n' AS txt FROM i),
+    b AS (SELECT *, '## Page ' || n || ' [page-' || n || E']\nAddress: ' || url || E'\nHeadline: ' || title
+        || E'\n\nText:\n' || body || E'\n\n' AS txt FROM i),
     s AS (SELECT *, coalesce(sum(length(txt)) OVER (PARTITION BY target_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
     t AS (SELECT target_id, n, CASE WHEN before + length(txt) <= 16000 THEN txt
-        ELSE substr(txt, 1, CAST(16000 - before AS INT)) || E'\n...[truncated for length]' END AS txt
+        ELSE substr(txt, 1, CAST(16000 - before AS INT)) || E'\n[cut here]' END AS txt
         FROM s WHERE before + length(txt) <= 16000 OR 16000 - before > 300)"""
 
 
@@ -179,8 +179,8 @@ CONTEXT_SQL = r""", d AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g'
     over(
         "doc_pages",
         CONTEXT_SQL
-        + r""" SELECT target_id, 1 AS section, CAST(0 AS BIGINT) AS part, E'=== TARGET WEBSITE ===\nDomain: ' || domain
-            || E'\nRoot URL: https://' || domain || E'/\n' AS text FROM (SELECT DISTINCT target_id, domain FROM doc_pages)
+        + r""" SELECT target_id, 1 AS section, CAST(0 AS BIGINT) AS part, E'# Site\nHost: ' || domain
+            || E'\nStart: https://' || domain || E'/\n' AS text FROM (SELECT DISTINCT target_id, domain FROM doc_pages)
         UNION ALL SELECT target_id, 3, (n - 1) // 1000, string_agg('- ' || url, E'\n' ORDER BY n) FROM i GROUP BY target_id, (n - 1) // 1000
         UNION ALL SELECT target_id, 4, 0, string_agg(txt, '' ORDER BY n) FROM t GROUP BY target_id""",
     ),

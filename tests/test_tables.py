@@ -58,7 +58,7 @@ def test_context_numbers_and_metadata(spark):
     targets = spark.createDataFrame([("t", "t.test", "https://t.test/")], "target_id string, domain string, url string")
     parts = {(r.section, r.part): r.text for r in cx.build_context(targets, df, urls_per_part=5).collect()}
     assert set(parts) == {(1, 0), (3, 0), (3, 1), (3, 2), (4, 0)}
-    assert "ID: PAGE_12" in parts[(4, 0)] and "Title: Untitled Page\nEmails Found: a@t.test\n" in parts[(4, 0)]
+    assert "[page-12]" in parts[(4, 0)] and "Headline: (none)\nMail: a@t.test\n" in parts[(4, 0)]
     assert parts[(3, 2)].split("\n") == ["- https://t.test/11", "- https://t.test/12"]
 
 
