@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from prospark.llm.chunks import field, packed, runs
 
-SLAB_CHARS = 24_000_000
+SLAB_CHARS = 8_000_000
 MOST_RANKS = 1_000_000
 _NONE = np.iinfo(np.int32).max
 #: White space as Unicode defines it; Python's own classes add four ASCII controls.
@@ -214,6 +214,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text_col: st
                         ],
                         ["doc", "n_tokens", "ids", "decoded"],
                     )
+                # A worker lives on: what a slab held must not stay with it.
+                del ids, cut
+                pa.default_memory_pool().release_unused()
 
     rows = packed(docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")))
     schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType, False)])
