@@ -138,7 +138,8 @@ def crawl_plan(
             .join(facts, "url", "left")
             .withColumn("priority", U.priority(F.col("url")))
         )
-        queue = cut_lineage(queue.unionByName(opened.select(*queue.columns)))
+        # Each round adds a table of its newly opened URLs; earlier ones are not written again.
+        queue = queue.unionByName(cut_lineage(opened.select(*queue.columns)))
     return _with_counts(roots.select("domain").distinct(), kept, queue, max_pages, can_fetch)
 
 
