@@ -183,7 +183,9 @@ def _between_classes(verdicts: DataFrame, joined: DataFrame, percent: int) -> Da
     rare = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("a", "b").orderBy("often", "e")
     each = each.join(rare, ["a", "e"]).withColumn("k", F.row_number().over(order) - 1).drop("often")
-    x, y = each.alias("x"), each.where("k < size - ceil(0.45 * size) + 1").alias("y")
+    # With one of two classes not linked to the leader, they share more than (1 - t) / 2 of the smaller difference.
+    least = (1 - t) / 2 - 0.01
+    x, y = each.alias("x"), each.where(f"k < size - ceil({least!r} * size) + 1").alias("y")
     need = f"ceil((x.size + y.size - {t!r} * (x.n + y.n)) / 2 - 1e-6)"
     pairs = (
         y.join(
