@@ -36,7 +36,7 @@ from prospark.llm.words import WHITE, Words, mix, pair_names, slabs, window_fits
 from prospark.session import cut_lineage
 
 PERMUTATIONS = 63
-SALTS = 64
+SALTS = 16
 _FACTOR = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
@@ -178,7 +178,8 @@ def _between_classes(verdicts: DataFrame, joined: DataFrame, percent: int) -> Da
     apart = rows.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     apart = apart.select("a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(apart, ["a", "salt"]).drop("salt").withColumn("size", F.size("d"))
+    # Repeated rows pack so well that Spark would take them for small enough to broadcast.
+    rows = rows.join(apart.hint("merge"), ["a", "salt"]).drop("salt").withColumn("size", F.size("d"))
     each = rows.select("a", "b", F.col("n_b").alias("n"), "c", "size", F.explode("d").alias("e"))
     rare = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("a", "b").orderBy("often", "e")

@@ -85,7 +85,8 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_a_hot_group(spark):
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_in_a_hot_group(spark, width, percent):
     """One text with hundreds of edited copies, some of them edited again: links past the leader must not get lost."""
     rng = random.Random(5)
     base = [f"b{i}" for i in range(90)]
@@ -100,8 +101,9 @@ def test_near_duplicates_in_a_hot_group(spark):
     texts = [" ".join(edit(rng.choice(family) if i % 3 else base, rng.randrange(8))) for i in range(260)] + [" ".join(base)] * 9
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = cases.near(rows, 3, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, width, percent).collect()}
+    want = cases.near(rows, width, percent)
     assert len(set(want.values())) > 5 and got == want
 
 
