@@ -9,8 +9,9 @@ being the ids of all blocks before it. A reader of some ids needs the index and
 Every id goes through one range exchange of the texts; ids are never exchanged. A reading task takes any blocks in any
 order: a document's pieces from several blocks are put together by their checksums.
 
-Texts are encoded by the tokenizers library. A text without double spaces is cut before each space; such a piece is
-encoded alike wherever it stands, so each distinct piece is encoded once per task and looked up afterwards.
+Texts are encoded by the tokenizers library. A text in which no white space stands next to a space is cut before each
+space; such a piece is encoded alike wherever it stands, so each distinct piece is encoded once per task and looked up
+afterwards. All other texts are encoded whole: white space and a space beside it can be one id.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; repeated doc_ids are separate
 documents, in the order of their texts; an empty table writes no blocks and reads back as no rows; other columns are
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,7 @@ BLOCK_IDS = 1 << 16
 #: Pieces that an encoder keeps from one batch to the next; beyond it pieces are encoded again.
 KEPT_PIECES = 300_000
 _BATCH_CHARS = 4_000_000
+_WIDE_SPACE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 class Encoder:
@@ -69,7 +72,12 @@ class Encoder:
         return first
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of ' ' + piece for new pieces, many of them in one text."""
+        """Ids of ' ' + piece for new pieces, many of them in one text; those that end in white space each alone."""
+        last = [p for p in pieces if p[-1].isspace()]
+        if last:
+            n = self._add(*_ragged(self.plain([" " + p for p in last])))
+            self.known.update(zip(last, range(n, n + len(last))))
+            pieces = [p for p in pieces if not p[-1].isspace()]
         parts = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
         for part, ids in zip(parts, self.plain([" " + " ".join(p) for p in parts])):
             ids = np.array(ids, dtype=np.uint32)
@@ -85,7 +93,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text), end ids included."""
         mark = len(self.at)
-        cut = [t.split(" ") if "  " not in t else None for t in texts]
+        cut = [None if _WIDE_SPACE.search(t) else t.split(" ") for t in texts]
         wanted: set[str] = set()
         for c in cut:
             wanted.update(c[1:] if c is not None else ())

@@ -205,6 +205,21 @@ def test_id_files(spark, docs, empty):
     assert idfiles.read_checksums(spark, path).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", " ", "\u00a0", "\u3000", "\t", "\n", "\r\n", "\x1c", "a", "é", "word", "12", "'s", ".", "你", "🙂"]), max_size=30).map("".join), max_size=6))
+def test_ids_of_pieces_are_those_of_the_library(texts):
+    """White space of any kind around single spaces, alone and among the pieces of earlier texts."""
+    global _pieces
+    try:
+        own = _pieces
+    except NameError:
+        _pieces = own = idfiles.Encoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read(), None)
+    for batch in (texts, ["a \u00a0 \u00a0 b", "a\u00a0 \u00a0 b c\n", *texts]):
+        ids, sizes = own.encode(batch)
+        ends = np.cumsum(sizes)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == own.plain(batch)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.sampled_from(["bit", "byte"]), st.binary(max_size=50), st.binary(max_size=50))
 def test_planes_and_checksums(ids, planes, a, b):
