@@ -83,35 +83,53 @@ def gated_submissions(
     )
 
 
-def apply_moves(jobs: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_moves(jobs: DataFrame, moves: DataFrame, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """(jobs after the requested moves, refused moves with a reason).
 
     jobs: job_id, status, started_at, completed_at and more. moves: move_id, job_id, new_status, moved_at. A job takes
     its moves one after another by (moved_at, move_id); a move the job's state then does not allow is refused and
-    changes nothing. The first start and the end of a job are stamped. The moves of one job are one array.
+    changes nothing. The first start and the end of a job are stamped. No state is entered twice and all states after
+    RUNNING are final, so a job takes two moves at most: the first that leaves its stored state and the first after it
+    that leaves the new one. Both are aggregates, the second over `salts` slices of a job; equal moves travel as one row.
     """
-    order = F.sort_array(F.collect_list(F.struct("moved_at", "move_id", F.upper("new_status").alias("to"))))
-    wanted = moves.filter(F.col("job_id").isNotNull()).groupBy("job_id").agg(order.alias("_moves"))
-    rows = jobs.join(wanted, "job_id", "left")
-    start = F.struct("status", "started_at", "completed_at", F.array().cast("array<bigint>").alias("refused"))
-
-    def step(now: Column, move: Column) -> Column:
-        ok = F.coalesce(is_allowed_move(now["status"], move["to"]), F.lit(False))
-        first = ok & (move["to"] == "RUNNING") & now["started_at"].isNull()
-        return F.struct(
-            F.when(ok, move["to"]).otherwise(now["status"]).alias("status"),
-            F.when(first, move["moved_at"]).otherwise(now["started_at"]).alias("started_at"),
-            F.when(ok & move["to"].isin(rules.FINAL_STATES), move["moved_at"]).otherwise(now["completed_at"]).alias("completed_at"),
-            F.when(ok, now["refused"]).otherwise(F.concat(now["refused"], F.array(move["move_id"].cast("bigint")))).alias("refused"),
-        )
-
-    none = F.array().cast(rows.schema["_moves"].dataType)
-    rows = rows.withColumn("_end", F.aggregate(F.coalesce("_moves", none), start, step))
-    stamped = ["status", "started_at", "completed_at"]
-    after = rows.select(*[F.col(f"_end.{c}").alias(c) if c in stamped else F.col(c) for c in jobs.columns])
-    barred = rows.select(F.explode("_end.refused").alias("move_id"), F.lit("move not allowed").alias("reason"))
-    unknown = moves.join(jobs.select("job_id"), "job_id", "left_anti").select(F.col("move_id").cast("bigint").alias("move_id"), F.lit("not found").alias("reason"))
-    return after, barred.unionByName(unknown)
+    states = sorted({a for a, _ in rules.JOB_MOVES})
+    move, first = F.col("_move"), F.col("_first")
+    asked = moves.select("job_id", F.struct("moved_at", "move_id", F.upper("new_status").alias("to")).alias("_move")).groupBy("job_id", "_move").agg(F.count(F.lit(1)).alias("_n"))
+    leaving = [F.min(F.when(is_allowed_move(F.lit(s), move["to"]), move)).alias(f"_from_{s}") for s in states]
+    firsts = asked.filter(F.col("job_id").isNotNull()).groupBy("job_id").agg(*leaving)
+    rows = jobs.join(firsts, "job_id", "left").withColumn("_first", F.coalesce(*[F.when(F.col("status") == s, F.col(f"_from_{s}")) for s in states]))
+    moved_on = first["to"].isin(states)
+    opened = rows.filter(moved_on).select("job_id", "_first").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    later = asked.withColumn("_salt", F.pmod(F.xxhash64("_move"), F.lit(salts).cast("bigint"))).join(opened, ["job_id", "_salt"])
+    seconds = later.filter((move > first) & is_allowed_move(first["to"], move["to"])).groupBy("job_id").agg(F.min("_move").alias("_then"))
+    rows = rows.join(seconds, "job_id", "left").withColumn("_second", F.when(moved_on, F.col("_then")))
+
+    taken = [first, F.col("_second")]
+    start, end = (F.coalesce(*[F.when(t["to"].isin(kinds), t["moved_at"]) for t in taken]) for kinds in (["RUNNING"], rules.FINAL_STATES))
+    ended = reduce(or_, [F.coalesce(t["to"].isin(rules.FINAL_STATES), F.lit(False)) for t in taken])
+    stamped = {
+        "status": F.coalesce(*[t["to"] for t in reversed(taken)], "status"),
+        "started_at": F.coalesce("started_at", start),
+        "completed_at": F.when(ended, end).otherwise(F.col("completed_at")),
+    }
+    after = rows.select(*[stamped[c].alias(c) if c in stamped else F.col(c) for c in jobs.columns])
+
+    fate = rows.select("job_id", "_first", "_second", F.lit(True).alias("_known"))
+    is_taken = reduce(or_, [F.coalesce(move == t, F.lit(False)) for t in taken])
+    barred = asked.join(fate, "job_id", "left").select(
+        move["move_id"].cast("bigint").alias("move_id"),
+        F.when(F.col("_known"), "move not allowed").otherwise("not found").alias("reason"),
+        (F.col("_n") - is_taken.cast("bigint")).alias("_n"),
+    )
+    return after, _repeated(barred, "_n")
+
+
+def _repeated(rows: DataFrame, n: str, part: int = 10_000) -> DataFrame:
+    """Each row as often as its column `n` says, in arrays of at most `part` items or `n / part`."""
+    one = F.lit(1).cast("bigint")
+    parts = rows.filter(F.col(n) > 0).withColumn("_part", F.explode(F.sequence(one, F.ceil(F.col(n) / part))))
+    left = F.least(F.lit(part).cast("bigint"), F.col(n) - (F.col("_part") - 1) * part)
+    return parts.withColumn("_copy", F.explode(F.sequence(one, left))).drop(n, "_part", "_copy")
 
 
 def event_status(event_type: Column, stated: Column | None = None) -> Column:

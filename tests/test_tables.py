@@ -210,3 +210,36 @@ def test_hybrid_pool(spark):
     vectors_df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "lead_id long, embedding array<float>")
     found = lambda **more: [r.lead_id for r in se.hybrid_search(leads(spark), vectors_df, "there", [1.0, 0.0], weights=(0.1, 0.0, 0.9), k=5, **more).collect()]
     assert found() == [1, 2] and found(pool=1) == [2]
+
+
+def test_job_moves_of_a_hot_job(spark):
+    """Moves one after another in plain Python; a job with most moves, equal moves, unknown jobs and missing values."""
+    rng = random.Random(11)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(40)) if rng.random() < 0.95 else None
+    jobs = [(j, rng.choice(["QUEUED", "QUEUED", "RUNNING", "FAILED", None]), at() if rng.random() < 0.3 else None, at() if rng.random() < 0.2 else None, f"x{j}") for j in range(200)]
+    jobs[0] = (0, "QUEUED", None, None, "hot")
+    kinds = ["running", "COMPLETED", "Cancelled", "FAILED", "queued", None, "odd"]
+    moves = [(i if rng.random() < 0.97 else None, 0 if rng.random() < 0.4 else rng.choice([None, *range(230)]), rng.choice(kinds), at()) for i in range(3000)]
+    moves += [m for m in moves if rng.random() < 0.2]
+    allowed = {("QUEUED", "RUNNING"), ("QUEUED", "CANCELLED"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("RUNNING", "CANCELLED")}
+    order = lambda m: (m[3] is not None, m[3] or dt.datetime.min, m[0] is not None, m[0] or 0, m[2] is not None, (m[2] or "").upper())
+    want, refused = [], []
+    for job, status, start, end, name in jobs:
+        for i, _, kind, when in sorted((m for m in moves if m[1] == job), key=order):
+            to = kind and kind.upper()
+            if (status, to) not in allowed:
+                refused.append((i, "move not allowed"))
+                continue
+            status = to
+            if to == "RUNNING" and start is None:
+                start = when
+            elif to != "RUNNING":
+                end = when
+        want.append((job, status, start, end, name))
+    refused += [(m[0], "not found") for m in moves if m[1] is None or m[1] >= 200]
+    schema = "job_id long, status string, started_at timestamp_ntz, completed_at timestamp_ntz, name string"
+    after, barred = jb.apply_moves(spark.createDataFrame(jobs, schema), spark.createDataFrame(moves, "move_id long, job_id long, new_status string, moved_at timestamp_ntz"))
+    assert sorted(map(repr, map(tuple, after.collect()))) == sorted(map(repr, want))
+    assert sorted(map(repr, map(tuple, barred.collect()))) == sorted(map(repr, refused))
+    for df in (after, barred):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
