@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 # Elements of the HTML standard by their role.
-RAW = "script|style|template|svg|noscript|iframe|textarea|title|object|canvas|math|head-only"
+RAW = "script|style|template|svg|noscript|iframe|textarea|title|object|canvas|math"
+_TO_END = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th"
@@ -34,9 +36,11 @@ _KIND = {tag: i for i, k in enumerate(KINDS) for tag in _KINDS[k].split()}
 _TOKEN = {t: i for i, k in enumerate(TOKENS) for t in _TOKENS[k].split()}
 
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+(?:>|\Z)|([^<]++)|(<)",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*?/>"
+    rf"|<({RAW})(?=[\s/>])[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+(?:>|\Z)|([^<]++)|(<)",
     re.S | re.I,
 )
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?]")
@@ -74,6 +78,28 @@ def _attribute_tokens(attributes: str) -> tuple[int, str | None]:
     return bits, keep
 
 
+def _pieces(source: str) -> Iterator[re.Match]:
+    """Pieces of a page without the content of raw elements.
+
+    A raw element without an end tag is its tag alone, if the HTML standard does not let it run to the end of the page.
+    """
+    at, unclosed = 0, set()
+    while at < len(source):
+        for m in _PIECE.finditer(source, at):
+            at = m.end()
+            yield m
+            if m[1] is None:
+                continue
+            name = m[1].lower()
+            end = None if name in unclosed else _ENDS[name].search(source, at)
+            if end is not None:
+                at = end.end()
+                break
+            if name in _TO_END:
+                return
+            unclosed.add(name)
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack, names = [0], [""]
@@ -90,7 +116,7 @@ def parse(source: str) -> Page:
             text.clear()
         chars = 0
 
-    for m in _PIECE.finditer(source):
+    for m in _pieces(source):
         words, tag = m[5] or m[6], m[3]
         if words is not None:
             text.append(words)

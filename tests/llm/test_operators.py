@@ -277,6 +277,22 @@ def test_main_text(spark):
     assert got[2]["text"] == got[4]["text"] == "" and maintext.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<p>One <svg class="i"/> two</p><p>three</p>', "One two three"),
+        ('<p>One<svg viewBox="0 0 > 9" />two <math/> x</p><p>three <svg><path d="M0"/><title>T</title></svg>four</p>', "Onetwo x three four"),
+        ("<p>One <svg-icon></svg-icon> two</p><template-x>three</template-x> <title-bar>four</title-bar><p>five</p>", "One two three four five"),
+        ("<p>One</p><object-view>two</object-view><p>three <svg-icon name=a></svg-icon>four</p><svg></svg><p>five</p>", "One two three four five"),
+        ("<p>One <canvas> two</p><object data='x'><p>three</p><noscript><p>four", "One two three four"),
+        ("<p>One</p><SVG><text>no</text></svg ><template><p>no</p></TEMPLATE><iframe>no</iframe><p>two</p><script>var x='</p>'; <style>", "One two"),
+        ("<p>One</p><style>p{}</style x><title>no</titles></title><p>two</p><textarea>no <p>no", "One two"),
+    ],
+)
+def test_icons_and_custom_elements_keep_their_page(source, want):
+    assert " ".join(maintext.parse(source).segments) == want
+
+
 def test_main_text_of_unseen_pages():
     trees, good = maintext.default_trees(), 0
     for source in maintext.example_pages(100, seed=77):
