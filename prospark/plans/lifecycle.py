@@ -394,6 +394,40 @@ def gated_submissions(e):
     return rows.select("request_id", "action", "reason", "active_job_id")
 
 
+@query(
+    "gated_submissions_all",
+    over(
+        "jobs usage_daily",
+        """, req AS (SELECT event_id AS request_id, user_id % 50 AS org, 'crawl:' || user_id * 12 AS key, ts, event_type = 'error' AS force FROM events),
+        active AS (SELECT * FROM jobs WHERE status IN ('QUEUED', 'RUNNING')),
+        act AS (SELECT idempotency_key AS key, job_id FROM active
+            QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at DESC, job_id DESC) = 1),
+        planned AS (SELECT req.*, job_id, CASE WHEN force THEN 'create' WHEN job_id IS NOT NULL THEN 'reuse_active'
+                 WHEN row_number() OVER (PARTITION BY req.key ORDER BY ts, request_id) = 1 THEN 'create' ELSE 'reuse_batch' END AS action
+            FROM req LEFT JOIN act ON req.key = act.key),
+        counted AS (SELECT *, count(*) FILTER (action = 'create') OVER (PARTITION BY org ORDER BY ts, request_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM planned),
+        running AS (SELECT organization_id AS org, count(*) AS n FROM active GROUP BY 1),
+        recent AS (SELECT organization_id AS org, sum(crawls) AS c FROM usage_daily WHERE date >= DATE '2024-02-10' - 30 GROUP BY 1)
+        SELECT request_id, CASE WHEN r IS NULL THEN action ELSE 'rejected' END AS action, r AS reason,
+            CASE WHEN r IS NULL AND action = 'reuse_active' THEN job_id END AS active_job_id
+        FROM (SELECT *, CASE WHEN coalesce(n, 0) + made >= 45 THEN 'active job limit' WHEN coalesce(c, 0) >= 100 THEN 'monthly crawl quota' END AS r
+            FROM counted LEFT JOIN running USING (org) LEFT JOIN recent USING (org))""",
+    ).replace("\n,", ","),
+)
+def gated_submissions_all(e):
+    """Requests held against all jobs; about half the tenants that ask have none yet and fill up by their own requests."""
+    requests = e.table("events").select(
+        F.col("event_id").alias("request_id"),
+        (F.col("user_id") % 50).alias("organization_id"),
+        jb.submission_key(F.lit("crawl"), F.lit(None), (F.col("user_id") * 12).cast("string")).alias("idempotency_key"),
+        F.col("ts").alias("requested_at"),
+        (F.col("event_type") == "error").alias("force"),
+    )
+    rows = jb.gated_submissions(requests, e.jobs(), an.sum_usage(e.usage_events()), "2024-02-10", max_jobs=45)
+    return rows.select("request_id", "action", "reason", "active_job_id")
+
+
 @query(
     "apply_moves",
     f"""WITH RECURSIVE m AS (SELECT event_id, user_id * 7 AS job_id, ['running', 'COMPLETED', 'CANCELLED', 'FAILED', 'QUEUED'][event_id % 5 + 1] AS raw,

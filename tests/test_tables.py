@@ -243,3 +243,12 @@ def test_job_moves_of_a_hot_job(spark):
     assert sorted(map(repr, map(tuple, barred.collect()))) == sorted(map(repr, refused))
     for df in (after, barred):
         assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gate_over_all_jobs(spark):
+    """Active jobs of any number are reused, and tenants are full, fill up or have room."""
+    from prospark.plans.catalog import QUERIES
+
+    rows = QUERIES["gated_submissions_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.action for r in rows} == {"create", "reuse_active", "reuse_batch", "rejected"}
+    assert any(r.active_job_id is not None and r.active_job_id % 97 for r in rows)
