@@ -150,6 +150,42 @@ def admit_targets(e):
     )
 
 
+@query(
+    "admit_targets_stored",
+    over(
+        "crawled_pages",
+        """, b AS (SELECT DISTINCT target_id AS host, length(target_id) AS size FROM crawled_pages),
+        ex AS (SELECT 'https://' || host || '/' AS nu, CASE WHEN size % 3 <> 0 THEN size END AS org FROM b
+             UNION SELECT 'https://' || host || '/', CASE WHEN size % 2 = 0 THEN 3 END FROM b),
+        r AS (SELECT size, 'https://' || CASE size % 4 WHEN 0 THEN host || '.internal' WHEN 1 THEN '10.1.2.' || size ELSE host END || '/' AS nu,
+             CASE size % 4 WHEN 0 THEN 'local hostname' WHEN 1 THEN 'private or reserved address' END AS reason FROM b),
+        req AS (SELECT nu, 2 AS org, reason FROM r UNION SELECT nu, size, reason FROM r),
+        own AS (SELECT nu, req.org FROM req JOIN ex USING (nu) WHERE reason IS NULL AND req.org = ex.org),
+        rest AS (SELECT nu, org FROM req WHERE reason IS NULL AND NOT EXISTS (FROM own WHERE own.nu = req.nu AND own.org = req.org)),
+        taker AS (SELECT nu, min(rest.org) AS org FROM rest JOIN ex USING (nu) WHERE ex.org IS NULL GROUP BY nu),
+        upd AS (SELECT nu, org AS at, org FROM own UNION ALL SELECT nu, NULL, org FROM taker)
+        SELECT ex.nu AS normalized_url, coalesce(ex.org, upd.org) AS organization_id, CASE WHEN upd.nu IS NULL THEN 1 ELSE 9 END AS campaign_id,
+             CASE WHEN upd.nu IS NULL THEN 'failed' ELSE 'in_progress' END AS outcome
+        FROM ex LEFT JOIN upd ON ex.nu = upd.nu AND ex.org IS NOT DISTINCT FROM upd.at
+        UNION ALL SELECT nu, org, 9, 'in_progress' FROM rest WHERE NOT EXISTS (FROM taker WHERE taker.nu = rest.nu AND taker.org = rest.org)
+        UNION ALL SELECT nu, org, 9, reason FROM req WHERE reason IS NOT NULL""",
+    ).replace("\n,", ","),
+)
+def admit_targets_stored(e):
+    """The gate before all stored targets: own and shared ones are taken over, the rest stay as they are."""
+    size = F.length("target_id")
+    host = F.when(size % 4 == 0, F.concat("target_id", F.lit(".internal"))).when(size % 4 == 1, F.concat(F.lit("10.1.2."), size.cast("string"))).otherwise(F.col("target_id"))
+    url = F.concat(F.lit("https://"), host, F.lit("/"))
+    askers = F.array(F.lit(2).cast("bigint"), size.cast("bigint"))
+    requests = e.crawled_pages().select(
+        url.alias("url"), url.alias("normalized_url"), host.alias("domain"), F.explode(askers).alias("organization_id"), F.lit(9).alias("campaign_id")
+    ).distinct()
+    existing, _ = crawl_requests(e)
+    after, refused = lc.admit_targets(existing, requests)
+    names = ["normalized_url", "organization_id", "campaign_id"]
+    return after.select(*names, F.col("status").alias("outcome")).unionByName(refused.select(*names, F.col("reason").alias("outcome")))
+
+
 @query(
     "replace_signals",
     over(

@@ -252,3 +252,11 @@ def test_gate_over_all_jobs(spark):
     rows = QUERIES["gated_submissions_all"](spark, "/root/testdata/sf0.001").collect()
     assert {r.action for r in rows} == {"create", "reuse_active", "reuse_batch", "rejected"}
     assert any(r.active_job_id is not None and r.active_job_id % 97 for r in rows)
+
+
+def test_gate_before_stored_targets(spark):
+    """Stored targets that nobody asks for stay, others are taken over, and unsafe URLs are refused."""
+    from prospark.plans.catalog import QUERIES
+
+    rows = QUERIES["admit_targets_stored"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.outcome for r in rows} >= {"failed", "in_progress", "private or reserved address"}
