@@ -8,6 +8,9 @@ expressions on rows as they come: nothing is exchanged but the counts of the abl
 Words repeated in 5-word windows: names of all windows are compared inside the row; only texts with equal names sort
 the windows of those names, by their words, so names decide nothing.
 
+Word length is judged on runs of scripts that put spaces between words: Han, Kana, Thai, Lao, Khmer and Myanmar
+characters end a run and are no part of one. The SQL twin judges white-space words and differs on such texts only.
+
 Defined cases: a null or empty text has no words and fails `few_words`; other columns may hold nulls; repeated rows are
 judged one by one; an empty table gives an empty ledger. Input columns are kept in the struct `doc`.
 """
@@ -23,15 +26,19 @@ from pyspark.sql import functions as F
 from prospark.llm.chunks import packed
 
 WHITE = r" \t\n\x0B\f\r"
+#: Scripts without spaces between words, with the marks and full-width forms that stand among them.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u3000-\u303F\u30A0-\u30FF\uFF00-\uFFEF]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where `fails` (SQL over the measurements) is true. Bit numbers stay as they are for good."""
+    """A rule fails where `fails` (SQL over the measurements) is true, or `in_ledger` if the ledger has a finer measurement
+    than the SQL twin. Bit numbers stay as they are for good."""
 
     bit: int
     name: str
     fails: str
+    in_ledger: str | None = None
 
 
 RULES = (
@@ -40,7 +47,7 @@ RULES = (
     Rule(2, "symbols", "100 * n_symbols > 25 * n_words"),
     Rule(3, "shouting", "100 * n_upper > 60 * (word_chars - n_symbols)"),
     Rule(4, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
-    Rule(5, "long_words", "word_chars > 20 * n_words"),
+    Rule(5, "long_words", "word_chars > 20 * n_words", "run_chars > 20 * n_runs"),
 )
 
 #: Versioned policies: a text is kept if it fails none of the named rules.
@@ -86,11 +93,16 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text_of = lambda x: F.struct(F.slice(F.col("w"), x["i"] + 1, F.lit(5)).alias("g"), x["i"].alias("i"))
     rows = rows.select("doc", "t", "w", "lines", F.sort_array(F.transform("s", text_of)).alias("s"))
     starts = F.sort_array(F.transform(twice(F.col("s"), lambda x: x["g"]), lambda x: x["i"]))
-    rows = rows.select("doc", "t", "w", "lines", starts.alias("s"))
+    unspaced = (F.octet_length("t") > F.length("t")) & F.col("t").rlike(UNSPACED)
+    runs = F.when(unspaced, _words(F.regexp_replace("t", f"{UNSPACED}+", " ")))
+    rows = rows.select("doc", "t", "w", "lines", starts.alias("s"), runs.alias("runs"))
+    runs = F.coalesce("runs", "w")
     without = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
     measures = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.size(runs).cast("long").alias("n_runs"),
+        F.length(F.array_join(runs, "")).cast("long").alias("run_chars"),
         without(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         without(r"\p{Lu}+").cast("long").alias("n_upper"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -106,7 +118,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text
     """`doc`, the measurements and `fail_bits`: bit b is set where the rule of that bit fails."""
     bits = F.lit(0).cast("long")
     for rule in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(rule.in_ledger or rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
     return measure(docs, text_col).withColumn("fail_bits", bits)
 
 

@@ -132,6 +132,19 @@ def test_quality_leaves_labelled_texts_alone(spark):
     assert sum(r["fail_bits"] == 0 for r in clean) >= 0.995 * len(clean)
 
 
+def test_quality_of_scripts_without_spaces(spark):
+    """Clean prose of such scripts is kept; long words of other scripts beside it are not hidden by it."""
+    phrases = {"th": "ประเทศไทยมีแม่น้ำหลายสายที่ไหลผ่านที่ราบ", "zh": "长江是亚洲最长的河流，流经许多省份和城市，最后注入东海。", "ja": "コンピューターの歴史はとても長く、多くの人々が研究してきた。",
+               "lo": "ປະເທດລາວມີແມ່ນ້ຳຫຼາຍສາຍທີ່ໄຫຼຜ່ານພູເຂົາ", "km": "ប្រទេសកម្ពុជាមានទន្លេជាច្រើនដែលហូរកាត់", "my": "မြန်မာနိုင်ငံတွင်မြစ်များစွာရှိပြီးတောင်တန်းများ"}
+    clean = {k: " ".join(f"{p}{i}" for i in range(12)) for k, p in phrases.items()}
+    junk = [" ".join("x" * 25 + str(i) for i in range(12)), " ".join("สั้น" for _ in range(3)) + " " + " ".join(f"คำ {'y' * 30}{i}" for i in range(12))]
+    assert all(len(w) > 20 for t in clean.values() for w in t.split())
+    rows = spark.createDataFrame([*clean.items(), ("junk", junk[0]), ("mixed", junk[1])], "doc_id string, text string")
+    book = quality.ledger(rows)
+    got = {r["doc_id"] for r in book.where(quality.apply_policy(book, quality.POLICIES["v1"])).select("doc.doc_id").collect()}
+    assert got == set(clean)
+
+
 def test_licenses(docs, empty):
     for r in licenses.license_scan(docs).collect():
         text = next(t for i, t in PAIRS if i == r["doc_id"])
