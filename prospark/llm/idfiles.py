@@ -9,12 +9,14 @@ being the ids of all blocks before it. A reader of some ids needs the index and
 Every id goes through one range exchange of the texts; ids are never exchanged. A reading task takes any blocks in any
 order: a document's pieces from several blocks are put together by their checksums.
 
-Texts are encoded by the tokenizers library. A text in which no white space stands next to a space is cut before each
-space; such a piece is encoded alike wherever it stands, so each distinct piece is encoded once per task and looked up
-afterwards. All other texts are encoded whole: white space and a space beside it can be one id.
+Texts are encoded by the tokenizers library with its defaults: the string of an added token inside a text is that
+token. A text is cut between an ASCII letter and an ASCII character that is none, and before each space that stands
+between two characters which are no white space. The pre-tokenizer splits at both, so a piece is encoded alike wherever
+it stands: each distinct piece is encoded once per batch or found among those kept. A text that contains the string of
+an added token is one piece.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; repeated doc_ids are separate
-documents, in the order of their texts; an empty table writes no blocks and reads back as no rows; other columns are
+documents, in the order of their texts, and ranges also divide them by the first characters of their texts; an empty table writes no blocks and reads back as no rows; other columns are
 not read.
 """
 
@@ -22,12 +24,12 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,28 +37,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospark.llm.chunks import partitions_for, text_bytes
+from prospark.llm.words import buffers
 
 BLOCK_IDS = 1 << 16
-#: Pieces that an encoder keeps from one batch to the next; beyond it pieces are encoded again.
-KEPT_PIECES = 300_000
-_BATCH_CHARS = 4_000_000
-_WIDE_SPACE = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: Pieces that an encoder keeps from one batch to the next, and the bytes of the longest one kept.
+KEPT_PIECES = 500_000
+KEPT_BYTES = 64
+_BATCH_BYTES = 8_000_000
+_SPACE = 0x20
+#: Bytes that are white space or may begin or end some: ASCII, and the first bytes of U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000.
+_WIDE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_BLANK_OR_LEAD = _BLANK.copy()
+_BLANK_OR_LEAD[list(_WIDE_LEADS)] = True
+_WIDE_LEAD = _BLANK_OR_LEAD & ~_BLANK
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_OTHER = ~_LETTER & (np.arange(256) < 0x80)
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each piece, pieces of each text) of UTF-8 texts one after another; `whole` texts are not cut.
+
+    A character that may be white space by its first byte counts as such: then there is no cut, and the piece is longer.
+    """
+    at = np.flatnonzero(data == _SPACE)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    blank = _BLANK_OR_LEAD[data[at + 1]] | _BLANK[data[at - 1]]
+    blank |= (data[at - 1] >= 0x80) & (_WIDE_LEAD[data[np.maximum(at - 2, 0)]] | _WIDE_LEAD[data[np.maximum(at - 3, 0)]])
+    at = np.concatenate([at[~blank], np.flatnonzero(_LETTER[data[:-1]] & _OTHER[data[1:]]) + 1])
+    if whole.any():
+        at = at[~whole[np.searchsorted(offsets, at, side="right") - 1]]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[at] = True
+    begins[offsets] = True
+    start = np.flatnonzero(begins[: len(data)])
+    return start, np.diff(np.searchsorted(start, offsets))
 
 
 class Encoder:
-    """Ids of texts under a tokenizers file whose pieces split before a space."""
+    """Ids of texts under a byte-level tokenizers file that splits before a space between other characters."""
 
     def __init__(self, tokenizer_json: str, end_id: int | None = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens that a piece of a space and letters could contain.
+        self.lettered = [a for a in self.added if a.lstrip(" ").isalpha()]
         self.end = [] if end_id is None else [end_id]
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocab.items() if token[0] == "Ġ"]] = True  # the byte symbol of a space
-        self.known: dict[str, int] = {}
+        #: Kept pieces and their unit numbers.
+        self.known, self.unit = pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
         self.flat, self.at = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
@@ -71,60 +107,61 @@ class Encoder:
         self.at = np.concatenate([self.at, used + np.cumsum(sizes)])
         return first
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of ' ' + piece for new pieces, many of them in one text; those that end in white space each alone."""
-        last = [p for p in pieces if p[-1].isspace()]
-        if last:
-            n = self._add(*_ragged(self.plain([" " + p for p in last])))
-            self.known.update(zip(last, range(n, n + len(last))))
-            pieces = [p for p in pieces if not p[-1].isspace()]
-        parts = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
-        for part, ids in zip(parts, self.plain([" " + " ".join(p) for p in parts])):
+    def _units(self, pieces: list[str]) -> np.ndarray:
+        """Stores the ids of pieces and returns their unit numbers. Pieces of a space and letters are encoded many in one text."""
+        unit = np.zeros(len(pieces), dtype=np.int64)
+        joined = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        if self.lettered:
+            joined = [i for i in joined if not any(a in pieces[i] for a in self.lettered)]
+        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+        alone = np.ones(len(pieces), dtype=bool)
+        for group, ids in zip(groups, self.plain(["".join([pieces[i] for i in g]) for g in groups])):
             ids = np.array(ids, dtype=np.uint32)
             first = np.flatnonzero(self.opens[ids])
-            if len(first) != len(part) or first[0] != 0:
-                alone = self.plain([" " + p for p in part])
-                ids, sizes = np.concatenate([np.array(a, dtype=np.uint32) for a in alone]), np.array([len(a) for a in alone])
-            else:
-                sizes = np.diff(np.append(first, len(ids)))
-            n = self._add(ids, sizes)
-            self.known.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, ids of each text), end ids included."""
-        mark = len(self.at)
-        cut = [None if _WIDE_SPACE.search(t) else t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c[1:] if c is not None else ())
-        wanted.discard("")
-        new = [p for p in wanted if p not in self.known]
-        self._learn(new)
+            if len(first) == len(group) and first[0] == 0:
+                n = self._add(ids, np.diff(np.append(first, len(ids))))
+                unit[group] = np.arange(n, n + len(group))
+                alone[group] = False
+        rest = np.flatnonzero(alone)
+        if len(rest):
+            n = self._add(*_ragged(self.plain([pieces[i] for i in rest.tolist()])))
+            unit[rest] = np.arange(n, n + len(rest))
+        return unit
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text), end ids included; null is the empty text."""
+        data, offsets = buffers(column)
+        whole = np.zeros(len(column), dtype=bool)
+        for content in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        start, per_text = cut_pieces(data, offsets, whole)
+        spans = np.append(start, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(start), pa.py_buffer(spans), pa.py_buffer(data)).dictionary_encode()
+        distinct = pieces.dictionary
+        found = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy()
+        unit = np.append(self.unit, -1)[found]
+        new = np.flatnonzero(found < 0)
+        kept = new[pc.binary_length(distinct).to_numpy()[new] <= KEPT_BYTES][: KEPT_PIECES - len(self.known)]
+        # Kept pieces are stored first; what follows them is forgotten after this batch.
+        if len(kept):
+            names = distinct.take(pa.array(kept))
+            unit[kept] = self._units(names.to_pylist())
+            self.known, self.unit = pa.concat_arrays([self.known, names]), np.concatenate([self.unit, unit[kept]])
         learned = len(self.at)
-        self.known[""] = self._add(*_ragged(self.plain([" "])))  # a space that ends a text
-        heads = self.plain([t if c is None else c[0] for t, c in zip(texts, cut)])
-        head = self._add(*_ragged(heads))
+        rest = np.flatnonzero(unit < 0)
+        unit[rest] = self._units(distinct.take(pa.array(rest)).to_pylist())
         end = self._add(np.array(self.end, dtype=np.uint32), np.array([len(self.end)]))
-        known, units, sizes = self.known, [], []
-        for i, c in enumerate(cut):
-            units.append(head + i)
-            if c is not None:
-                units.extend(map(known.__getitem__, c[1:]))
-            units.append(end)
-            sizes.append(2 if c is None else len(c) + 1)
-        unit = np.array(units, dtype=np.int64)
-        size = self.at[unit + 1] - self.at[unit]
+        # One unit per piece, and the end after each text's pieces.
+        last = np.cumsum(per_text + 1) - 1
+        order = np.full(len(start) + len(per_text), end, dtype=np.int64)
+        inside = np.ones(len(order), dtype=bool)
+        inside[last] = False
+        order[inside] = unit[pieces.indices.to_numpy()]
+        size = self.at[order + 1] - self.at[order]
         to = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[unit] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
-        last = np.cumsum(sizes) - 1
-        per_text = np.diff(np.concatenate(([0], to[last]))) if len(last) else np.zeros(0, dtype=np.int64)
-        del self.known[""]
-        if len(self.known) > KEPT_PIECES:
-            for p in new:
-                del self.known[p]
-            learned = mark
+        ids = self.flat[np.repeat(self.at[order] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
         self.at = self.at[:learned]
-        return ids, per_text
+        return ids, np.diff(np.concatenate(([0], to[last]))) if len(last) else np.zeros(0, dtype=np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -190,14 +227,11 @@ def _write_blocks(tokenizer_json, end_id: int | None, planes: str, level: int, b
             ids, docs, counts, n_doc = ids[done:], docs[i:], left[i:], n_doc + i
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            row = 0
+            texts, row = batch.column(1), 0
+            before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))))
             while row < len(texts):
-                to, chars = row, 0
-                while to < len(texts) and (to == row or chars + len(texts[to]) <= _BATCH_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                new, sizes = encoder.encode(texts[row:to])
+                to = max(row + 1, int(np.searchsorted(before, before[row] + _BATCH_BYTES, side="right")) - 1)
+                new, sizes = encoder.encode(texts.slice(row, to - row))
                 ids = np.concatenate([ids, new])
                 keep = np.flatnonzero(sizes) if end_id is None else np.arange(len(sizes))
                 own = batch.column(0).slice(row, to - row).to_pylist()
@@ -228,7 +262,7 @@ def write_ids(
         tokenizer_json = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = partitions_for(rows, text_bytes(rows), part_bytes)
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     blocks = rows.mapInArrow(_write_blocks(tokenizer_json, end_id, planes, level, block_ids), _BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     kept = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
