@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from prospark import rules
 from prospark.functions import urls as U
 from prospark.functions.text import mark_runs, page_words, plain_words, quote_found, quote_parts, strip
+from prospark.operators.quotes import quotes_in_corpus
 
 NO_URL = "missing source url"
 OTHER_DOMAIN = "other domain"
@@ -326,58 +327,5 @@ def ground_sandbox(quals: DataFrame, pages: DataFrame, markers: list[str] = rule
 
 
 def ground_quotes_corpus(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(quote_id, page_id) for every quote that occurs word for word on a page.
-
-    No page is compared with every quote. A long quote must bring its second to
-    fourth word as three whole words of the page; a shorter one must bring the
-    first letters of its longest word inside some word of the page, and a quote
-    without words its first mark. Those keys meet in an equi join (broadcast by
-    Spark itself while the quote side is small, shuffled otherwise), and only
-    the pairs that share a key are compared on the text.
-    """
-    q = quotes.select("quote_id", quote_parts(F.col("evidence")).alias("q")).filter("q.given")
-    words = F.split(F.col("q.words"), " ")
-    longest = F.expr("array_max(transform(split(q.words, ' '), w -> struct(length(w) AS n, w AS w))).w")
-    key = (
-        F.when(F.size(words) >= 5, F.concat(F.lit("3:"), F.array_join(F.slice(words, 2, 3), " ")))
-        .when(F.col("q.words") != "", F.concat(F.lit("1:"), F.substring(longest, 1, 3)))
-        .when(F.col("q.bare") != "", F.concat(F.lit("0:"), F.substring(F.col("q.bare"), 1, 1)))
-        .otherwise(F.lit("*:"))
-    )
-    anchors = q.select("quote_id", F.xxhash64(key).alias("anchor"))
-
-    page = searchable(docs)
-    toks = F.split(F.col("words"), " ")
-    # Overlapping runs of three words, cut by one pass of a pattern.
-    triples = F.regexp_extract_all("words", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), F.lit(1))
-    # Every piece of one to three letters inside the distinct words of the page.
-    pieces = F.flatten(
-        F.transform(
-            F.array_distinct(toks),
-            lambda w: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-                    lambda i: F.transform(
-                        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(w, i, n)
-                    ),
-                )
-            ),
-        )
-    )
-    of_kind = lambda kind, keys: F.transform(keys, lambda x: F.concat(F.lit(kind), x))
-    # All keys of a page in one pass over its searchable form.
-    keys = F.concat(
-        of_kind("3:", triples),
-        of_kind("1:", F.array_distinct(pieces)),
-        of_kind("0:", F.array_distinct(F.split(F.col("marks"), ""))),
-        F.array(F.lit("*:")),
-    )
-    found = page.select("page_id", F.explode(keys).alias("key")).select("page_id", F.xxhash64("key").alias("anchor"))
-    pairs = found.join(anchors, "anchor").select("quote_id", "page_id").distinct()
-    checked = pairs.join(q, "quote_id").join(page.select("page_id", "words", "marks"), "page_id")
-    whole = (
-        F.when(F.col("q.bare") == "", True)
-        .when(F.col("q.words") == "", F.contains("marks", F.col("q.bare")))
-        .otherwise(F.contains("words", F.col("q.words")))
-    )
-    return checked.filter(whole).select("quote_id", "page_id")
+    """(quote_id, page_id) for every quote that occurs word for word on a page."""
+    return quotes_in_corpus(quotes, searchable(docs))

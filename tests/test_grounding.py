@@ -5,7 +5,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from prospark.functions.spans import Runs, among
 from prospark.operators import grounding as gr
+from prospark.operators import quotes
+from prospark.operators.quotes import quotes_in_corpus
+from prospark.session import cut_lineage
 
 PAGES = [
     # target, page_id, url, title, content, depth
@@ -113,18 +117,18 @@ def test_corpus_search_equals_brute_force(spark):
     rng = random.Random(5)
     words = ["pump", "oslo", "red", "kafka", "it", "a", "valve", "x-ray", "team's", "q\xa0r", "über"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for i in range(60)] + [(60, "*** -- ...")]
-    quotes = []
+    asked = []
     for i in range(120):
         text = rng.choice(docs)[1]
         start = rng.randint(0, max(0, len(text) - 3))
-        quotes.append((i, text[start : start + rng.randint(1, 40)]))
-    quotes += [(200, "***"), (201, "-- ."), (202, '""'), (203, "  "), (204, "zzz kafka red pump it a"), (205, ".")]
-    q = spark.createDataFrame(quotes, "quote_id int, evidence string")
+        asked.append((i, text[start : start + rng.randint(1, 40)]))
+    asked += [(200, "***"), (201, "-- ."), (202, '""'), (203, "  "), (204, "zzz kafka red pump it a"), (205, ".")]
+    q = spark.createDataFrame(asked, "quote_id int, evidence string")
     d = spark.createDataFrame(docs, "page_id int, content string")
     got = {(r.quote_id, r.page_id) for r in gr.ground_quotes_corpus(q, d).collect()}
 
     want = set()
-    for qid, quote in quotes:
+    for qid, quote in asked:
         bare = quote.strip()
         if not bare:
             continue
@@ -135,3 +139,47 @@ def test_corpus_search_equals_brute_force(spark):
             if bare.lower() in page.lower() or (plain(bare) and plain(bare) in plain(page)):
                 want.add((qid, pid))
     assert got == want
+
+
+def test_corpus_search_in_many_passes(spark):
+    """Blocks of few keys and few bytes find what one pass finds; pages without any text and repeated rows are harmless."""
+    rng = random.Random(8)
+    words = ["pump", "oslo", "red", "kafka", "valve", "crew", "dock", "north", "of"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(80)] + [(80, None), (81, ""), (3, "pump")]
+    asked = [(i, rng.choice(docs[:80])[1][rng.randint(0, 9) :][: rng.randint(1, 60)]) for i in range(150)]
+    asked += [(500, None), (0, asked[0][1]), (501, "no such words stand here"), (502, "{}")]
+    q, d = spark.createDataFrame(asked, "quote_id int, evidence string"), spark.createDataFrame(docs, "page_id int, content string")
+    once = {tuple(r) for r in quotes_in_corpus(q, gr.searchable(d)).collect()}
+    rows = [tuple(r) for r in quotes_in_corpus(q, gr.searchable(d), keys_per_pass=9, short_bytes=40).collect()]
+    want = {(i, p) for i, t in asked if t and t.strip() for p, c in docs if t.strip() in f" {c or ''} {{}}"}
+    assert len(rows) == len(set(rows)) and set(rows) == once == want
+    assert quotes_in_corpus(q.limit(0), gr.searchable(d)).count() == quotes_in_corpus(q, gr.searchable(d.limit(0))).count() == 0
+
+
+def test_only_keys_that_a_quote_has_leave_a_page(spark, monkeypatch):
+    """Pages hand on the keys of quotes and nothing else, whatever their length."""
+    kept = []
+    monkeypatch.setattr(quotes, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 977}" for j in range(3000))) for i in range(1, 20)] + [(99, "the red pump of oslo runs")], "page_id int, content string")
+    q = spark.createDataFrame([(1, "the red pump of oslo"), (2, "zq"), (3, "never red pump of this")], "quote_id int, evidence string")
+    assert [tuple(r) for r in quotes_in_corpus(q, gr.searchable(d)).collect()] == [(1, 99)]
+    found = kept[-1].collect()
+    # "red pump of" is the key of the first and the third quote.
+    assert [(r["page_id"], len(r["keys"]), r["piece"], r["marks"]) for r in found] == [(99, 1, [], [])]
+
+
+def test_runs_of_words(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b c", None, "", "über b c", "a b c d", "b"]
+    runs = Runs(pa.array(texts))
+    for n in (1, 2, 3):
+        row, name = runs.of_size(n)
+        want = [(r, " ".join(w[i : i + n])) for r, t in enumerate(texts) for w in [(t or "").split()] for i in range(len(w) - n + 1)]
+        assert row.tolist() == [r for r, _ in want]
+        by = {}
+        for (_, text), x in zip(want, name.tolist()):
+            assert by.setdefault(text, x) == x
+        assert len(set(by.values())) == len(by)
+    assert among(np.array([1, 5, 7]), np.array([5, 6])).tolist() == [False, True, False]
