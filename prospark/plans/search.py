@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospark.operators import search as se
+from prospark.operators import vector_index as vi
 from prospark.operators.scope import LeadFilter
 from prospark.plans.entity_sql import over
 from prospark.plans.registry import query
@@ -97,9 +98,14 @@ def lookalikes(e):
 
 @query("ann_candidates")
 def ann_candidates(e):
-    queries = e.lead_embeddings().select(F.col("lead_id").alias("query_id"), F.col("embedding").alias("vector"))
-    rows = se.ann_candidates(e.lead_embeddings(), queries, k=5, dim=64, bits=4, tables=16, skip_self=True)
-    return rows.drop("distance")
+    """Five leads near every lead, from lists and codes fitted on a sample."""
+    leads = e.lead_embeddings()
+    queries = leads.select(F.col("lead_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = vi.fit(leads)
+    if index is None:
+        return se.lookalikes(leads, k=5).drop("distance")
+    rows = vi.search(vi.indexed(leads, index), queries, index, k=5, skip_self=True)
+    return rows.select("query_id", "lead_id", se.similarity(F.col("distance")).alias("similarity"))
 
 
 def letter_counts(texts: list[str]) -> list[list[float]]:
