@@ -240,6 +240,31 @@ def token_usage(audits: DataFrame) -> DataFrame:
     )
 
 
+def latency_sketches(audits: DataFrame, k: int = 800) -> DataFrame:
+    """One quantile sketch of the latencies per provider, model and day, to be stored and merged for any span of days.
+
+    A larger `k` makes a larger sketch; ranks of 800 are right within about 0.4 of 100 at high probability. Audits
+    without a latency are in no sketch, and a day without any has none.
+    """
+    timed = audits.where(F.col("latency_ms").isNotNull())
+    return timed.groupBy("provider", "model", F.to_date("created_at").alias("day")).agg(
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(k)).alias("latencies")
+    )
+
+
+def latency_percentiles(sketches: DataFrame, first_day: str | None = None, last_day: str | None = None, ranks: dict[str, float] | None = None) -> DataFrame:
+    """Calls and latency quantiles per provider and model over a span of days, both ends included, from day sketches."""
+    rows = sketches
+    if first_day is not None:
+        rows = rows.where(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        rows = rows.where(F.col("day") <= F.lit(last_day).cast("date"))
+    whole = rows.groupBy("provider", "model").agg(F.kll_merge_agg_double("latencies").alias("_all"))
+    quantile = lambda r: F.round(F.kll_sketch_get_quantile_double("_all", F.lit(float(r))), 2)
+    ranks = {"p50_ms": 0.5, "p95_ms": 0.95} if ranks is None else ranks
+    return whole.select("provider", "model", F.kll_sketch_get_n_double("_all").alias("timed_calls"), *[quantile(r).alias(name) for name, r in ranks.items()])
+
+
 def memberships(users: DataFrame, members: DataFrame, orgs: DataFrame) -> DataFrame:
     """Organizations of each user, the earliest joined one marked as primary."""
     joined = members.join(users, "user_id").join(orgs.withColumnRenamed("name", "organization_name"), "organization_id")

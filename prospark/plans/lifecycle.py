@@ -126,30 +126,6 @@ def upsert_targets(e):
     return lc.upsert_targets(*crawl_requests(e)).drop("url")
 
 
-@query(
-    "admit_targets",
-    over(
-        "crawled_pages",
-        """, b AS (SELECT DISTINCT target_id AS host, length(target_id) AS size FROM crawled_pages),
-        r AS (SELECT host, size, 'https://' || CASE size % 4 WHEN 0 THEN host || '.internal' WHEN 1 THEN '10.1.2.' || size ELSE host END || '/' AS nu,
-             CASE size % 4 WHEN 0 THEN 'local hostname' WHEN 1 THEN 'private or reserved address' END AS reason FROM b)
-        SELECT DISTINCT nu AS normalized_url, CAST(2 AS BIGINT) AS organization_id, coalesce(reason, 'in_progress') AS outcome FROM r""",
-    ).replace("\n,", ","),
-)
-def admit_targets(e):
-    size = F.length("target_id")
-    host = F.when(size % 4 == 0, F.concat("target_id", F.lit(".internal"))).when(size % 4 == 1, F.concat(F.lit("10.1.2."), size.cast("string"))).otherwise(F.col("target_id"))
-    url = F.concat(F.lit("https://"), host, F.lit("/"))
-    requests = e.crawled_pages().select(
-        url.alias("url"), url.alias("normalized_url"), host.alias("domain"), F.lit(2).cast("bigint").alias("organization_id"), F.lit(9).alias("campaign_id")
-    ).distinct()
-    existing, _ = crawl_requests(e)
-    after, refused = lc.admit_targets(existing.limit(0), requests)
-    return after.select("normalized_url", "organization_id", F.col("status").alias("outcome")).unionByName(
-        refused.select("normalized_url", "organization_id", F.col("reason").alias("outcome"))
-    )
-
-
 @query(
     "admit_targets_stored",
     over(
@@ -186,6 +162,21 @@ def admit_targets_stored(e):
     return after.select(*names, F.col("status").alias("outcome")).unionByName(refused.select(*names, F.col("reason").alias("outcome")))
 
 
+def known_signals(e):
+    return e.signals().select("lead_id", "signal", "evidence", "source_url", "sentiment")
+
+
+def fresh_signals(e):
+    """One new signal for every labelled lead."""
+    return e.table("labels").select(
+        F.col("doc_id").alias("lead_id"),
+        F.lit("label").alias("signal"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("evidence"),
+        F.lit(None).cast("string").alias("source_url"),
+        F.when(F.col("toxic") == 1, "negative").otherwise("positive").alias("sentiment"),
+    )
+
+
 @query(
     "replace_signals",
     over(
@@ -197,15 +188,8 @@ def admit_targets_stored(e):
     ),
 )
 def replace_signals(e):
-    old = e.signals().select("lead_id", "signal", "evidence", "source_url", "sentiment")
-    new = e.table("labels").select(
-        F.col("doc_id").alias("lead_id"),
-        F.lit("label").alias("signal"),
-        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("evidence"),
-        F.lit(None).cast("string").alias("source_url"),
-        F.when(F.col("toxic") == 1, "negative").otherwise("positive").alias("sentiment"),
-    )
-    return lc.replace_signals(old, new, new)
+    new = fresh_signals(e)
+    return lc.replace_signals(known_signals(e), new, new)
 
 
 @query(
@@ -396,40 +380,6 @@ def idempotent_submissions(e):
     return jb.submissions(requests, e.jobs()).select("request_id", "idempotency_key", "action", "active_job_id")
 
 
-@query(
-    "gated_submissions",
-    over(
-        "jobs usage_daily",
-        """, req AS (SELECT event_id AS request_id, user_id % 25 AS org, 'crawl:' || user_id * 12 AS key, ts, event_type = 'error' AS force FROM events),
-        few AS (SELECT * FROM jobs WHERE job_id % 97 = 0),
-        act AS (SELECT idempotency_key AS key, job_id FROM few WHERE status IN ('QUEUED', 'RUNNING')
-            QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at DESC, job_id DESC) = 1),
-        planned AS (SELECT req.*, job_id, CASE WHEN force THEN 'create' WHEN job_id IS NOT NULL THEN 'reuse_active'
-                 WHEN row_number() OVER (PARTITION BY req.key ORDER BY ts, request_id) = 1 THEN 'create' ELSE 'reuse_batch' END AS action
-            FROM req LEFT JOIN act ON req.key = act.key),
-        counted AS (SELECT *, count(*) FILTER (action = 'create') OVER (PARTITION BY org ORDER BY ts, request_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM planned),
-        running AS (SELECT organization_id AS org, count(*) AS n FROM few WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
-        recent AS (SELECT organization_id AS org, sum(crawls) AS c FROM usage_daily WHERE date >= DATE '2024-02-10' - 30 GROUP BY 1)
-        SELECT request_id, CASE WHEN r IS NULL THEN action ELSE 'rejected' END AS action, r AS reason,
-            CASE WHEN r IS NULL AND action = 'reuse_active' THEN job_id END AS active_job_id
-        FROM (SELECT *, CASE WHEN coalesce(n, 0) + made >= 12 THEN 'active job limit' WHEN coalesce(c, 0) >= 100 THEN 'monthly crawl quota' END AS r
-            FROM counted LEFT JOIN running USING (org) LEFT JOIN recent USING (org))""",
-    ).replace("\n,", ","),
-)
-def gated_submissions(e):
-    requests = e.table("events").select(
-        F.col("event_id").alias("request_id"),
-        (F.col("user_id") % 25).alias("organization_id"),
-        jb.submission_key(F.lit("crawl"), F.lit(None), (F.col("user_id") * 12).cast("string")).alias("idempotency_key"),
-        F.col("ts").alias("requested_at"),
-        (F.col("event_type") == "error").alias("force"),
-    )
-    few = e.jobs().filter(F.col("job_id") % 97 == 0)  # most tenants stay below their limit at first
-    rows = jb.gated_submissions(requests, few, an.sum_usage(e.usage_events()), "2024-02-10", max_jobs=12)
-    return rows.select("request_id", "action", "reason", "active_job_id")
-
-
 @query(
     "gated_submissions_all",
     over(

@@ -13,6 +13,7 @@ from prospark.operators import scope as sc
 from prospark.operators.scope import LeadFilter
 from prospark.plans.entity_sql import over
 from prospark.plans.registry import query
+from prospark.session import cut_lineage
 
 ORG = 3
 FILTER = LeadFilter(min_icp_score=20, max_icp_score=95, industry="mach", organization_id=ORG)
@@ -598,3 +599,25 @@ def signal_sentiment(e):
 )
 def token_usage(e):
     return an.token_usage(e.audits())
+
+
+#: Spans of days of the latency report; a missing end is open.
+SPANS = [("all", None, None), ("year", "1995-01-01", "1995-12-31"), ("quarter", "1996-04-01", "1996-06-30")]
+
+
+@query(
+    "latency_percentiles",
+    over(
+        "audits",
+        """SELECT span, provider, model, count(*) AS timed_calls, round(quantile_disc(latency_ms, 0.5), 2) AS p50_ms,
+        round(quantile_disc(latency_ms, 0.95), 2) AS p95_ms
+        FROM audits JOIN (VALUES ('all', DATE '0001-01-01', DATE '9999-12-31'), ('year', DATE '1995-01-01', DATE '1995-12-31'),
+            ('quarter', DATE '1996-04-01', DATE '1996-06-30')) v(span, first_day, last_day)
+        ON CAST(created_at AS DATE) BETWEEN first_day AND last_day GROUP BY span, provider, model""",
+    ),
+)
+def latency_percentiles(e):
+    """Latency quantiles of several spans from one stored table of day sketches."""
+    days = cut_lineage(an.latency_sketches(e.audits()))
+    reports = [an.latency_percentiles(days, a, b).withColumn("span", F.lit(name)) for name, a, b in SPANS]
+    return reduce(lambda x, y: x.unionByName(y), reports)
