@@ -12,6 +12,8 @@ from prospark.session import scratch_path
 from prospark.sources.entities import project_job_events
 from prospark.sources.tables import TABLES, table_path
 from prospark.streaming import events as st
+from prospark.streaming.ordered import ordered_audit_conf
+from prospark.streaming.ordered import stream_ordered_audit as stream_ordered
 
 
 def event_stream(e):
@@ -21,15 +23,21 @@ def event_stream(e):
     return project_job_events(raw)
 
 
-def split_stream(e, files: int = 5):
-    """The events written again in time order as several files, one per micro-batch, so that state counts."""
+def split_stream(e, files: int = 5, order: tuple[int, ...] | None = None):
+    """The events written again as several files, one per micro-batch, so that state counts; in time order if none is given.
+
+    With an order the stream ends with an event long after all others, which lets the watermark pass them.
+    """
     folder = scratch_path(e.spark, "split")
     rows = e.table("events")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     low, high = rows.agg(F.min(seconds), F.max(seconds)).head()
     slot = F.floor((seconds - low) * files / (high - low + 1))
-    for k in range(files):
+    for k in order or range(files):
         rows.filter(slot == k).coalesce(1).write.mode("append").parquet(folder)
+    if order:
+        last = rows.limit(1).withColumns({"ts": F.timestamp_seconds(F.lit(high + 10_000_000)).cast("timestamp_ntz"), "user_id": F.lit(-1).cast("bigint")})
+        last.coalesce(1).write.mode("append").parquet(folder)
     return project_job_events(st.read_events(e.spark, folder, TABLES["events"], files_per_batch=1))
 
 
@@ -67,7 +75,7 @@ def stream_event_normalize(e):
 def stream_job_latest(e):
     path = scratch_path(e.spark, "latest")
     stream = st.stream_job_latest(split_stream(e))
-    st.run_upserts(stream, path)
+    st.run_upserts(stream, path, ["job_id"], compact_every=3)
     rows = st.read_upserts(e.spark, path, stream.schema, ["job_id"])
     return rows.select("job_id", "event_id", "event_type", "status", "progress", "is_final")
 
@@ -81,6 +89,16 @@ def stream_transition_audit(e):
     return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
 
 
+@query("stream_ordered_audit", over("events_status", TRANSITIONS_SQL))
+def stream_ordered_audit(e):
+    """The audit in event time although the files arrive in another order."""
+    path = scratch_path(e.spark, "ordered")
+    ordered_audit_conf(e.spark)
+    stream = stream_ordered(split_stream(e, order=(1, 0, 3, 2, 4)), "20 days")
+    st.run_to_table(stream, path)
+    return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
+
+
 @query(
     "stream_daily_usage",
     over(

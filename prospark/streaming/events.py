@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from prospark import rules
 from prospark.functions.skew import first_per_key
 from prospark.operators.jobs import normalize_events, transition_audit
+from prospark.session import delete_path, path_exists
 
 EVENT_SCHEMA = (
     "event_id bigint, job_id bigint, organization_id bigint, event_type string, progress int, data string, "
@@ -56,23 +57,74 @@ def run_batches(stream: DataFrame, path: str, write: Callable[[DataFrame, int],
     )
 
 
-def run_upserts(stream: DataFrame, path: str) -> None:
+#: Batches between two compactions of a table of batch folders.
+COMPACT_EVERY = 20
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Batches up to which a table of batch folders has been compacted, oldest first."""
+    if not path_exists(spark, f"{path}/manifest"):
+        return []
+    return sorted(r[0] for r in spark.read.schema("n int, upto bigint").parquet(f"{path}/manifest").select("upto").distinct().collect())
+
+
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table of batch folders that count, with their batch: the newest base and the batches after it."""
+    bases, own = _bases(spark, path), _with_batch(schema)
+    if not path_exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], own)
+    rows = spark.read.schema(own).parquet(f"{path}/rows").select(*own.names)
+    if not bases:
+        return rows
+    base = spark.read.schema(own).parquet(f"{path}/base/upto={bases[-1]}")
+    return base.unionByName(rows.filter(F.col("batch") > bases[-1]))
+
+
+def compact_batches(spark: SparkSession, path: str, schema: T.StructType, batch: int, combine: Callable[[DataFrame], DataFrame]) -> None:
+    """Puts the combined rows of all batches up to `batch` into one base and lets go of what the base before covers.
+
+    `combine` maps rows with their batch to rows without. Readers follow the manifest, which names the base once it is
+    whole; folders go one compaction later, so that a reader of the base before still finds its own.
+    """
+    bases = _bases(spark, path)
+    if bases and batch <= bases[-1]:
+        return
+    combined = combine(read_batches(spark, path, schema)).withColumn("batch", F.lit(batch).cast("bigint"))
+    combined.select(*_with_batch(schema).names).write.mode("overwrite").parquet(f"{path}/base/upto={batch}")
+    spark.range(1).select(F.lit(1).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/upto={batch}")
+    if bases:
+        for k in range(bases[-2] + 1 if len(bases) > 1 else 0, bases[-1] + 1):
+            delete_path(spark, f"{path}/rows/batch={k}")
+        for old in bases[:-1]:
+            delete_path(spark, f"{path}/manifest/upto={old}")
+            delete_path(spark, f"{path}/base/upto={old}")
+
+
+def run_upserts(stream: DataFrame, path: str, keys: list[str] | None = None, compact_every: int | None = None) -> None:
     """Runs an update-mode stream; each batch is its own folder.
 
-    A batch that is run again after a failure replaces its folder, so every
-    update lands exactly once.
+    A batch that is run again after a failure replaces its folder, so every update lands exactly once. With `keys`
+    every so many batches are compacted to the latest row of each key, and older folders are deleted: a reader reads
+    one row per key and the updates since.
     """
+    every = compact_every or COMPACT_EVERY
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        if keys and batch % every == every - 1:
+            latest = lambda rows: first_per_key(rows, keys, [F.desc("batch")]).drop("batch")
+            compact_batches(df.sparkSession, path, stream.schema, batch, latest)
 
     run_batches(stream, path, write)
 
 
 def read_upserts(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
     """Latest row of each key of a table written by `run_upserts`."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
-    return first_per_key(rows, keys, [F.desc("batch")]).drop("batch")
+    return first_per_key(read_batches(spark, path, schema), keys, [F.desc("batch")]).drop("batch")
 
 
 def stream_job_latest(events: DataFrame) -> DataFrame:
@@ -217,32 +269,56 @@ def read_transitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{TRANSITION_SCHEMA}, batch bigint").parquet(f"{path}/rows").drop("batch")
 
 
-def stream_active_jobs(events: DataFrame, path: str) -> None:
-    """Keeps the latest state of each job and adds, per batch, the change in running jobs per organization.
+ACTIVE_SCHEMA = "organization_id bigint, delta bigint"
+
+
+def active_job_changes(events: DataFrame, watermark: str = "1 hour", keep: str | None = None) -> DataFrame:
+    """(organization_id, delta): +1 or -1 for every job that starts or stops being active in a micro-batch, and 0 for a
+    new job that is not active; append mode.
 
-    The change is +1 or -1 per job that changed in the batch, so a batch costs
-    what changed and not the whole job table.
+    A job's newest event and whether it was active are kept in the state store. With `keep` (such as "7 days") a job
+    that is over and without events for that long is forgotten; an older event that comes later is then a new job's.
     """
-    schema = "job_id bigint, organization_id bigint, active int"
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = tuple(state.get) if state.exists else None
+        # A new job is a change of its organization even if it is not active.
+        was = newest[2] if newest else None
+        for rows in batches:
+            best = max(zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["active"].tolist()))
+            newest = best if newest is None or best[:2] > newest[:2] else newest
+        state.update(newest)
+        if keep_ms is not None and not newest[2]:
+            state.setTimeoutTimestamp(max(newest[0] // 1000, state.getCurrentWatermarkMs()) + keep_ms)
+        if newest[2] != was:
+            yield pd.DataFrame({"organization_id": [key[1]], "delta": [newest[2] - (was or 0)]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if keep_ms is not None else GroupStateTimeout.NoTimeout
+    rows = normalize_events(events).withWatermark("timestamp", watermark)
+    active = F.coalesce(F.col("status").isin(rules.ACTIVE_STATES), F.lit(False)).cast("bigint").alias("active")
+    own = rows.select("job_id", "organization_id", "event_id", "timestamp", F.unix_micros("timestamp").alias("at"), active)
+    return own.groupBy("job_id", "organization_id").applyInPandasWithState(follow, ACTIVE_SCHEMA, "at bigint, event_id bigint, active bigint", "append", timeout)
+
+
+def stream_active_jobs(events: DataFrame, path: str, compact_every: int | None = None) -> None:
+    """Stores, per batch, the change in running jobs per organization; a batch costs what changed in it."""
+    changes, every = active_job_changes(events), compact_every or COMPACT_EVERY
+    total = lambda rows: rows.groupBy("organization_id").agg(F.sum("delta").alias("delta"))
 
     def write(df: DataFrame, batch: int) -> None:
-        active = F.col("status").isin(rules.ACTIVE_STATES).cast("int")
-        now = df.select("job_id", "organization_id", active.alias("active")).persist()
-        before = read_state(df.sparkSession, f"{path}/state", schema, batch)
-        was = before.select("job_id", F.col("active").alias("was"))
-        delta = now.join(was, "job_id", "left").withColumn("delta", F.col("active") - F.coalesce("was", F.lit(0)))
-        delta.groupBy("organization_id").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(
-            f"{path}/counts/batch={batch}"
-        )
-        # A job that is over counts for nothing, and a job without state counts as that.
-        write_state(now, before.select(*now.columns), f"{path}/state", batch, F.col("active") == 0)
-        now.unpersist()
+        total(df).write.mode("overwrite").parquet(f"{path}/counts/rows/batch={batch}")
+        if batch % every == every - 1:
+            compact_batches(df.sparkSession, f"{path}/counts", changes.schema, batch, total)
 
-    run_batches(stream_job_latest(events), path, write)
+    run_batches(changes, path, write, mode="append")
 
 
 def read_active_jobs(spark: SparkSession, path: str, limit: int = rules.MAX_ACTIVE_JOBS) -> DataFrame:
-    deltas = spark.read.schema("organization_id bigint, delta bigint, batch bigint").parquet(f"{path}/counts")
+    deltas = read_batches(spark, f"{path}/counts", T.StructType.fromDDL(ACTIVE_SCHEMA))
     counts = deltas.groupBy("organization_id").agg(F.sum("delta").alias("active_jobs"))
     return counts.withColumn("exceeded", F.col("active_jobs") >= limit)
 

@@ -1,13 +1,17 @@
 """Streams in several micro-batches against their batch twins."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from prospark.functions.skew import first_per_key
 from prospark.operators import jobs as jb
 from prospark.sources.entities import Entities
 from prospark.streaming import events as st
+from prospark.streaming import ordered as st_ordered
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +113,72 @@ def test_reading_upserts_leaves_the_schema_alone(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/rows/batch=0")
     schema = df.schema
     assert st.read_upserts(spark, str(tmp_path), schema, ["job_id"]).columns == ["job_id", "v"] == schema.names
+
+
+def test_compaction_bounds_what_is_read(spark, tmp_path):
+    """One row per key and the updates since, whatever the number of batches; a batch that runs again changes nothing."""
+    path, schema = str(tmp_path), T.StructType.fromDDL("k long, v long")
+    newest = lambda rows: first_per_key(rows, ["k"], [F.desc("batch")]).drop("batch")
+    write = lambda b: spark.createDataFrame([(b % 3, b), (10, b)], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/rows/batch={b}")
+    for b in range(28):
+        write(b)
+        if b % 7 == 6:
+            st.compact_batches(spark, path, schema, b, newest)
+    st.compact_batches(spark, path, schema, 27, newest)
+    write(27)
+    assert {tuple(r) for r in st.read_upserts(spark, path, schema, ["k"]).collect()} == {(0, 27), (1, 25), (2, 26), (10, 27)}
+    assert st.read_batches(spark, path, schema).count() == 4
+    kept = sorted(int(d.name.split("=")[1]) for d in (tmp_path / "rows").iterdir() if d.name.startswith("batch="))
+    assert kept == list(range(21, 28)) and len([d for d in (tmp_path / "base").iterdir() if d.name.startswith("upto=")]) == 2
+    write(28)
+    assert {tuple(r) for r in st.read_upserts(spark, path, schema, ["k"]).collect()} == {(0, 27), (1, 28), (2, 26), (10, 28)}
+    assert st.read_upserts(spark, f"{path}/none", schema, ["k"]).count() == 0
+
+
+def test_streams_with_compaction_equal_those_without(spark, event_dir, tmp_path):
+    out = st.stream_job_latest(stream(spark, event_dir))
+    st.run_upserts(out, f"{tmp_path}/a")
+    st.run_upserts(st.stream_job_latest(stream(spark, event_dir)), f"{tmp_path}/b", ["job_id"], compact_every=2)
+    same(st.read_upserts(spark, f"{tmp_path}/a", out.schema, ["job_id"]), st.read_upserts(spark, f"{tmp_path}/b", out.schema, ["job_id"]))
+    st.stream_active_jobs(stream(spark, event_dir), f"{tmp_path}/c")
+    st.stream_active_jobs(stream(spark, event_dir), f"{tmp_path}/d", compact_every=2)
+    same(st.read_active_jobs(spark, f"{tmp_path}/c"), st.read_active_jobs(spark, f"{tmp_path}/d"))
+
+
+def test_active_jobs_with_late_events_and_forgetting(spark, tmp_path):
+    """An older event that comes later changes nothing; a job that is over leaves the state."""
+    files = [
+        [(1, 1, "job_created", 1, 0), (2, 2, "job_created", 1, 0)],
+        [(3, 1, "job_completed", 1, 9), (4, 2, "page_crawled", 1, 9)],
+        [(5, 1, "page_crawled", 1, 5), (6, 3, "job_failed", 1, 10)],
+        [(7, 2, "job_completed", 20, 0)],
+        [(8, 4, "job_created", 20, 1)],
+    ]
+    for events in files:
+        rows = [(i, j, 7, kind, 0, None, dt.datetime(2024, 1, day, hour)) for i, j, kind, day, hour in events]
+        spark.createDataFrame(rows, st.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+    path = f"{tmp_path}/out"
+    changes = st.active_job_changes(stream(spark, f"{tmp_path}/in"), keep="2 days")
+    st.run_batches(changes, path, lambda df, b: seen.append(sorted(r["delta"] for r in df.collect())), mode="append")
+    assert seen[:5] == [[1, 1], [-1], [0], [-1], [1]]
+    state = spark.read.format("statestore").load(f"{path}/_stream").select("key.job_id").collect()
+    assert {r[0] for r in state} == {2, 4}
+
+
+def test_ordered_audit_of_shuffled_files(spark, tmp_path):
+    """Files of one hour each arrive in any order within the watermark; the audit is that of the whole table."""
+    st_ordered.ordered_audit_conf(spark)
+    rows = Entities(spark, SF).job_events()
+    rng = random.Random(5)
+    order = sorted(range(24), key=lambda k: k + rng.uniform(0, 4))
+    for k in order:
+        rows.filter(F.floor(F.unix_seconds("timestamp") / 3600) % 24 == k).withColumn("timestamp", F.expr("timestamp_seconds(unix_seconds(timestamp) % 86400 + 1704067200)")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    day = rows.withColumn("timestamp", F.expr("timestamp_seconds(unix_seconds(timestamp) % 86400 + 1704067200)"))
+    end = spark.createDataFrame([(-1, -1, -1, "page_crawled", 0, None, dt.datetime(2024, 1, 9))], st.EVENT_SCHEMA)
+    end.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = st_ordered.stream_ordered_audit(stream(spark, f"{tmp_path}/in"), "8 hours")
+    st.run_to_table(out, f"{tmp_path}/out")
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out/rows")
+    assert order != sorted(order)
+    same(got, jb.transition_audit(jb.normalize_events(day)))
