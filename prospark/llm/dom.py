@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,10 +42,13 @@ _PIECE = re.compile(
     re.S | re.I,
 )
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?]")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Words that make a class name say what its page has or how it stands, and not what the element is.
+_STATES = frozenset("has is no not with without open opened closed fixed sticky enabled disabled on off in out free active layout logged xs sm md lg xl left right".split())
+JUNK = ["nav", "ad", "notice", "comment", "chrome"]
 
 
 @dataclass
@@ -67,14 +71,17 @@ def _attribute_tokens(attributes: str) -> tuple[int, str | None]:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "itemprop", "aria-label", "data-component"):
-            for word in _SPLIT.split(value):
-                at = _TOKEN.get(word.lower())
-                if at is not None:
-                    bits |= 1 << at
+            for one in value.split():
+                words = [w.lower() for w in _SPLIT.split(one)]
+                if _STATES.isdisjoint(words):
+                    for w in words:
+                        at = _TOKEN.get(w)
+                        if at is not None:
+                            bits |= 1 << at
         elif name == "data-keep":
             keep = value
-    if _HIDDEN.search(attributes):
-        bits |= 1 << TOKENS.index("notice")
+        elif name == "hidden" and value.lower() != "false" or name == "style" and _UNSEEN.search(value):
+            bits |= 1 << TOKENS.index("notice")
     return bits, keep
 
 
@@ -102,9 +109,13 @@ def _pieces(source: str) -> Iterator[re.Match]:
 
 def parse(source: str) -> Page:
     page = Page()
-    stack, names = [0], [""]
+    stack, names, opened = [0], [""], Counter()
     links, text, chars = 0, [], 0
 
+    def close() -> None:
+        opened[names.pop()] -= 1
+        stack.pop()
+
     def flush() -> None:
         nonlocal chars
         if text:
@@ -137,17 +148,14 @@ def parse(source: str) -> Page:
         elif tag in BLOCK:
             flush()
             if m[2]:
-                if tag in names:
+                if opened[tag]:
                     while names[-1] != tag:
-                        names.pop()
-                        stack.pop()
-                    names.pop()
-                    stack.pop()
+                        close()
+                    close()
                 links = 0
                 continue
             if names[-1] == "p" or names[-1] in _CLOSES.get(tag, ()):
-                names.pop()
-                stack.pop()
+                close()
             bits, keep = _attribute_tokens(m[4]) if m[4] else (0, None)
             page.parent.append(stack[-1])
             page.depth.append(len(stack))
@@ -157,6 +165,7 @@ def parse(source: str) -> Page:
             if not m[4].endswith("/") or tag == "p":
                 stack.append(len(page.parent) - 1)
                 names.append(tag)
+                opened[tag] += 1
     flush()
     return page
 
@@ -164,11 +173,16 @@ def parse(source: str) -> Page:
 FEATURES = [
     "depth", "chars", "link_share", "elements", "chars_per_element", "place", "share", "sibling_place", "siblings", "sibling_share", "stops", "own_chars",
     *[f"is_{k}" for k in KINDS], *[f"in_{k}" for k in KINDS], *[f"has_{k}" for k in TOKENS], *[f"under_{k}" for k in TOKENS],
+    "junk_share", "junk_titled", "content_nearer", "beside_text", "titles_before", "p_share",
 ]
 
 
 def features(page: Page) -> np.ndarray:
-    """Elements x features. Subtree sums run from the last element to the first, inherited marks the other way."""
+    """Elements x features. Subtree sums run from the last element to the first, inherited marks the other way.
+
+    A junk word above an element says little if what it marks is most of the page or has the page's title: `junk_share`
+    and `junk_titled` tell of the nearest marked element, and `content_nearer` whether a content word stands below it.
+    """
     n = len(page.parent)
     own, linked, stops = np.zeros(n), np.zeros(n), np.zeros(n)
     for o, s, k in zip(page.owner, page.segments, page.linked):
@@ -200,6 +214,28 @@ def features(page: Page) -> np.ndarray:
         np.maximum(under[i], under[p], out=under[i])
     before = np.concatenate(([0], np.cumsum(own)[:-1]))
     total = max(chars[0], 1.0)
+    title = kind == KINDS.index("heading")
+    title[1:] &= ~title[np.maximum(up[1:], 0)]
+    first_title = np.flatnonzero(title)[:1]
+    titled = np.zeros(n, dtype=bool)
+    for i in first_title.tolist():
+        while i > 0:
+            titled[i] = True
+            i = parent[i]
+    titled[0] = len(first_title) > 0
+    junk = has[:, [TOKENS.index(k) for k in JUNK]].any(axis=1)
+    content = has[:, TOKENS.index("content")].astype(bool) | (kind == KINDS.index("article"))
+    near, nearer = [-1] * n, [False] * n
+    for i in range(1, n):
+        p = parent[i]
+        near[i], nearer[i] = (i, False) if junk[i] and not content[i] else (near[p], nearer[p] or bool(content[i]))
+    near = np.array(near)
+    junk_share = np.where(near >= 0, chars[near] / total, 0.0)
+    junk_titled = np.where(near >= 0, 1.0 + titled[near], 0.0)
+    paragraphs = np.where(kind == KINDS.index("p"), chars, 0.0)
+    beside = np.zeros(n)
+    np.add.at(beside, up[1:], paragraphs[1:])
+    more = np.stack([junk_share, junk_titled, np.array(nearer, dtype=float), beside[up] / total, np.cumsum(title) - title, beside / np.maximum(chars, 1)], axis=1)
     siblings = np.array(children)[up]
     plain = np.stack(
         [
@@ -208,4 +244,4 @@ def features(page: Page) -> np.ndarray:
         ],
         axis=1,
     )
-    return np.concatenate([plain, is_kind, inside, has, under], axis=1)
+    return np.concatenate([plain, is_kind, inside, has, under, more], axis=1)

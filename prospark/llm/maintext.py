@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from prospark.llm.dom import FEATURES, Page, features, parse
 
-EXAMPLES, TREES, DEPTH, RATE, BINS = 600, 40, 4, 0.3, 32
+EXAMPLES, TREES, DEPTH, RATE, BINS = 800, 50, 5, 0.3, 32
 
 
 @dataclass
@@ -51,11 +51,14 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = TREES) -> Trees:
     """Second-order boosting of the logistic loss on binned features."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
+    size, inner = x.shape[1], 2**DEPTH - 1
+    bins = [np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)]
+    cuts = np.full((size, BINS), np.inf)
+    for f, e in enumerate(edges):
+        cuts[f, : len(e)] = e
     rate = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     base = float(np.log(rate / (1 - rate)))
     score = np.full(len(x), base)
-    inner, size = 2**DEPTH - 1, x.shape[1]
     all_features, all_cuts, all_leaves = [], [], []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
@@ -63,22 +66,18 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = TREES) -
         at = np.zeros(len(x), dtype=np.int64)
         feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         for level in range(DEPTH):
-            first = 2**level - 1
-            for node in range(first, 2 * first + 1):
-                rows = np.flatnonzero(at == node)
-                best = 1e-3
-                if len(rows) < 20:
-                    continue
-                gs, hs = g[rows].sum(), h[rows].sum()
-                for f in range(size):
-                    if not len(edges[f]):
-                        continue
-                    gl = np.cumsum(np.bincount(bins[rows, f], weights=g[rows], minlength=len(edges[f]) + 1))[:-1]
-                    hl = np.cumsum(np.bincount(bins[rows, f], weights=h[rows], minlength=len(edges[f]) + 1))[:-1]
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    k = int(gain.argmax())
-                    if gain[k] > best:
-                        best, feature[node], cut[node] = gain[k], f, edges[f][k]
+            first, nodes = 2**level - 1, 2**level
+            # One count per feature gives its histograms in all nodes of the level.
+            place = [(at - first) * BINS + b for b in bins]
+            gl, hl = (np.stack([np.bincount(k, weights=v, minlength=nodes * BINS).reshape(nodes, BINS) for k in place], axis=1).cumsum(axis=2) for v in (g, h))
+            gs, hs = gl[:, :1, -1:], hl[:, :1, -1:]
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            gain[:, ~np.isfinite(cuts)] = 0
+            many = np.bincount(at - first, minlength=nodes)
+            for node in range(nodes):
+                f, k = divmod(int(gain[node].argmax()), BINS)
+                if many[node] >= 20 and gain[node, f, k] > 1e-3:
+                    feature[first + node], cut[first + node] = f, cuts[f, k]
             at = 2 * at + 1 + (x[np.arange(len(x)), feature[at]] > cut[at])
         at -= inner
         leaf = -RATE * np.bincount(at, weights=g, minlength=inner + 1) / (np.bincount(at, weights=h, minlength=inner + 1) + 1)
@@ -91,11 +90,13 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = TREES) -
 
 def example_pages(n: int = EXAMPLES, seed: int = 1) -> list[str]:
     """Pages composed from labelled parts: `data-keep` says of an element and all below it whether it is article."""
-    rng = np.random.default_rng(seed)
+    rng, letters = np.random.default_rng(seed), np.array(list("abcdefghilmnoprstu"))
     pick = lambda *xs: xs[rng.integers(len(xs))]
 
     def words(a: int, b: int) -> str:
-        out = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(rng.integers(a, b + 1))]
+        ends = np.cumsum(rng.integers(2, 9, rng.integers(a, b + 1)))
+        drawn = "".join(letters[rng.integers(0, len(letters), ends[-1])])
+        out = [drawn[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())]
         for i in range(7, len(out), 9):
             out[i] += pick(".", ",", ";")
         return " ".join(out).capitalize() + pick(".", ".", "")
@@ -106,14 +107,34 @@ def example_pages(n: int = EXAMPLES, seed: int = 1) -> list[str]:
     def name(*xs: str) -> str:
         return f' {pick("class", "class", "id")}="{pick(*xs)}"'
 
-    def prose() -> str:
-        tags = [f"<p>{words(1, 80)}</p>" if rng.random() < 0.9 else f"<p>{words(1, 30)}" for _ in range(rng.integers(1, 9))]
+    def linked(text: str) -> str:
+        """The text with a link at its start, at its end or round all of it."""
+        at = int(rng.integers(1, 60))
+        return pick(f'<a href="/x">{text[:at]}</a>{text[at:]}', f'<a href="/x">{text[:at]}</a>{text[at:]}', f'{text[:at]}<a href="/x">{text[at:]}</a>', f'{text[:at]}<a href="/x">{text[at:at + 20]}</a>{text[at + 20:]}')
+
+    def paragraph(text: str) -> str:
+        return f"<p>{linked(text) if rng.random() < with_links else text}" + ("</p>" if rng.random() < 0.9 else "")
+
+    def prose() -> list[str]:
+        tags = [paragraph(words(1, 80)) for _ in range(rng.integers(1, 9))]
         if rng.random() < 0.3:
             tags.append(pick(f"<blockquote><p>{words(8, 30)}</p></blockquote>", f"<ul><li>{words(2, 15)}</li><li>{words(2, 15)}</li></ul>", f"<h2>{words(2, 6)}</h2><p>{words(9, 50)}</p>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<pre>{words(5, 20)}</pre>", f"<figure><figcaption>{words(3, 12)}</figcaption></figure>"))
         rng.shuffle(tags)
         if rng.random() < 0.2:
             tags.insert(int(rng.integers(len(tags) + 1)), junk(pick("ad", "notice", "share", "related", "form", "aside", "footer", "comments")))
-        return "".join(tags)
+        return tags
+
+    def state() -> str:
+        """Attributes of a wrapper that name parts of the page without being one."""
+        about = ["sidebar", "comments", "nav", "menu", "header", "footer", "ads", "search", "cookie", "social", "hidden", "widget", "related"]
+        names = [pick("has-{}", "{}-open", "with-{}", "no-{}", "{}-fixed", "{}-layout", "{}-page", "{}-wrap", "{}-area", "js-{}", "{}", "theme-{}-2").format(pick(*about)) for _ in range(rng.integers(1, 4))]
+        names += [pick("page", "site", "wrapper", "container", "single-post", "row", "col-8", "content")] if rng.random() < 0.7 else []
+        rng.shuffle(names)
+        return f' {pick("class", "class", "id")}="{" ".join(names)}"'
+
+    def marked(tag: str) -> str:
+        """A part of an article that stands without a common element around it."""
+        return tag if "data-keep" in tag.split(">", 1)[0] else tag.replace(">", ' data-keep="yes">', 1)
 
     def junk(kind: str) -> str:
         text, no = words(1, 40), ' data-keep="no"'
@@ -140,21 +161,37 @@ def example_pages(n: int = EXAMPLES, seed: int = 1) -> list[str]:
 
     pages = []
     for _ in range(n):
+        with_links = pick(0.0, 0.0, 0.1, 0.6)
         title = f"<h1>{words(1, 9)}</h1>" if rng.random() < 0.8 else ""
         if title and rng.random() < 0.15:
             title = f"<header>{title}</header>"
-        article = title + prose()
-        yes = ' data-keep="yes"'
-        tag, extra = pick(("article", ""), ("article", ""), ("main", ""), ("div", name("content", "post", "entry-content", "article-body", "story", "main")), ("section", name("content", "article", "story")), ("div", ""))
-        whole = f"<{tag}{yes}{extra}>{article}</{tag}>"
+        parts = ([title] if title else []) + prose()
+        head = [junk(k) for k in ("nav", "header", "notice", "ad", "form", "aside") if rng.random() < 0.4]
+        tail = [junk(k) for k in ("comments", "related", "share", "aside", "ad", "form", "notice", "nav", "footer") if rng.random() < 0.35]
+        rng.shuffle(head)
+        yes, form = ' data-keep="yes"', rng.random()
+        if form < 0.25:
+            whole = "".join(marked(t) for t in parts)
+        elif form < 0.35:
+            side = [f"<td>{junk(pick('nav', 'aside', 'related', 'ad'))}</td>" if rng.random() < 0.6 else "" for _ in range(2)]
+            cell = f"<td{yes}>{''.join(parts)}</td>" if rng.random() < 0.6 else f"<td>{''.join(marked(t) for t in parts)}</td>"
+            rows = [f"<tr><td colspan=3>{junk(k)}</td></tr>" if rng.random() < 0.5 else "" for k in ("header", "footer")]
+            whole = f"<table>{rows[0]}<tr>{side[0]}{cell}{side[1]}</tr>{rows[1]}</table>"
+        else:
+            tag, extra = pick(("article", ""), ("article", ""), ("main", ""), ("div", name("content", "post", "entry-content", "article-body", "story", "main")), ("section", name("content", "article", "story")), ("div", ""))
+            whole = f"<{tag}{yes}{extra}>{''.join(parts)}</{tag}>"
         if rng.random() < 0.3:
             inside = junk("comments") if rng.random() < 0.5 else junk(pick("ad", "share", "related", "aside", "nav"))
             outer = pick("main", "div", 'div class="page"', 'div id="wrapper"')
             whole = f"<{outer}>{whole}{inside}</{outer.split()[0]}>"
-        head = [junk(k) for k in ("nav", "header", "notice", "ad", "form", "aside") if rng.random() < 0.4]
-        tail = [junk(k) for k in ("comments", "related", "share", "aside", "ad", "form", "notice", "nav", "footer") if rng.random() < 0.35]
-        rng.shuffle(head)
-        pages.append(f"<html><body>{''.join(head)}{whole}{''.join(tail)}</body></html>")
+        for _ in range(2):
+            if rng.random() < 0.3:
+                tag = pick("div", "div", "section")
+                whole = f"<{tag}{state()}>{whole}</{tag}>"
+        page = "".join(head) + whole + "".join(tail)
+        if rng.random() < 0.3:
+            page = f"<div{state()}>{page}</div>"
+        pages.append(f"<html><body{state() if rng.random() < 0.2 else ''}>{page}</body></html>")
     return pages
 
 
