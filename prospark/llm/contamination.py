@@ -5,9 +5,10 @@ ordered by rarity, counted over all documents. A window must be contained whole,
 alone: each place of that word in a document is joined to the windows it is the prefix of, the place and the lengths
 of document and window bound where the window could stand, and the names of all its words decide.
 
-Windows are handled in blocks of at most `block_windows`, so what a task gets has a fixed bound at every size of the
-benchmark; each further block is one more pass over the documents, whose state is written to the shared folder in
-between. Documents are never exchanged.
+Windows are handled in blocks of about `block_windows` rows of (window, item), dealt by a hash of both: a window that
+very many items share is spread over blocks as well, so what the driver sends and a task holds has a fixed bound at
+every size of the benchmark. In a block each distinct window stands once, with its items. Each further block is one
+more pass over the documents, whose state is written to the shared folder in between. Documents are never exchanged.
 
 Defined cases: a null or empty text has no words and is clean; an item without words has no windows; an item with a
 null id marks words but is not counted; repeated item ids count once; repeated documents are judged one by one; an
@@ -93,11 +94,16 @@ class Block:
 
     def __init__(self, rows: list[tuple[str | None, list[int]]], counts: dict[int, int]):
         # A window with a word that no document has cannot stand anywhere.
-        rows = [r for r in rows if all(n in counts for n in r[1])]
-        self.items = [r[0] for r in rows]
-        self.size = np.array([len(r[1]) for r in rows], dtype=np.int64)
-        self.words = [np.array(r[1], dtype=np.int64).view(np.uint64) for r in rows]
-        self.offset = np.array([min(range(len(r[1])), key=lambda i: (counts[r[1][i]], r[1][i], i)) for r in rows], dtype=np.int64)
+        items: dict[tuple[int, ...], list[str]] = {}
+        for item, names in rows:
+            if all(n in counts for n in names):
+                own = items.setdefault(tuple(names), [])
+                if item is not None:
+                    own.append(item)
+        windows, self.items = list(items), list(items.values())
+        self.size = np.array([len(w) for w in windows], dtype=np.int64)
+        self.words = [np.array(w, dtype=np.int64).view(np.uint64) for w in windows]
+        self.offset = np.array([min(range(len(w)), key=lambda i: (counts[w[i]], w[i], i)) for w in windows], dtype=np.int64)
         prefix = np.array([w[o] for w, o in zip(self.words, self.offset)], dtype=np.uint64)
         self.name = np.array([window_names(w, len(w))[0] for w in self.words], dtype=np.uint64)
         self.order = np.argsort(prefix, kind="stable")
@@ -152,7 +158,7 @@ def _match(block, text_col: str):
                     of = doc == d
                     first = start[of] - words.first[d]
                     spans[row + d] = merged(np.concatenate([spans[row + d], np.stack([first, first + block.value.size[window[of]]], axis=1)]))
-                    items[row + d] |= {block.value.items[w] for w in window[of]} - {None}
+                    items[row + d].update(*(block.value.items[w] for w in np.unique(window[of])))
                 n_words[row : row + words.docs] = words.counts
             for d, s in enumerate(spans):
                 n_hit[d] = (s[:, 1] - s[:, 0]).sum()
@@ -187,8 +193,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = 10, text
     docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     rows = packed(docs, F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
-        # A block holds about block_windows rows, whatever the benchmark's size.
-        own = [(r["item"], r["names"]) for r in windows.where(F.pmod(F.xxhash64("names"), F.lit(blocks)) == b).collect()]
+        own = [(r["item"], r["names"]) for r in windows.where(F.pmod(F.xxhash64("names", "item"), F.lit(blocks)) == b).collect()]
         vocabulary = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[np.array(n, dtype=np.int64) for _, n in own]]).view(np.uint64))
         block = spark.sparkContext.broadcast(Block(own, word_counts(docs, vocabulary)))
         schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType, False), *_STATE])

@@ -90,7 +90,7 @@ def bands_of(names: np.ndarray, first: np.ndarray, bands: int, width: int) -> np
 
 
 def signatures(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, bands): size, 128-bit name and bucket names of every document's set."""
+    """(doc_id, mark, n_shingles, hi, lo, bands): a mark of the text, and size, 128-bit name and bucket names of its set."""
     n_bands, rows_of_band = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +111,21 @@ def signatures(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, words.docs),
+                        batch.column(2).slice(row, words.docs),
                         pa.array(n),
                         pa.array(hi.view(np.int64)),
                         pa.array(lo.view(np.int64)),
                         pa.ListArray.from_arrays(where, pa.array(np.ascontiguousarray(bands).reshape(-1).view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "hi", "lo", "bands"],
+                    ["doc_id", "mark", "n_shingles", "hi", "lo", "bands"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return _texts(docs, text_col).mapInArrow(run, "doc_id long, mark long, n_shingles long, hi long, lo long, bands array<long>")
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 _VERDICT = "a long, b long, n_a long, n_b long, linked boolean, added array<long>, lost array<long>"
@@ -208,31 +213,42 @@ def _between_classes(verdicts: DataFrame, joined: DataFrame, percent: int) -> Da
 
 def verdicts_of(docs: DataFrame, classes: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
     """Each class of each bucket against the bucket's leader, decided on whole sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     stars = rows.join(leaders, "bucket").where("rep <> lead").groupBy("lead", "rep").agg(F.max("many").alias("many"))
-    with_texts = (
-        stars.join(texts.withColumnsRenamed({"id": "rep", "text": "rep_text"}), "rep")
-        .join(texts.withColumnsRenamed({"id": "lead", "text": "lead_text"}), "lead")
-        .select("lead", "rep", "lead_text", "rep_text", "many")
-    )
+    # One text for each class that is compared, however often its row is repeated.
+    wanted = stars.select(F.col("rep").alias("doc_id")).union(stars.select("lead")).distinct()
+    marks = classes.select(F.col("rep").alias("doc_id"), "mark").join(wanted, "doc_id", "left_semi")
+    texts = _texts(docs, text_col).join(marks, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    # A leader of very many classes: they are spread over salts, and its text goes to those that occur.
+    salt = F.when(F.col("many") > SALTS, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int")
+    pairs = stars.withColumn("salt", salt).join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep")
+    lead = stars.select("lead", salt.alias("salt")).distinct().join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    with_texts = pairs.join(lead, ["lead", "salt"]).select("lead", "rep", "lead_text", "rep_text", "many")
     return cut_lineage(with_texts.mapInArrow(_decide(width, percent), _VERDICT))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` left joined with `table` on keys of which some may stand in very many rows.
+
+    Rows are dealt to salts whatever they hold, and a key's row goes to the salts that have it.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    each = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(each, [*keys, "_salt"], "left").drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`."""
     found = cut_lineage(signatures(docs, width, percent, text_col))
     sets = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut_lineage(sets.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    members = found.select("doc_id", "n_shingles", "hi", "lo").join(
-        classes.select("hi", "lo", "rep"), ["hi", "lo"], "left"
-    ).withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))
+    classes = cut_lineage(sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark")).alias("own"), F.first("bands").alias("bands")).select(F.col("own.doc_id").alias("rep"), "own.mark", "hi", "lo", "bands"))
+    members = _looked_up(found.select("doc_id", "n_shingles", "hi", "lo"), classes.select("hi", "lo", "rep"), ["hi", "lo"]).withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))
     same_id = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     verdicts = verdicts_of(docs, classes, width, percent, text_col)
     joined = components(verdicts.where("linked").select("a", "b").union(same_id))
     more = _between_classes(verdicts, joined, percent)
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    result = members.join(joined, members["rep"] == joined["node"], "left")
+    result = _looked_up(members, joined.withColumnRenamed("node", "rep"), ["rep"])
     component = F.coalesce("component", "rep", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

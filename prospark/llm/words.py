@@ -1,11 +1,14 @@
 """Words, word names and window names of Arrow text columns, computed on whole byte buffers.
 
 A name is a 64-bit number that depends on the bytes of a word (or on the names in a window) alone, so equal
-words have one name in every task of every job and nothing has to be exchanged to agree on it.
+words have one name in every task of every job and nothing has to be exchanged to agree on it. A word's name takes in
+eight bytes after another, each step through a mixing of all bits, so no rule makes different words meet; words of
+more than `LONG_WORD` bytes are named by a keyed BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +18,8 @@ import pyarrow.compute as pc
 #: Text bytes worked on at once; a longer document is one slab of its own.
 SLAB_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: dict[str, np.ndarray] = {}
+LONG_WORD = 256
+_KEY = b"prospark words"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,9 +32,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
+#: The first n of eight bytes, lowest first.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the words at data[start:end]."""
+    size = end - start
+    name = mix(size.astype(np.uint64) * _STEP + np.uint64(0xD1B54A32D192ED03))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    active = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        active = active[size[active] > at]
+        if not len(active):
+            break
+        part = np.ascontiguousarray(eights[start[active] + at]).view("<u8").reshape(-1)
+        part = part & _FIRST[np.minimum(size[active] - at, 8)]
+        name[active] = mix((name[active] ^ part) + _STEP)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=_KEY).digest()
+        name[i] = np.uint64(int.from_bytes(digest, "little"))
+    return name
+
 
 #: Byte tables: True where a byte separates words.
 WHITE = np.zeros(256, dtype=bool)
@@ -40,18 +67,6 @@ PUNCT = np.zeros(256, dtype=bool)
 PUNCT[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) <= n:
-        size = max(n + 1, SLAB_BYTES + 1)
-        step = np.full(size, _BASE, dtype=np.uint64)
-        step[0] = 1
-        _powers["up"] = np.cumprod(step, dtype=np.uint64)
-        step[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers["down"] = np.cumprod(step, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 class Words:
     """The words of some documents one after another.
 
@@ -72,10 +87,7 @@ class Words:
         stop[edge] = word[edge - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop)
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _power(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=sums[1:])
-        self.name = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.name = word_names(_LOWERED[data] if lower else data, self.start, self.end)
         self.docs = len(offsets) - 1
 
     @property
