@@ -17,11 +17,11 @@ by one; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,15 @@ PIECES, PIECE_CHARS = 200, 500
 MOST_LANGUAGES = 500
 BLOCK_BYTES, LEVEL = 2048, 5
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is neither a letter nor a mark that stands on one: vowel signs are part of their words.
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> str:
-    return _OTHER.sub(" ", text.lower()).strip()
+    """The words of a text, lower case; nothing if it has no letter."""
+    words = _OTHER.sub(" ", text.lower()).strip()
+    return words if _LETTER.search(words) else ""
 
 
 def held_out(doc_id: Column) -> Column:

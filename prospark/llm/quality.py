@@ -32,13 +32,11 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where `fails` (SQL over the measurements) is true, or `in_ledger` if the ledger has a finer measurement
-    than the SQL twin. Bit numbers stay as they are for good."""
+    """A rule fails where `fails` (SQL over the measurements) is true. Bit numbers keep their meaning for good."""
 
     bit: int
     name: str
     fails: str
-    in_ledger: str | None = None
 
 
 RULES = (
@@ -47,14 +45,18 @@ RULES = (
     Rule(2, "symbols", "100 * n_symbols > 25 * n_words"),
     Rule(3, "shouting", "100 * n_upper > 60 * (word_chars - n_symbols)"),
     Rule(4, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
-    Rule(5, "long_words", "word_chars > 20 * n_words", "run_chars > 20 * n_runs"),
+    Rule(5, "long_words", "word_chars > 20 * n_words"),
+    Rule(6, "long_runs", "run_chars > 20 * n_runs"),
 )
 
-#: Versioned policies: a text is kept if it fails none of the named rules.
+#: Versioned policies: a text is kept if it fails none of the named rules. A version never changes; `v2` judges the length
+#: of words on scripts that put spaces between them.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "shouting", "repeated_lines", "long_words"),
+    "v2": ("few_words", "repeated_words", "symbols", "shouting", "repeated_lines", "long_runs"),
 }
+CURRENT = "v2"
 
 
 def mask(rules: Sequence[str], known: Sequence[Rule] = RULES) -> int:
@@ -118,7 +120,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text
     """`doc`, the measurements and `fail_bits`: bit b is set where the rule of that bit fails."""
     bits = F.lit(0).cast("long")
     for rule in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(rule.in_ledger or rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
     return measure(docs, text_col).withColumn("fail_bits", bits)
 
 

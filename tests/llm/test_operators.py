@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from prospark.llm import bpe, contamination, idfiles, langid, licenses, maintext, neardup, passages, quality, warc
+from prospark.llm.op09_quality import measures_sql
 from prospark.llm.words import WHITE, Words, slabs
 from prospark.session import scratch_path
 from tests.llm import cases
@@ -114,12 +115,13 @@ def test_quality(docs, empty):
     for r in rows:
         assert tuple(r)[1:6] == cases.quality(r["text"])
         assert bool(r["fail_bits"] & 1) == (r["n_words"] < 10) and bool(r["fail_bits"] & 2) == (100 * r["n_repeat_words"] > 20 * r["n_words"])
-    kept = book.where(quality.apply_policy(book, quality.POLICIES["v1"])).count()
-    assert kept == sum(r["fail_bits"] & quality.mask(quality.POLICIES["v1"]) == 0 for r in rows)
-    for r in quality.ablation(book, quality.POLICIES["v1"]).collect():
-        bit = quality.mask([r["rule"]])
-        assert r["n_failed"] == sum(bool(x["fail_bits"] & bit) for x in rows) and r["n_only"] == sum(x["fail_bits"] == bit for x in rows)
-        assert r["n_kept_without"] == sum(x["fail_bits"] & ~bit == 0 for x in rows)
+    for version in ("v1", "v2"):
+        policy, whole = quality.POLICIES[version], quality.mask(quality.POLICIES[version])
+        assert book.where(quality.apply_policy(book, policy)).count() == sum(r["fail_bits"] & whole == 0 for r in rows)
+        for r in quality.ablation(book, policy).collect():
+            bit = quality.mask([r["rule"]])
+            assert r["n_failed"] == sum(bool(x["fail_bits"] & bit) for x in rows) and r["n_only"] == sum(x["fail_bits"] & whole == bit for x in rows)
+            assert r["n_kept_without"] == sum(x["fail_bits"] & whole & ~bit == 0 for x in rows)
     assert quality.ledger(empty).count() == 0
 
 
@@ -133,7 +135,7 @@ def test_quality_leaves_labelled_texts_alone(spark):
 
 
 def test_quality_of_scripts_without_spaces(spark):
-    """Clean prose of such scripts is kept; long words of other scripts beside it are not hidden by it."""
+    """Clean prose of such scripts is kept from policy v2 on; long words of other scripts beside it are not hidden by it."""
     phrases = {"th": "ประเทศไทยมีแม่น้ำหลายสายที่ไหลผ่านที่ราบ", "zh": "长江是亚洲最长的河流，流经许多省份和城市，最后注入东海。", "ja": "コンピューターの歴史はとても長く、多くの人々が研究してきた。",
                "lo": "ປະເທດລາວມີແມ່ນ້ຳຫຼາຍສາຍທີ່ໄຫຼຜ່ານພູເຂົາ", "km": "ប្រទេសកម្ពុជាមានទន្លេជាច្រើនដែលហូរកាត់", "my": "မြန်မာနိုင်ငံတွင်မြစ်များစွာရှိပြီးတောင်တန်းများ"}
     clean = {k: " ".join(f"{p}{i}" for i in range(12)) for k, p in phrases.items()}
@@ -141,8 +143,22 @@ def test_quality_of_scripts_without_spaces(spark):
     assert all(len(w) > 20 for t in clean.values() for w in t.split())
     rows = spark.createDataFrame([*clean.items(), ("junk", junk[0]), ("mixed", junk[1])], "doc_id string, text string")
     book = quality.ledger(rows)
-    got = {r["doc_id"] for r in book.where(quality.apply_policy(book, quality.POLICIES["v1"])).select("doc.doc_id").collect()}
-    assert got == set(clean)
+    got = lambda version: {r["doc_id"] for r in book.where(quality.apply_policy(book, quality.POLICIES[version])).select("doc.doc_id").collect()}
+    assert got("v2") == set(clean)
+    # The rule of version 1 is on white-space words, as it always was.
+    assert not got("v1") & set(clean)
+
+
+def test_quality_sql_of_scripts_without_spaces(spark):
+    """Both word-length rules are those of the SQL, bit by bit."""
+    import duckdb
+
+    texts = ["ประเทศไทยมีแม่น้ำหลายสายที่ไหลผ่าน " * 12, "长江是亚洲最长的河流，流经许多省份和城市，最后注入东海。 " * 12, "コンピューターの歴史はとても長く、多く " * 12, "word " * 12, "x" * 300, "", None, "ｆｕｌｌ　ｗｉｄｔｈ " * 9, "日本 " + "y" * 90 + " z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_runs"], r["run_chars"], r["fail_bits"]) for r in quality.ledger(df).select("doc.doc_id", "n_runs", "run_chars", "fail_bits").collect()}
+    src = duckdb.from_arrow(df.toArrow())  # noqa: F841
+    rows = duckdb.sql(f"WITH s AS (SELECT doc_id AS rid, doc_id, text FROM src),{measures_sql('s')} SELECT doc_id, n_runs, run_chars, CAST(fail_bits AS BIGINT) FROM booked").fetchall()
+    assert got == {r[0]: tuple(r[1:]) for r in rows}
 
 
 def test_licenses(docs, empty):
@@ -255,6 +271,12 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"} and langid.identify(table.limit(0), none).count() == 0
 
 
+def test_language_keeps_marks():
+    """Vowel signs and other marks belong to their words; a text of marks alone has no letter."""
+    assert langid.plain("हिन्दी भाषा में, 12!") == "हिन्दी भाषा में" and langid.plain("ภาษาไทย_é") == "ภาษาไทย é"
+    assert langid.plain("e\u0301A") == "e\u0301a" and langid.plain("\u0301 12") == "" and langid.plain("") == ""
+
+
 def test_archive(spark):
     pages = [(1, "http://a/\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "http://c", ""), (4, "http://c", ""), (None, "http://d", "<p>é</p>"), (9, "http://e", "x" * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS header")

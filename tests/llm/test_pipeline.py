@@ -4,6 +4,7 @@ import base64
 
 import numpy as np
 import public_tokenizers as P
+import regex
 import tiktoken
 
 import corpus_pipeline
@@ -11,18 +12,23 @@ from prospark.llm import quality
 from tests.llm import cases
 
 
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\u3000-\u303F\u30A0-\u30FF\uFF00-\uFFEF]+")
+
+
 def brute(rows, items):
     """(doc_id, text) of the rows that each stage leaves."""
     out = []
     limit = {r.name: r for r in quality.RULES}
-    assert set(quality.POLICIES["v1"]) <= set(limit)
+    assert set(quality.POLICIES[quality.CURRENT]) <= set(limit)
 
     def fails(text):
         n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = cases.quality(text)
         n_upper = sum(c.isupper() for c in text or "")
         n_lines = sum(bool(cases.white(x)) for x in (text or "").split("\n"))
-        values = {k: v for k, v in locals().items() if k.startswith("n_") or k == "word_chars"}
-        return any(eval(limit[name].fails, {}, values) for name in quality.POLICIES["v1"])  # noqa: S307
+        runs = cases.white(UNSPACED.sub(" ", text or ""))
+        n_runs, run_chars = len(runs), sum(map(len, runs))
+        values = {k: v for k, v in locals().items() if k.startswith("n_") or k in ("word_chars", "run_chars")}
+        return any(eval(limit[name].fails, {}, values) for name in quality.POLICIES[quality.CURRENT])  # noqa: S307
 
     rows = [(i, t) for i, t in rows if not fails(t)]
     out.append(rows)
