@@ -19,7 +19,7 @@ from prospark.llm.bpe import encode_documents
 from prospark.llm.contamination import contaminated_words
 from prospark.llm.neardup import near_duplicates
 from prospark.llm.passages import without_repeats
-from prospark.llm.quality import POLICIES, apply_policy, ledger
+from prospark.llm.quality import CURRENT, POLICIES, apply_policy, ledger
 from prospark.session import cut_lineage
 from prospark.sources.tables import read_table
 
@@ -32,7 +32,7 @@ def _columns(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     book = ledger(docs)
-    return _columns(book.where(apply_policy(book, POLICIES["v1"])), docs)
+    return _columns(book.where(apply_policy(book, POLICIES[CURRENT])), docs)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
