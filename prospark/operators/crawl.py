@@ -60,31 +60,61 @@ def _percent(text: Column) -> Column:
     return out
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+#: Rules of a host that travel with its URLs; the rules of a larger policy are met by the prefixes of a path instead.
+PACKED_RULES = 64
+
+
+def _by_prefix(paths: DataFrame, policies: DataFrame) -> DataFrame:
+    """(_host, _path, own, rest): the verdict of the first rule that is a prefix of each path, null where none is.
+
+    A path meets the rules by its own prefixes, of the lengths that rules of its host have: an equi join on (host,
+    prefix) whose work follows those lengths and not the number of rules.
+    """
+    kinds = [("own", "own_rules"), ("rest", "default_rules")]
+    listed = [policies.select("_host", F.lit(kind).alias("kind"), F.posexplode(rules_of).alias("place", "r")) for kind, rules_of in kinds]
+    prefix = F.when(F.col("r.prefix") == "*", "").otherwise(F.col("r.prefix")).alias("prefix")
+    every = listed[0].unionByName(listed[1]).select("_host", "kind", "place", F.col("r.allow").alias("allow"), prefix)
+    first = every.groupBy("_host", "kind", "prefix").agg(F.min(F.struct("place", "allow")).alias("rule"))
+    lengths = every.groupBy("_host", "kind").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    own = paths.join(lengths, "_host").select("_host", "_path", "kind", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("_path"))
+    met = own.withColumn("prefix", F.substring("_path", F.lit(1), F.col("n"))).join(first, ["_host", "kind", "prefix"])
+    verdict = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rule")))["allow"].alias(kind)
+    return met.groupBy("_host", "_path").agg(verdict("own"), verdict("rest"))
+
+
+def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, packed_rules: int = PACKED_RULES) -> DataFrame:
     """Adds `allowed` and `robots_reason` to URLs. Hosts without a policy are allowed.
 
-    Each host has one row of packed rules, so a host with very many URLs meets
-    one row, and the first rule that matches decides.
+    The first rule that matches decides. A host of at most `packed_rules` rules has one row of packed rules, which its
+    URLs meet however many they are; the distinct paths of other hosts meet rules by prefix.
     """
     u = F.col("url")
     way = F.concat(U.full_path(u), F.when(U.query_text(u) != "", F.concat(F.lit("?"), U.query_text(u))).otherwise(""))
     rows = urls.withColumn("_host", U.netloc(u)).withColumn("_path", _percent(F.when(way == "", "/").otherwise(way)))
-    rows = rows.join(robots_rules(robots, agent).withColumnRenamed("host", "_host"), "_host", "left")
+    policies = robots_rules(robots, agent).withColumnRenamed("host", "_host")
+    count = F.coalesce(F.size("own_rules"), F.lit(0)) + F.coalesce(F.size("default_rules"), F.lit(0))
+    policies = policies.withColumns({"_large": count > packed_rules, "_has_own": F.col("own_rules").isNotNull(), "_known": F.col("own_rules").isNotNull() | F.col("default_rules").isNotNull()})
+    small = lambda c: F.when(~F.col("_large"), F.col(c)).alias(c)
+    rows = rows.join(policies.select("_host", "_large", "_has_own", "_known", small("own_rules"), small("default_rules")), "_host", "left")
 
-    def verdict(rule_list: str) -> Column:
+    def packed(rule_list: str) -> Column:
         hits = F.filter(rule_list, lambda r: (r["prefix"] == "*") | F.startswith(F.col("_path"), r["prefix"]))
-        return F.coalesce(F.get(hits, F.lit(0))["allow"], F.lit(True))
-
-    default_ok = verdict("default_rules")
-    allowed = F.when(F.col("own_rules").isNotNull(), verdict("own_rules") | default_ok).otherwise(default_ok)
-    known = F.col("own_rules").isNotNull() | F.col("default_rules").isNotNull()
+        return F.get(hits, F.lit(0))["allow"]
+
+    large = policies.where("_large")
+    paths = rows.where("_large").select("_host", "_path").distinct()
+    rows = rows.join(_by_prefix(paths, large), ["_host", "_path"], "left")
+    verdict = lambda kind, rule_list: F.coalesce(F.when(F.col("_large"), F.col(kind)).otherwise(packed(rule_list)), F.lit(True))
+    default_ok = verdict("rest", "default_rules")
+    allowed = F.when(F.col("_has_own"), verdict("own", "own_rules") | default_ok).otherwise(default_ok)
+    known = F.coalesce("_known", F.lit(False))
     return (
         rows.withColumn("allowed", allowed)
         .withColumn(
             "robots_reason",
             F.when(~known, "no policy").when(F.col("allowed"), "allowed by policy").otherwise("disallowed by policy"),
         )
-        .drop("_host", "_path", "own_rules", "default_rules")
+        .select(*urls.columns, "allowed", "robots_reason")
     )
 
 

@@ -42,9 +42,9 @@ def _bad_share(x: Column) -> Column:
 _TEXT_FIELDS = r"\b(?:signal|evidence|sentiment|status): (?!STRING)"
 
 
-def _wrong_types(json_col: str) -> list[tuple[Column, str]]:
-    """Fields whose JSON type is not the one of the answer format; a number or object is no text, null is no list."""
-    tree = F.try_parse_json(json_col)
+def _wrong_types(tree: str) -> list[tuple[Column, str]]:
+    """Fields of a parsed answer whose type is not the one of the answer format; a number or object is no text, null is
+    no list."""
     kind = lambda name: F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant"))
     off = lambda name, pattern: F.coalesce(~kind(name).rlike(pattern), F.lit(False))
     checks = [(off(n, "^(?:STRING|VOID)$"), f"wrong type {n}") for n in REQUIRED_TEXTS]  # null counts as missing
@@ -57,7 +57,8 @@ def _wrong_types(json_col: str) -> list[tuple[Column, str]]:
 def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataFrame, DataFrame]:
     """(valid answers as typed columns, refused answers with their reasons)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = once(raw, "a", F.from_json(json_col, ANSWER_SCHEMA, options))
+    # The answer is read once as typed fields and once as a tree whose types are looked at.
+    parsed = once(once(raw, "a", F.from_json(json_col, ANSWER_SCHEMA, options)), "_tree", F.try_parse_json(json_col))
     a = lambda n: F.col(f"a.{n}")
     broken = F.col("a").isNull() | a("_corrupt_record").isNotNull()
     score = a("icp_score")
@@ -66,7 +67,7 @@ def load_qualifications(raw: DataFrame, json_col: str = "answer") -> tuple[DataF
     share_ok = F.coalesce(a("confidence_score").try_cast("double").between(0.0, 1.0), F.lit(False))
     part_bad = lambda s: s["signal"].isNull() | s["evidence"].isNull() | _bad_share(s["confidence"])
     checks = [(a(n).isNull(), f"missing {n}") for n in REQUIRED_TEXTS]
-    checks += _wrong_types(json_col)
+    checks += _wrong_types("_tree")
     checks += [(F.coalesce(F.exists(a(n), lambda x: x.isNull()), F.lit(False)), f"null in {n}") for n in TEXT_LISTS]
     checks += [
         (score.isNull(), "missing icp_score"),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from prospark.operators import analytics as an
 from prospark.operators import lifecycle as lc
+from prospark.operators.scope import LeadFilter
+from prospark.plans.entity_sql import over
 from prospark.plans.lifecycle import crawl_requests, fresh_signals, incoming_leads, known_leads, known_signals
 from prospark.plans.registry import ORACLES, query
 from prospark.plans.tenants import text_time
 from prospark.session import scratch_path
 from prospark.sources.snapshots import change_snapshot, create_snapshots, read_snapshot
+from prospark.sources.text_index import build_text_index, search_stored
 
 
 def _halves(df, key: str):
@@ -53,3 +58,22 @@ def stored_usage(e):
 def stored_signals(e):
     fresh = fresh_signals(e)
     return _after(e, known_signals(e), "lead_id", _halves(fresh, "lead_id"), lambda old, new: lc.replace_signals(old, new, new))
+
+
+@query(
+    "search_stored_leads",
+    over(
+        "leads",
+        """SELECT search, lead_id, company_name FROM leads, (VALUES ('ring'), ('a%machinery'), ('no such text'), ('or_')) v(search)
+        WHERE company_name ILIKE '%' || search || '%' OR domain ILIKE '%' || search || '%' OR industry ILIKE '%' || search || '%'
+        OR company_summary ILIKE '%' || search || '%' OR value_proposition ILIKE '%' || search || '%'""",
+    ),
+)
+def search_stored_leads(e):
+    """Searches in stored leads through an index of three-letter runs; one of them has none and reads all rows."""
+    table, index = scratch_path(e.spark, "leads"), scratch_path(e.spark, "runs")
+    leads = e.leads()
+    create_snapshots(leads, table, "lead_id", buckets=16)
+    build_text_index(leads, index)
+    found = [search_stored(e.spark, table, index, LeadFilter(search=f" {text} ")).select(F.lit(text).alias("search"), "lead_id", "company_name") for text in ("ring", "a%machinery", "no such text", "or_")]
+    return reduce(lambda a, b: a.unionByName(b), found)
