@@ -93,9 +93,9 @@ def stream_transition_audit(e):
 def stream_ordered_audit(e):
     """The audit in event time although the files arrive in another order."""
     path = scratch_path(e.spark, "ordered")
-    ordered_audit_conf(e.spark)
-    stream = stream_ordered(split_stream(e, order=(1, 0, 3, 2, 4)), "20 days")
-    st.run_to_table(stream, path)
+    stream = stream_ordered(split_stream(e, 3, order=(1, 0, 2)), "25 days")
+    with ordered_audit_conf(e.spark):
+        st.run_to_table(stream, path)
     return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
 
 

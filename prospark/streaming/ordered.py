@@ -12,6 +12,7 @@ spreads a busy job, in the order of arrival.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,19 @@ _AUDIT = "job_id bigint, event_id bigint, at bigint, previous_status string, sta
 _NAMES = [c.split()[0] for c in _AUDIT.split(", ")]
 
 
-def ordered_audit_conf(spark: SparkSession) -> None:
-    """Sets the state store that timers and lists need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def ordered_audit_conf(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers and lists need, for streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 class OrderedAudit(StatefulProcessor):

@@ -168,7 +168,6 @@ def test_active_jobs_with_late_events_and_forgetting(spark, tmp_path):
 
 def test_ordered_audit_of_shuffled_files(spark, tmp_path):
     """Files of one hour each arrive in any order within the watermark; the audit is that of the whole table."""
-    st_ordered.ordered_audit_conf(spark)
     rows = Entities(spark, SF).job_events()
     rng = random.Random(5)
     order = sorted(range(24), key=lambda k: k + rng.uniform(0, 4))
@@ -178,7 +177,8 @@ def test_ordered_audit_of_shuffled_files(spark, tmp_path):
     end = spark.createDataFrame([(-1, -1, -1, "page_crawled", 0, None, dt.datetime(2024, 1, 9))], st.EVENT_SCHEMA)
     end.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     out = st_ordered.stream_ordered_audit(stream(spark, f"{tmp_path}/in"), "8 hours")
-    st.run_to_table(out, f"{tmp_path}/out")
+    with st_ordered.ordered_audit_conf(spark):
+        st.run_to_table(out, f"{tmp_path}/out")
     got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out/rows")
     assert order != sorted(order)
     same(got, jb.transition_audit(jb.normalize_events(day)))
