@@ -214,18 +214,24 @@ def _between_classes(verdicts: DataFrame, joined: DataFrame, percent: int) -> Da
 def verdicts_of(docs: DataFrame, classes: DataFrame, width: int = 3, percent: int = 85, text_col: str = "text", repeated: bool = True) -> DataFrame:
     """Each class of each bucket against the bucket's leader, decided on whole sets.
 
-    `repeated` says whether rows of one doc_id and text may stand in `docs` more than once.
+    `repeated` says whether a doc_id may stand in `docs` more than once; if not, each class has one text as it is.
     """
     rows = classes.select("rep", "mark", F.explode("bands").alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min(F.struct("rep", "mark")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     leaders = leaders.select("bucket", "many", F.col("first.rep").alias("lead"), F.col("first.mark").alias("lead_mark"))
     stars = rows.join(leaders, "bucket").where("rep <> lead").groupBy("lead", "lead_mark", "rep", "mark").agg(F.max("many").alias("many"))
-    # One text for each class that is compared. Where rows of one document and text are repeated, one of them is taken
-    # first; without any, texts meet the classes where they are read.
     texts = _texts(docs, text_col)
-    if repeated:
-        wanted = stars.select(F.col("rep").alias("doc_id"), "mark").union(stars.select("lead", "lead_mark")).distinct()
-        texts = texts.join(wanted, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    if not repeated:
+        each = stars.groupBy("lead", "rep").agg(F.max("many").alias("many"))
+        with_texts = (
+            each.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep")
+            .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+            .select("lead", "rep", "lead_text", "rep_text", "many")
+        )
+        return cut_lineage(with_texts.mapInArrow(_decide(width, percent), _VERDICT))
+    # One text for each class that is compared, however often its row is repeated.
+    wanted = stars.select(F.col("rep").alias("doc_id"), "mark").union(stars.select("lead", "lead_mark")).distinct()
+    texts = texts.join(wanted, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
     # A leader of very many classes: they are spread over salts, and its text goes to those that occur.
     salt = F.when(F.col("many") > SALTS, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int")
     pairs = stars.withColumn("salt", salt).join(texts.select(F.col("doc_id").alias("rep"), "mark", F.col("text").alias("rep_text")), ["rep", "mark"])
@@ -252,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, text_col
     classes = cut_lineage(sets.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark")).alias("own"), F.first("bands").alias("bands")).select(F.col("own.doc_id").alias("rep"), "own.mark", "hi", "lo", "bands"))
     members = _looked_up(found.select("doc_id", "n_shingles", "hi", "lo"), classes.select("hi", "lo", "rep"), ["hi", "lo"]).withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))
     same_id = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    repeated = not sets.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    repeated = not sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     verdicts = verdicts_of(docs, classes, width, percent, text_col, repeated)
     joined = components(verdicts.where("linked").select("a", "b").union(same_id))
     more = _between_classes(verdicts, joined, percent)
