@@ -2,8 +2,8 @@
 
 A bounded sample of the vectors gives coarse centroids (one list each) and, for every slice of the dimensions, a
 codebook for what is left after the centroid. Every vector is then indexed: its list and one byte per slice. A query
-looks only at the lists whose centroids are nearest to it, adds up table entries of their codes, and takes exact
-distances of the best `share` of them alone; answers are the nearest of those.
+looks only at the lists whose centroids are nearest to it; cosines in single precision leave few of their vectors, and
+answers are the nearest of those by exact distance. `share` tells what part the codes alone would leave.
 
 How many lists and which share are needed depends on the vectors, so `fit` tries them on the sample against exact
 search and takes the least that reach the wanted recall there. On vectors without clusters that means most lists and
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospark.functions.skew import first_per_key
-from prospark.functions.vectors import TIE_DIGITS, unit_rows
+from prospark.functions.vectors import BLOCK_NUMBERS, Nearest, dealt, nearest_of_blocks, packed, unit_rows
 
 SAMPLE_ROWS = 8192
 MOST_LISTS = 1024
@@ -134,68 +134,38 @@ def indexed(embeddings: DataFrame, index: VectorIndex) -> DataFrame:
     return rows.mapInPandas(run, "lead_id bigint, embedding array<double>, list int, codes binary")
 
 
-def _nearest(index: VectorIndex, k: int, skip_self: bool, chunk: int = 128):
-    """The `k` nearest of each query among some indexed vectors."""
-
-    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(corpus):
-            ids, lists = corpus["lead_id"].to_numpy(), corpus["list"].to_numpy()
-            codes = np.frombuffer(b"".join(corpus["codes"]), dtype=np.uint8).reshape(len(ids), -1)
-            vectors, unit, own = unit_rows(corpus["embedding"]), unit_rows(queries["vector"]), queries["query_id"].to_numpy()
-            exact = min(len(ids), max(k, int(np.ceil(index.share * len(ids)))) + skip_self)
-            for a in range(0, len(unit), chunk):
-                some, q = own[a : a + chunk], unit[a : a + chunk]
-                scores = index.scores(q, lists, codes)
-                top = np.argpartition(-scores, exact - 1, axis=1)[:, :exact] if exact < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                d = np.round(1.0 - np.einsum("qd,qrd->qr", q, vectors[top]), TIE_DIGITS)
-                d[~np.isfinite(np.take_along_axis(scores, top, axis=1))] = np.inf
-                if skip_self:
-                    d[some[:, None] == ids[top]] = np.inf
-                row, col = np.nonzero(np.isfinite(d))
-                part = pd.DataFrame({"query_id": some[row], "lead_id": ids[top[row, col]], "distance": d[row, col]})
-                limit = np.partition(d, min(k, exact) - 1, axis=1)[:, min(k, exact) - 1]
-                part = part[part["distance"].to_numpy() <= limit[row]].sort_values(["query_id", "distance", "lead_id"])
-                found.append(part.groupby("query_id").head(k))
-        if not found:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "lead_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        return pd.concat(found)
-
-    return run
-
-
 def search(corpus: DataFrame, queries: DataFrame, index: VectorIndex, k: int, skip_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """(query_id, lead_id, distance): the `k` nearest of each query (query_id, vector) among `indexed` rows.
 
-    Queries of at most SENT_NUMBERS numbers are sent to the corpus, which is scanned where it lies. More queries go to
-    the lists they look at; a long list is cut into blocks of about `block_rows` on both sides, and a task holds two.
+    Queries of at most SENT_NUMBERS numbers are sent to the corpus, which is scanned where it lies. More queries meet the
+    lists they look at in pairs of packed blocks. Within a list the product of all vectors in single precision costs
+    less than the look-ups of their codes and misses none, so the codes only serve the fit and readers of the index.
     """
     asked = finite(queries, "vector").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    near = _nearest(index, k, skip_self)
     if (asked.agg(F.sum(F.size("vector"))).head()[0] or 0) <= SENT_NUMBERS:
         sent = asked.toPandas()  # bounded by the check above
 
         def scan(batches):
+            near = Nearest(sent["query_id"].to_numpy(np.int64), unit_rows(sent["vector"]), k, skip_self)
+            looks = index.probed(near.unit) if len(sent) else None
             for rows in batches:
-                yield near(sent, rows)
+                if looks is None or not len(rows):
+                    continue
+                rows = rows.sort_values("list", kind="stable")
+                near.add_parts(rows["lead_id"].to_numpy(), unit_rows(rows["embedding"]), rows["list"].to_numpy(), looks)
+            yield near.table().to_pandas()
 
         found = corpus.mapInPandas(scan, _ANSWER)
     else:
 
-        def to_lists(batches):
-            for pdf in batches:
-                lists = [np.flatnonzero(p).tolist() for p in index.probed(unit_rows(pdf["vector"]))] if len(pdf) else []
-                yield pdf.assign(lists=lists)
-
-        spread = asked.mapInPandas(to_lists, "query_id bigint, vector array<double>, lists array<int>")
-        spread = spread.select("query_id", "vector", F.explode("lists").alias("list"))
-        parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-        # One row per list, at most MOST_LISTS.
-        sizes = F.broadcast(parts(spread, "q_blocks").join(parts(corpus, "c_blocks"), "list"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-        keys = ["list", "q_block", "c_block"]
-        left = spread.join(sizes, "list").select("list", own("query_id", "q_blocks").alias("q_block"), every("c_blocks").alias("c_block"), "query_id", "vector")
-        right = corpus.join(sizes, "list").select("list", every("q_blocks").alias("q_block"), own("lead_id", "c_blocks").alias("c_block"), "lead_id", "embedding", "codes")
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, c: near(q, c), _ANSWER)
+        dim = len(index.centroids[0])
+        q_rows, c_rows = asked.count(), corpus.count()
+        blocks = tuple(dealt(n, dim, block_rows) for n in (q_rows, c_rows))
+        deal = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n))
+        # A list stays together, and a long one is cut; one row per list, at most MOST_LISTS.
+        cuts = F.broadcast(corpus.groupBy("list").agg(F.ceil(F.count(F.lit(1)) * dim / BLOCK_NUMBERS).alias("cuts")))
+        cut = corpus.join(cuts, "list").withColumn("cut", F.pmod(F.xxhash64("lead_id"), F.col("cuts")))
+        left = packed(asked, "query_id", "vector", deal(blocks[0], "query_id"))
+        right = packed(cut, "lead_id", "embedding", deal(blocks[1], "list", "cut"), F.col("list"))
+        found = nearest_of_blocks(left, right, blocks, k, skip_self, index.probed)
     return first_per_key(found, ["query_id"], [F.asc("distance"), F.asc("lead_id")], k)

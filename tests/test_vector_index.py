@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from prospark.functions import vectors as vec
+from prospark.operators import search as se
 from prospark.operators import vector_index as vi
 
 SCHEMA = "lead_id long, embedding array<float>"
@@ -70,3 +72,30 @@ def test_vectors_without_length_and_small_tables(spark):
     one = vi.fit(df.where("lead_id = 4"))
     assert [r["lead_id"] for r in vi.search(vi.indexed(df, one), queries, one, k=9).collect()][0] == 4
     assert vi.search(vi.indexed(df, index), queries.limit(0), index, k=2).count() == 0
+
+
+def test_pairs_of_blocks_are_exact_and_shuffle_each_vector_once(spark):
+    """Blocks of a few vectors with very many equal ones: exact, and copies of vectors do not follow the number of blocks."""
+    x = np.round(vectors("random", 400, dim=8), 1)
+    x[100:300] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    rows = se.lookalikes(df, k=3, block_rows=30)
+    got = {}
+    for r in rows.orderBy("query_id", "distance", "lead_id").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["lead_id"]))
+    truth = exact(x, x, 3, True)
+    assert {q: [i for _, i in near] for q, near in got.items()} == {q: [i for _, i in near] for q, near in enumerate(truth)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+
+
+def test_equal_vectors_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(vec, "_AT_ONCE", 50)
+    x = np.repeat(vectors("random", 3, dim=8), 40, axis=0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = vec.Nearest(np.arange(120), unit, 4, True)
+    for a in range(0, 120, 25):
+        near.add(np.arange(a, min(a + 25, 120)), unit[a : a + 25])
+    for q in range(120):
+        same = [i for i in range(q // 40 * 40, q // 40 * 40 + 40) if i != q][:4]
+        assert near.who[q].tolist() == same and (near.near[q] == 0).all()
