@@ -208,24 +208,24 @@ def stream_transition_audit(events: DataFrame, watermark: str = "1 hour", keep:
 STATE_SPAN = 20
 
 
-def read_state(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: str, batch: int, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """State of every job as it was before `batch`: the newest row per job since the last full copy."""
     if batch == 0:
         return spark.createDataFrame([], schema)
     start = (batch - 1) // STATE_SPAN * STATE_SPAN
     rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     rows = rows.filter((F.col("batch") >= start) & (F.col("batch") < batch))
-    return first_per_key(rows, ["job_id"], [F.desc("batch")]).drop("batch")
+    return first_per_key(rows, list(keys), [F.desc("batch")]).drop("batch")
 
 
-def write_state(updates: DataFrame, before: DataFrame, path: str, batch: int, done=None) -> None:
+def write_state(updates: DataFrame, before: DataFrame, path: str, batch: int, done=None, keys: tuple[str, ...] = ("job_id",)) -> None:
     """Stores the jobs changed in `batch`, or all jobs when a full copy is due.
 
     The folder belongs to the batch, so a batch that runs again replaces its own rows. A full copy leaves out the jobs
     for which `done` holds, so that finished jobs do not stay for ever.
     """
     if batch and batch % STATE_SPAN == 0:
-        updates = updates.unionByName(before.join(updates.select("job_id"), "job_id", "left_anti"))
+        updates = updates.unionByName(before.join(updates.select(*keys), list(keys), "left_anti"))
         if done is not None:
             updates = updates.filter(~F.coalesce(done, F.lit(False)))
     updates.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -305,16 +305,35 @@ def active_job_changes(events: DataFrame, watermark: str = "1 hour", keep: str |
 
 
 def stream_active_jobs(events: DataFrame, path: str, compact_every: int | None = None) -> None:
-    """Stores, per batch, the change in running jobs per organization; a batch costs what changed in it."""
-    changes, every = active_job_changes(events), compact_every or COMPACT_EVERY
+    """Stores, per batch, the change in running jobs per organization.
+
+    The same changes as `active_job_changes`, by joins of a batch's newest event of each job with the one kept for it.
+    """
+    every, keys = compact_every or COMPACT_EVERY, ("job_id", "organization_id")
+    schema = "job_id bigint, organization_id bigint, timestamp timestamp, event_id bigint, active bigint"
     total = lambda rows: rows.groupBy("organization_id").agg(F.sum("delta").alias("delta"))
+    active = F.coalesce(F.col("status").isin(rules.ACTIVE_STATES), F.lit(False)).cast("bigint")
 
     def write(df: DataFrame, batch: int) -> None:
-        total(df).write.mode("overwrite").parquet(f"{path}/counts/rows/batch={batch}")
+        spark = df.sparkSession
+        new = df.groupBy(*keys).agg(F.max(F.struct("timestamp", "event_id", active.alias("active"))).alias("new"))
+        before = read_state(spark, f"{path}/state", schema, batch, keys)
+        old = before.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("timestamp", "event_id", "active").alias("old"))
+        both = new.join(old, F.col("job_id").eqNullSafe(F.col("_job_id")) & F.col("organization_id").eqNullSafe(F.col("_organization_id")), "left")
+        moment = lambda name: F.struct(f"{name}.timestamp", f"{name}.event_id")
+        now = F.when(F.col("old").isNull() | (moment("new") > moment("old")), F.col("new")).otherwise(F.col("old"))
+        # A new job is a change of its organization even if it is not active.
+        delta = F.when(F.col("old").isNull(), now["active"]).when(now["active"] != F.col("old.active"), now["active"] - F.col("old.active"))
+        rows = both.select(*keys, now.alias("now"), delta.alias("delta")).persist()
+        try:
+            total(rows.filter(F.col("delta").isNotNull())).write.mode("overwrite").parquet(f"{path}/counts/rows/batch={batch}")
+            write_state(rows.select(*keys, "now.*"), before, f"{path}/state", batch, keys=keys)
+        finally:
+            rows.unpersist()
         if batch % every == every - 1:
-            compact_batches(df.sparkSession, f"{path}/counts", changes.schema, batch, total)
+            compact_batches(spark, f"{path}/counts", T.StructType.fromDDL(ACTIVE_SCHEMA), batch, total)
 
-    run_batches(changes, path, write, mode="append")
+    run_batches(normalize_events(events), path, write, mode="append")
 
 
 def read_active_jobs(spark: SparkSession, path: str, limit: int = rules.MAX_ACTIVE_JOBS) -> DataFrame:
