@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from prospark import rules
-from prospark.operators.jobs import normalize_events
+from prospark.operators.jobs import normalize_events, transition_audit
+from prospark.session import delete_path
+from prospark.streaming.events import read_state, run_batches, write_state
 
 _AUDIT = "job_id bigint, event_id bigint, at bigint, previous_status string, status string, allowed boolean"
 _NAMES = [c.split()[0] for c in _AUDIT.split(", ")]
@@ -94,3 +96,45 @@ def stream_ordered_audit(events: DataFrame, watermark: str = "1 hour") -> DataFr
     slim = rows.select("job_id", "event_id", "status", "timestamp", F.unix_micros("timestamp").alias("at"))
     made = slim.groupBy("job_id").transformWithStateInPandas(OrderedAudit(), _AUDIT, "append", "eventTime")
     return made.select("job_id", "event_id", F.timestamp_micros("at").alias("timestamp"), "previous_status", "status", "allowed")
+
+
+def run_ordered_audit(events: DataFrame, path: str, watermark: str = "1 hour", bucket: str = "day") -> None:
+    """`stream_ordered_audit` for many jobs: the same rows by joins and windows, read by `read_transitions`.
+
+    After each micro-batch the events that the watermark has passed are audited in event time, behind the last status
+    of their jobs; the others wait in the table of the next batch. Events that the watermark passed before they came
+    are dropped. A batch that runs again replaces its own rows.
+    """
+    schema = "job_id bigint, event_id bigint, timestamp timestamp, status string"
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark, delay = df.sparkSession, F.expr(f"INTERVAL {watermark}")
+        rows = df.select("job_id", "event_id", "timestamp", "status").persist()
+        try:
+            own = rows.agg(F.max("timestamp").alias("high"))
+            highest = lambda df: df.select(F.max("high").alias("high"), (F.max("high") - delay).alias("passed")).head()
+            pool, late = rows, None
+            if batch:
+                seen = spark.read.schema("high timestamp").parquet(f"{path}/seen/batch={batch - 1}")
+                late, own = highest(seen)["passed"], own.union(seen)
+                fresh = rows if late is None else rows.filter(F.col("timestamp") > F.lit(late))
+                pool = fresh.union(spark.read.schema(schema).parquet(f"{path}/waiting/batch={batch - 1}"))
+            top = highest(own)
+            passed = F.lit(False) if top["passed"] is None else F.col("timestamp") <= F.lit(top["passed"])
+            ready = pool.filter(passed)
+            before = read_state(spark, f"{path}/state", schema, batch)
+            ahead = before.join(ready.select("job_id").distinct(), "job_id", "left_semi").withColumn(
+                "timestamp", F.lit("1000-01-01 00:00:00").cast("timestamp")
+            )
+            audit = transition_audit(ready.unionByName(ahead.select(*rows.columns)), bucket)
+            audit.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+            last = ready.groupBy("job_id").agg(F.max(F.struct("timestamp", "event_id", "status")).alias("e"))
+            write_state(last.select("job_id", "e.event_id", "e.timestamp", "e.status"), before.select(*rows.columns), f"{path}/state", batch)
+            pool.filter(~passed).write.mode("overwrite").parquet(f"{path}/waiting/batch={batch}")
+            spark.createDataFrame([(top["high"],)], "high timestamp").coalesce(1).write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
+            if batch > 1:
+                delete_path(spark, f"{path}/waiting/batch={batch - 2}")
+        finally:
+            rows.unpersist()
+
+    run_batches(normalize_events(events), path, write, mode="append")
