@@ -12,8 +12,7 @@ from prospark.session import scratch_path
 from prospark.sources.entities import project_job_events
 from prospark.sources.tables import TABLES, table_path
 from prospark.streaming import events as st
-from prospark.streaming.ordered import ordered_audit_conf
-from prospark.streaming.ordered import stream_ordered_audit as stream_ordered
+from prospark.streaming.ordered import run_ordered_audit
 
 
 def event_stream(e):
@@ -82,21 +81,18 @@ def stream_job_latest(e):
 
 @query("stream_transition_audit", over("events_status", TRANSITIONS_SQL))
 def stream_transition_audit(e):
-    """The stateful operator over several micro-batches."""
+    """The audit over several micro-batches; the last status of each job is kept in a table."""
     path = scratch_path(e.spark, "transitions")
-    stream = st.stream_transition_audit(split_stream(e))
-    st.run_to_table(stream, path)
-    return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
+    st.run_transition_audit(split_stream(e), path, bucket="day")
+    return st.read_transitions(e.spark, path).drop("timestamp")
 
 
 @query("stream_ordered_audit", over("events_status", TRANSITIONS_SQL))
 def stream_ordered_audit(e):
     """The audit in event time although the files arrive in another order."""
     path = scratch_path(e.spark, "ordered")
-    stream = stream_ordered(split_stream(e, 3, order=(1, 0, 2)), "25 days")
-    with ordered_audit_conf(e.spark):
-        st.run_to_table(stream, path)
-    return e.spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("timestamp")
+    run_ordered_audit(split_stream(e, 3, order=(1, 0, 2)), path, "25 days")
+    return st.read_transitions(e.spark, path).drop("timestamp")
 
 
 @query(

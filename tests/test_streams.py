@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from prospark.functions.skew import first_per_key
 from prospark.operators import jobs as jb
+from prospark.plans import catalog
 from prospark.sources.entities import Entities
 from prospark.streaming import events as st
 from prospark.streaming import ordered as st_ordered
@@ -182,3 +183,42 @@ def test_ordered_audit_of_shuffled_files(spark, tmp_path):
     got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out/rows")
     assert order != sorted(order)
     same(got, jb.transition_audit(jb.normalize_events(day)))
+
+
+@pytest.mark.parametrize("name", ["stream_transition_audit", "stream_active_jobs", "stream_ordered_audit"])
+def test_queries_of_streams_call_no_python_per_job(spark, name, monkeypatch):
+    """What a job costs must not grow by calls of Python: state is joined, not followed job by job."""
+
+    def per_job(*args, **more):
+        raise AssertionError("a stateful Python operator")
+
+    for kind in ("applyInPandasWithState", "transformWithStateInPandas"):
+        monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.groupBy", _without(kind, per_job))
+        assert catalog.QUERIES[name](spark, SF).count() > 0
+        monkeypatch.undo()
+
+
+def _without(kind, fails):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    grouped = DataFrame.groupBy
+
+    def group_by(self, *cols):
+        out = grouped(self, *cols)
+        setattr(out, kind, fails)
+        return out
+
+    return group_by
+
+
+def test_ordered_audit_by_joins(spark, tmp_path):
+    """Shuffled files within the watermark, ties of time, and an event that comes too late."""
+    rows = Entities(spark, SF).job_events()
+    day = rows.withColumn("timestamp", F.expr("timestamp_seconds(unix_seconds(timestamp) % 86400 + 1704067200)"))
+    for k in (2, 0, 1, 3):
+        day.filter(F.floor(F.hour("timestamp") / 6) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    late = spark.createDataFrame([(-2, 1, 1, "job_failed", 0, None, dt.datetime(2023, 12, 1)), (-1, -1, -1, "page_crawled", 0, None, dt.datetime(2024, 1, 9))], st.EVENT_SCHEMA)
+    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    st_ordered.run_ordered_audit(stream(spark, f"{tmp_path}/in"), str(tmp_path / "out"), "18 hours")
+    same(st.read_transitions(spark, str(tmp_path / "out")), jb.transition_audit(jb.normalize_events(day)))
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/out/waiting/batch=4").select("event_id").collect()] == [-1]
