@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -32,10 +33,33 @@ class LeadFilter:
     campaign_id: int | None = None
 
 
+def has_text(text: Column, part: str) -> Column:
+    """`text ILIKE %part%` in time that follows the text.
+
+    Parts between inner `%` are sought one after another, each at its first place behind the one before: as a part has
+    one length wherever it stands, no other choice of places finds more. ILIKE itself tries all choices.
+    """
+    tokens = re.findall(r"(?s)\\[%_\\]|.", part)
+    inner = "".join(" " if len(t) > 1 else t for t in tokens).strip("%")
+    if "%" not in inner or "\\" in tokens:  # a wrong escape is left to ILIKE, which raises
+        return text.ilike(f"%{part}%")
+    # Inside \Q \E no text in lower case can end the quotation.
+    quoted = lambda run: F.concat(F.lit(r"\Q"), F.lower(F.lit(run)), F.lit(r"\E"))
+    pieces, run = [F.lit(r"(?s)\A(?>.*?")], ""
+    for token in tokens:
+        if token in ("%", "_"):
+            pieces += [quoted(run)] if run else []
+            pieces.append(F.lit(")(?>.*?" if token == "%" else "."))
+            run = ""
+        else:
+            run += token[-1]
+    pieces += [quoted(run)] if run else []
+    return F.rlike(F.lower(text), F.concat(*pieces, F.lit(")")))
+
+
 def text_match(text: str) -> Column:
-    pattern = f"%{text.strip()}%"
     names = ["company_name", "domain", "industry", "company_summary", "value_proposition"]
-    return reduce(or_, [F.col(n).ilike(pattern) for n in names])
+    return reduce(or_, [has_text(F.col(n), text.strip()) for n in names])
 
 
 def filter_leads(leads: DataFrame, f: LeadFilter) -> DataFrame:
@@ -50,7 +74,7 @@ def filter_leads(leads: DataFrame, f: LeadFilter) -> DataFrame:
     for name in ("industry", "geography"):
         given = (getattr(f, name) or "").strip()
         if given:
-            out = out.filter(F.col(name).ilike(f"%{given}%"))
+            out = out.filter(has_text(F.col(name), given))
     if (f.status or "").strip():
         out = out.filter(F.col("status") == f.status.strip().upper())
     if (f.search or "").strip():

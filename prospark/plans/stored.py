@@ -72,8 +72,7 @@ def stored_signals(e):
 def search_stored_leads(e):
     """Searches in stored leads through an index of three-letter runs; one of them has none and reads all rows."""
     table, index = scratch_path(e.spark, "leads"), scratch_path(e.spark, "runs")
-    leads = e.leads()
-    create_snapshots(leads, table, "lead_id", buckets=16)
-    build_text_index(leads, index)
+    create_snapshots(e.leads(), table, "lead_id", buckets=16)
+    build_text_index(read_snapshot(e.spark, table), index)
     found = [search_stored(e.spark, table, index, LeadFilter(search=f" {text} ")).select(F.lit(text).alias("search"), "lead_id", "company_name") for text in ("ring", "a%machinery", "no such text", "or_")]
     return reduce(lambda a, b: a.unionByName(b), found)

@@ -1,15 +1,18 @@
 """Searches through the index of three-letter runs, and robots rules met by prefix, against plain versions."""
 
 import random
+import time
 import urllib.robotparser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prospark.operators import crawl as cr
-from prospark.operators.scope import LeadFilter, filter_leads
+from prospark.operators.scope import LeadFilter, filter_leads, has_text
 from prospark.sources.snapshots import create_snapshots
-from prospark.sources.text_index import build_text_index, candidates, literal_runs, search_stored
+from prospark.sources.text_index import _block_runs, build_text_index, candidates, literal_runs, run_code, search_stored
 
 SCHEMA = "lead_id long, company_name string, domain string, industry string, company_summary string, value_proposition string, organization_id long, icp_score int"
 
@@ -42,6 +45,37 @@ def test_candidates_are_few(spark, tmp_path):
     assert candidates(spark, str(tmp_path / "none"), "common").count() == 0
 
 
+def test_inner_wildcards_take_linear_time(spark):
+    """A long text that almost matches, once per place of the first part; ILIKE itself needs hours for it."""
+    text = "a machiner " * 300_000
+    rows = spark.createDataFrame([(1, text), (2, text + "MACHINERY"), (3, None)], "id long, t string")
+    start = time.time()
+    assert [r["id"] for r in rows.where(has_text(F.col("t"), "a%machinery")).collect()] == [2]
+    assert time.time() - start < 30
+
+
+def test_inner_wildcards_equal_ilike(spark):
+    rng = random.Random(8)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+    texts = ["", None, "aSa\nb", "Σας ΑΣ", "a\\E%b", "É\U0001f600b"] + [draw("aAbB%_\\\né\U0001f600Σ.*", 12) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(1).cache()
+    parts = ["%", "a%b", "a%", "%%b%%a", "a_%_b", "_%_", "é%ΑΣ", "\\%%\\_", "\\\\%a", "\\\\E%b", ".*%a", "😀%b"] + [draw("aB%%__é", 6) for _ in range(30)]
+    got = rows.select(*[F.struct(has_text(F.col("t"), p).alias("a"), F.col("t").ilike(f"%{p}%").alias("b")) for p in parts]).collect()
+    assert [(texts[i], p) for i, r in enumerate(got) for p, x in zip(parts, r) if x["a"] != x["b"]] == []
+    with pytest.raises(Exception):
+        rows.where(has_text(F.col("t"), "a%\\b")).collect()
+
+
+def test_blocks_of_very_many_characters(spark, tmp_path, monkeypatch):
+    """Rows whose characters together are too many to number a run and its row at once are taken in halves."""
+    texts = ["".join(chr(0x4E00 + (i * 9173 + j) % 20_000) for j in range(3_000)).encode().decode() + chr(0x10000 + i) * 3 for i in range(70)]
+    want = sorted({(run_code(t[j : j + 3]), i) for i, t in enumerate(texts) for j in range(len(t) - 2)})
+    pad = [""] * (1 << 20)  # 2^20 rows take 20 bits beside 3 of 15
+    got = [(int(r), int(x)) for runs, ends, rows in _block_runs([pa.array(texts + pad + [texts[0]])]) for r, xs in zip(runs, np.split(rows, ends[:-1])) for x in xs]
+    n = len(texts) + len(pad)
+    assert sorted(g for g in got if g[1] < n) == want and sorted(r for r, x in got if x == n) == sorted(r for r, x in want if x == 0)
+
+
 @pytest.mark.parametrize("text, runs", [("  ab ", []), ("Abcd", ["abc", "bcd"]), ("ab%cde_f", ["cde"]), ("a\\%bcd", ["bcd"]), ("abéxyz", ["xyz"])])
 def test_literal_runs(text, runs):
     assert literal_runs(text) == runs
