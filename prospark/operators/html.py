@@ -1,7 +1,7 @@
 """Jobs over raw page markup.
 
-Only the tree-shaped parts (page copy, head facts) run in Python, one Arrow
-batch at a time; JSON blocks are cut and parsed by Spark itself.
+Only the tree-shaped parts (page copy, head facts) run in Python, page by page;
+JSON blocks are cut and parsed by Spark itself.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +16,15 @@ from prospark import rules
 from prospark.functions.html import head_facts, page_copy
 
 
+def _page_by_page(read, kind: str):
+    """`read` as a plain function of one page: pages reach Python by the hundred, whatever a session's Arrow batches hold."""
+    return F.udf(read, kind, useArrow=False)
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """(page_id, content, content_hash): cleaned copy of each page and its sha256."""
 
-    @F.pandas_udf("string")
-    def copy(html: pd.Series) -> pd.Series:
-        return html.map(page_copy)
-
-    rows = pages.select("page_id", copy("html").alias("content"))
+    rows = pages.select("page_id", _page_by_page(page_copy, "string")("html").alias("content"))
     return rows.withColumn("content_hash", F.sha2("content", 256))
 
 
@@ -36,14 +36,8 @@ HEAD_SCHEMA = (
 def page_metadata(pages: DataFrame) -> DataFrame:
     """Head facts of each page."""
 
-    def read(batches):
-        for pdf in batches:
-            facts = pd.DataFrame([head_facts(h) for h in pdf["html"]], index=pdf.index)
-            yield pd.concat([pdf[["page_id"]], facts], axis=1) if len(pdf) else pd.DataFrame(
-                {n: [] for n in ("page_id", "title", "description", "canonical_url", "language", "open_graph")}
-            )
-
-    return pages.select("page_id", "html").mapInPandas(read, f"page_id bigint, {HEAD_SCHEMA}")
+    rows = pages.select("page_id", _page_by_page(head_facts, HEAD_SCHEMA)("html").alias("facts"))
+    return rows.select("page_id", "facts.*")
 
 
 def jsonld_entities(pages: DataFrame) -> DataFrame:

@@ -47,6 +47,13 @@ def test_page_text_of_empty_and_unclosed(spark):
     assert got[1] == "" and got[2] in ("", None) and got[3].split() == ["a", "b", "c"]
 
 
+def test_pages_do_not_reach_python_in_arrow_batches(spark):
+    """An Arrow batch is up to 10 000 whole pages, so a worker's memory would follow their number."""
+    for read in (ht.page_text, ht.page_metadata):
+        plan = read(page(spark))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
 def test_page_metadata(spark):
     r = ht.page_metadata(page(spark)).head()
     assert r.title == "Northwind Robotics | Picking arms" and r.language == "en"
