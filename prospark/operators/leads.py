@@ -96,6 +96,10 @@ def signal_sentiment(signals: DataFrame) -> DataFrame:
     )
 
 
+#: A lead with at most so many full parts in a section is gathered in one row before it is cut.
+WHOLE_PARTS = 10
+
+
 def lead_dossier(
     leads: DataFrame,
     signals: DataFrame,
@@ -108,22 +112,29 @@ def lead_dossier(
 
     One row per (lead, section, part). A section with up to `part_size` items is
     one row; a longer one runs over several rows, so no single row or task ever
-    has to hold all children of a very large lead. Children are never joined to
+    has to hold all children of a very large lead (more than `WHOLE_PARTS` parts). Children are never joined to
     each other.
     """
 
     def section(name: str, df: DataFrame, item: Column, order: list[Column], bucket: Column) -> DataFrame:
-        numbered = ordinal(df.withColumn("item", item), ["lead_id"], order, bucket, "position")
-        return (
+        rows = df.withColumn("item", item)
+        # A lead of a few parts is gathered at once, so its items are shuffled once; only larger ones are numbered by
+        # buckets. These are at most one key per `WHOLE_PARTS` full parts of items, and each task gets them.
+        sizes = df.groupBy("lead_id").agg(F.count(F.lit(1)).alias("n"))
+        large = F.broadcast(sizes.filter(F.col("n") > WHOLE_PARTS * part_size).select("lead_id"))
+        keyed = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "item")
+        gathered = rows.join(large, "lead_id", "left_anti").groupBy("lead_id").agg(F.sort_array(F.collect_list(keyed)).alias("all"))
+        last = F.floor((F.size("all") - 1) / part_size)
+        cut = gathered.select("lead_id", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+        start = (F.col("part") * part_size + 1).cast("int")
+        cut = cut.select("lead_id", "part", F.transform(F.slice("all", start, part_size), lambda x: x["item"]).alias("items"))
+        numbered = ordinal(rows.join(large, "lead_id", "left_semi"), ["lead_id"], order, bucket, "position")
+        parts_ = (
             numbered.groupBy("lead_id", F.floor((F.col("position") - 1) / part_size).alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
-            .select(
-                "lead_id",
-                F.lit(name).alias("section"),
-                "part",
-                F.transform("items", lambda x: x["item"]).alias("items"),
-            )
+            .select("lead_id", "part", F.transform("items", lambda x: x["item"]).alias("items"))
         )
+        return cut.unionByName(parts_).select("lead_id", F.lit(name).alias("section"), "part", "items")
 
     # Only the leads' keys are needed to attach pages through their crawl target.
     owned = leads.select("lead_id", F.col("crawl_target_id").alias("site_id"))
